@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import trim_all
-from skeinworks.operators import history, nested
+from skeinworks.operators import history, nested, proximity
+from skeinworks.session import written
 from skeinworks.sources.tables import table
 
 VARIANT = nested.TableRule(
@@ -77,7 +78,22 @@ def p6_versions(spark: SparkSession, directory: str) -> DataFrame:
     return _offer_versions(spark, directory).select("id", F.col("valid_from").alias("valid_from_ns"), F.col("valid_to").alias("valid_to_ns"), "first_seen_ns", "min_price_cents", "status")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p6_found, p6_versions)}
+def _lots(spark: SparkSession, directory: str) -> DataFrame:
+    lat, lon = F.col("latLong.latitude"), F.col("latLong.longitude")
+    rows = table(spark, directory, "search_lots").where((lat != 0) & (lon != 0))
+    return proximity.clean_points(rows, "zpid", lat, lon)
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Lots at most 250 m from each other, and the flood zones lots lie in."""
+    lots = written(_lots(spark, directory), "lots")
+    near = proximity.near_pairs(lots, 250.0)
+    zones = proximity.regions_of(lots, proximity.clean_regions(table(spark, directory, "flood_zones"), "zone_id", "ring"))
+    kind = lambda df, name, a, b: df.select(F.lit(name).alias("kind"), F.col(a).alias("key_a"), F.col(b).alias("key_b"))
+    return kind(near, "lot", "key_a", "key_b").unionByName(kind(zones, "zone", "key", "region"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p3_found, p6_found, p6_versions)}
 
 ORACLE_SQL = {
     "p6_found": """

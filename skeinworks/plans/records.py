@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import trim_all
-from skeinworks.operators import history, nested, proximity
+from skeinworks.operators import history, nested, proximity, quantities
 from skeinworks.session import written
 from skeinworks.sources.tables import table
 
@@ -93,7 +93,16 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return kind(near, "lot", "key_a", "key_b").unionByName(kind(zones, "zone", "key", "region"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p3_found, p6_found, p6_versions)}
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Lot areas in hundredths of an acre and drive capacities in gigabytes."""
+    home = F.col("hdpData.homeInfo")
+    lots = table(spark, directory, "search_lots").select("row_id", quantities.hundredth_acres(home["lotAreaValue"], home["lotAreaUnit"], F.col("lotArea.formatted")).alias("amount"))
+    drives = table(spark, directory, "products").select("row_id", quantities.gigabytes(F.col("product_type")).alias("amount"))
+    kind = lambda df, name: df.where("amount is not null").select(F.lit(name).alias("kind"), "row_id", "amount")
+    return kind(lots, "lot").unionByName(kind(drives, "product"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p3_found, p4_found, p6_found, p6_versions)}
 
 ORACLE_SQL = {
     "p6_found": """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import trim_all
-from skeinworks.operators import history, nested, proximity, quantities
+from skeinworks.operators import history, nested, packed, proximity, quantities
 from skeinworks.session import written
 from skeinworks.sources.tables import table
 
@@ -78,6 +78,11 @@ def p6_versions(spark: SparkSession, directory: str) -> DataFrame:
     return _offer_versions(spark, directory).select("id", F.col("valid_from").alias("valid_from_ns"), F.col("valid_to").alias("valid_to_ns"), "first_seen_ns", "min_price_cents", "status")
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Every value of tags and product_type with its position in the row's field."""
+    return packed.values(table(spark, directory, "products"), "row_id", ["tags", "product_type"]).select("row_id", "field", "pos", "val")
+
+
 def _lots(spark: SparkSession, directory: str) -> DataFrame:
     lat, lon = F.col("latLong.latitude"), F.col("latLong.longitude")
     rows = table(spark, directory, "search_lots").where((lat != 0) & (lon != 0))
@@ -102,7 +107,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return kind(lots, "lot").unionByName(kind(drives, "product"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p3_found, p4_found, p6_found, p6_versions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p2_found, p3_found, p4_found, p6_found, p6_versions)}
 
 ORACLE_SQL = {
     "p6_found": """

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinworks.llm import residue
+from skeinworks.llm import listings, residue
 from skeinworks.sources.tables import table
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of offers that sell the same drive model."""
+    return listings.same_model(listings.grouped(table(spark, directory, "offers")))
+
+
+def p5_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """The model of each offer of a drive, one row per offer, with the parsed attributes."""
+    return listings.grouped(table(spark, directory, "offers"))
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that are or hold leftovers of templates, filler, error pages or script notices."""
     return residue.marked(table(spark, directory, "documents"), "doc_id", "text").select("doc_id")
@@ -18,5 +28,5 @@ def p9_kinds(spark: SparkSession, directory: str) -> DataFrame:
     return residue.marked(table(spark, directory, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p9_found, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p9_found, p9_kinds)}
 ORACLE_SQL: dict[str, str] = {}

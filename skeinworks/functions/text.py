@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,3 +15,35 @@ BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufef
 def trim_all(text: Column | str) -> Column:
     """``text`` without white space of any kind at its ends; null stays null."""
     return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+
+
+def tokens(text: Column) -> Column:
+    """The distinct lower-case ASCII words of at least two characters, in order of first use. Null gives null."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+")), lambda t: F.length(t) >= 2)
+
+
+def contains_text(title: Column, words: Column | None, query: str) -> Column:
+    """Whether ``query`` is, regardless of case, part of the title or of one word; its characters are all literal."""
+    q = F.lit(query.lower())
+    hit = F.coalesce(F.contains(F.lower(title), q), F.lit(False))
+    return hit if words is None else hit | F.coalesce(F.exists(words, lambda w: F.contains(F.lower(w), q)), F.lit(False))
+
+
+def stripped_html(html: Column) -> Column:
+    """Text without tags, entities resolved, blanks collapsed. Only texts with an entity go through Python."""
+    @F.pandas_udf("string")
+    def unescaped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unescape(t) if isinstance(t, str) and "&" in t else t)
+
+    bare = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
+    return trim_all(F.regexp_replace(unescaped(bare), f"{BLANKS}+", " "))
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first text that is not blank."""
+    return F.coalesce(*[F.when(trim_all(t) != "", t) for t in texts])
+
+
+def shortened(text: Column, length: int) -> Column:
+    """At most ``length`` characters, the last three of them dots where something was cut."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 3), F.lit("..."))).otherwise(text)

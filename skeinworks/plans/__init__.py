@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skeinworks.plans import records
+from skeinworks.plans import listings, listings_sql, records
 
-MODULES = (records,)
+MODULES = (records, listings)
+SQL_MODULES = (records, listings_sql)
 
 
 def queries() -> dict:
@@ -14,4 +15,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins of the core's queries."""
-    return {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
+    return {k: s for m in SQL_MODULES for k, s in m.ORACLE_SQL.items()}

@@ -14,10 +14,11 @@ from skeinworks.session import written
 def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], drop: list[str] = ()) -> DataFrame:
     """``rows`` with the facts of their keys, null where there are none; ``drop`` names key columns not to be kept.
 
-    Facts count once per key. Whether they are broadcast is left to their size
-    as the session measures it.
+    Facts count once per key; a fact named like a column of ``rows`` is left
+    out. Whether facts are broadcast is left to their size as the session
+    measures it.
     """
-    once = facts.dropDuplicates(keys)
+    once = facts.dropDuplicates(keys).drop(*[c for c in facts.columns if c in rows.columns and c not in keys])
     return rows.join(once, keys, "left").drop(*drop)
 
 

@@ -91,10 +91,11 @@ def versions(readings: DataFrame, entity: str, moment: str, loaded: str, tie: st
 
     ``moment`` is a bigint; attributes must be null where they say nothing.
     """
-    spark = readings.sparkSession
-    kinds = {a: readings.schema[a].dataType for a in attributes}
+    spark, names = readings.sparkSession, attributes
+    attributes = [f"a{i}" for i in range(len(names))]  # no name of the caller's can clash with the columns below
+    kinds = {a: readings.schema[n].dataType for a, n in zip(attributes, names, strict=True)}
     source = readings.where(F.col(entity).isNotNull() & F.col(moment).isNotNull()).select(
-        F.col(entity).cast("string").alias("id"), F.col(moment).cast("long").alias("at"), F.col(loaded).alias("_loaded"), F.col(tie).alias("_tie"), *attributes
+        F.col(entity).cast("string").alias("id"), F.col(moment).cast("long").alias("at"), F.col(loaded).alias("_loaded"), F.col(tie).alias("_tie"), *[F.col(n).alias(a) for a, n in zip(attributes, names, strict=True)]
     )
     blocks = source.repartitionByRange(shuffle_partitions(spark), "id", "at").sortWithinPartitions("id", "at", F.desc_nulls_last("_loaded"), F.desc_nulls_last("_tie"))
     schema = T.StructType(
@@ -123,7 +124,7 @@ def versions(readings: DataFrame, entity: str, moment: str, loaded: str, tie: st
     whole = _scan(states, onward)
     carried = [(s[0], s[1], s[2], *w[3]) for s, w in zip(states[1:], whole, strict=False) if s[1] == w[2]]
     carry_schema = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("_first", T.StringType()), T.StructField("_end", T.StringType())] + [T.StructField(f"carry_{a}", kinds[a]) for a in attributes])
-    carry = spark.createDataFrame([c for c in carried], carry_schema).drop("_end")
+    carry = spark.createDataFrame(carried, carry_schema).drop("_end")
 
     here = runs.where("kind = 0").join(F.broadcast(carry), "block", "left")
     goes_on = F.col("leads") & F.col("_first").isNotNull()
@@ -153,7 +154,7 @@ def versions(readings: DataFrame, entity: str, moment: str, loaded: str, tie: st
             "id",
             F.col("at").alias("valid_from"),
             F.coalesce(F.col("_next"), F.when(F.col("id") == F.col("_last"), F.col("_end")), F.lit(0).cast("long")).alias("valid_to"),
-            *attributes,
+            *[F.col(a).alias(n) for a, n in zip(attributes, names, strict=True)],
         )
     )
 

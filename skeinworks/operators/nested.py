@@ -220,8 +220,10 @@ def read_tagged(spark: SparkSession, path: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """The flat table ``tag`` of ``path``: keys, and the payload under ``schema`` (unreadable members are null)."""
     rows = read_tagged(spark, path).where(F.col("tag") == tag)
-    read = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
-    return rows.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "n_children", read.alias("row")).select("*", "row.*").drop("row")
+    wanted = spark.createDataFrame([], schema).schema
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])  # sources write the same member as text, number or flag
+    keys = rows.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "n_children", F.from_json("payload", texts).alias("_row"))
+    return keys.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "n_children", *[F.col(f"_row.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def latest_children(tagged: DataFrame, root_tag: str, child_tag: str) -> DataFrame:

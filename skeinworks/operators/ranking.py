@@ -21,6 +21,7 @@ def matched_watches(items: DataFrame, watches: list[dict]) -> DataFrame:
     all in one pass. The limit goes by recency, before any further filter, and
     is taken by a group limit below the shuffle. A limit of 0 is none.
     """
+    items = items.drop("watch")
     hits = []
     for w in watches:
         hit = F.coalesce(F.col("category") == w["category"], F.lit(False)) if w.get("category") else F.lit(True)

@@ -27,6 +27,7 @@ def with_reference(rows: DataFrame, references: DataFrame, bucket: str, kind: st
     Both lookups are one equi-join: the medians of a bucket come as a map by
     kind, so the rows are matched once.
     """
+    rows = rows.drop("reference", "reference_from", "_medians")
     maps = references.groupBy(bucket).agg(F.map_from_entries(F.collect_list(F.struct(kind, "reference"))).alias("_medians"))
     own, base = F.col("_medians")[F.col(kind)], F.col("_medians")[F.lit(anchor)]
     factor: Column = F.lit(None).cast("double")

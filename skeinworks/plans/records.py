@@ -50,8 +50,8 @@ def p1_products(spark: SparkSession, directory: str) -> DataFrame:
 
 def p1_variants(spark: SparkSession, directory: str) -> DataFrame:
     """The flat variant table: every variant names its product row."""
-    rows = nested.read_table(spark, _catalogue(spark, directory), "variant", "title string, price string, sku string, available string, option1 string")
-    return rows.select("pk", F.col("parent_pk").alias("product_pk"), F.col("own_id").alias("variant_id"), F.col("root_id").alias("product_id"), "ordinal", "title", "price", "sku", F.expr("try_cast(available as boolean)").alias("available"), "option1")
+    rows = nested.read_table(spark, _catalogue(spark, directory), "variant", "title string, price string, sku string, available boolean, option1 string")
+    return rows.select("pk", F.col("parent_pk").alias("product_pk"), F.col("own_id").alias("variant_id"), F.col("root_id").alias("product_id"), "ordinal", "title", "price", "sku", "available", "option1")
 
 
 def _offer_versions(spark: SparkSession, directory: str) -> DataFrame:

@@ -42,7 +42,7 @@ _PLACEHOLDERS = (
     rf"\{{%-?\s*\w+(?:\s+[\w.]+){{0,6}}\s*-?%\}}",  # {% if name %}
     rf"<%[=-]?\s*{_NAME}{_FILTER}\s*-?%>",  # <%= name %>
     rf"\[\[\s*[A-Za-z][\w .]*\s*\]\]",  # [[NAME]]
-    rf"[$#@]\{{\s*{_NAME}{_FILTER}\s*\}}",  # ${name}, #{name}
+    rf"[$#@]\{{\s*(?:{_NAME}|\d{{1,2}}){_FILTER}\s*\}}",  # ${name}, #{name}
     rf"%\({_NAME}\)[sdif]",  # %(name)s
     r"%%\s*[A-Za-z][A-Za-z0-9_]*\s*%%",  # %%NAME%%
     r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+%",  # %FIRST_NAME%
@@ -53,7 +53,6 @@ _PLACEHOLDERS = (
     r"(?<![\w|!:])(?P<sign>[|!:]{1,3})[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+(?P=sign)(?!\w)",  # ::FIRST_NAME::
     r"<<\s*[A-Za-z][A-Za-z0-9_ ]*\s*>>",  # <<NAME>>
     rf"(?<![\w$#@%{{/\\-])\{{(?:{_NAME}|\d{{1,2}})(?:![rsa])?\}}(?!\}})",  # {name}, {0}
-    rf"(?<=\$)\{{\d{{1,2}}\}}",
     rf"[\[<](?i:insert|enter|add|type|your|ihre?n?|votre|vos|su|tu|deine?|insertar|inserte|insérer|insérez|inserer|hier|ici|aquí)\s+{_WORDS}[\]>]",  # [Your name], <insert name here>
     rf"[\[<]{_WORDS}\s+(?i:goes here|here|einfügen|eintragen|ici|aquí)[\]>]",  # [name goes here]
     rf"&lt;\s*(?:[a-z][a-z0-9]*(?:[_ .][a-z0-9]+)*)\s*&gt;",  # an escaped <name>
@@ -61,7 +60,7 @@ _PLACEHOLDERS = (
 )
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
 #: Where a placeholder can begin.
-_HINT = re.compile(r"[$#@]?\{|\[|<|%(?=[({%A-Z])|@@|\*\||__(?=[A-Z])|&lt;|[~#^$|!:]+(?=[A-Z])")
+_HINT = re.compile(r"(?=[$#@]?\{|\[|<|%(?=[({%A-Z])|@@|\*\||__(?=[A-Z])|&lt;|[~#^$|!:]+[A-Z])")
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?(?:</\1>|\Z)|`[^`\n]+`|^(?: {4}|\t)\S.*$|^\s*(?:\$|>>>|#!)\s.*$", re.S | re.M | re.I)
 # Words of a sentence that speaks about templates.
 _ABOUT = re.compile(r"\b(?:templates?|placeholders?|syntax|variables?|merge (?:fields?|tags?)|curly|braces|brackets|double quotes|mustache|jinja|handlebars|liquid|e\.g\.|for example|such as|literally|snippet|platzhalter|vorlage|zum beispiel|z\. ?b\.|modèle|par exemple|plantilla|marcador|por ejemplo)\b", re.I)

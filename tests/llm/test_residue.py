@@ -1,0 +1,59 @@
+import pytest
+
+from skeinworks.llm import residue
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Dear {{ name }}, hello.", "Price: {{{price | upcase}}}", "It has {{#each items}} rows.", "{% if mpn %} of them", "Welcome to <%= shop %>.", "See [[LISTING_ID]] now", "at ${shop.name}", "offers #{mpn}.", "was %(mpn)s today",
+        "by %%FIRST_NAME%% and", "Helium @@ADDRESS@@ percent", "for __LOT_ACRES__ rooms", "about *|COUNTY|* hours", "Grade <<CONDITION>> means", "reads {condition} percent", "Ships from {0} within", "Contact [Your Name] for", "<insert mpn here>",
+        "[brand goes here]", "[hier preis einfügen]", "<votre brand>", "ends with &lt;listing_id&gt;;", "Contact ~LISTING_ID~ for", "The ##PRICE## is", "sold for ${0} each",
+    ],
+)
+def test_placeholders(text):
+    assert residue.kinds("A fine drive, tested and wiped. " + text + " It ships in a box.") == ["placeholder"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'The tool prints {"capacity_tb": 8, "errors": 0} when all is well.', "Run: for d in /dev/sd{a..f}; do smartctl -H $d; done", "Serial reads DU48-{9} on the sticker.", "[UPDATED June] [tested] price lowered by 15%.",
+        "Write `{{ name }}` in the template to show the name.", "```\n{{ name }}\n```", "A placeholder such as {{ name }} is filled by the template.", "A Section 404 permit was issued.", "The configurator also works with JavaScript switched off.",
+        'The portal said "access denied" once, and the second try went through.', "The previous seller left lorem ipsum in the description, so here is a proper one.", "Placeholder blanks fill the empty bays; 5 are included.",
+        "Insert the drive here until the latch clicks.", "Model not found in the vendor list? Search by the series.", "Sold, thanks.", "Pending sectors: 3.", "a < b and c > d", "50 % off * 2 {} []", "", None, "   ",
+        "The title company's website was down for maintenance, so the deed came by post.", "This shop is closed on Sundays and we ship on Monday from the Dunford depot near the old mill.",
+    ],
+)
+def test_no_residue(text):
+    assert residue.kinds(text) == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Text goes here.", "Good disk. Description coming soon.", "Lorem ipsum dolor sit amet consectetur elit.", "Nisi sit magna nulla velit sed sit fugiat magna laboris sint mollit.", "Beschreibung folgt.", "Votre texte ici.", "xxxxx xxxxx xxx", "TODO: write body", "Heading two.", "Este es un texto de relleno.", "test test test 123"],
+)
+def test_filler(text):
+    assert residue.kinds(text) == ["filler"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "502 Bad Gateway\nshop-edge/7.7", "Skip to content\nCart (0)\n404 Page not found. Try searching the shop or go back home.\n© Acme outlet", '{"error":{"code":41,"message":"listing unavailable"}}', "This storefront needs JavaScript to run. Reload once it is on.",
+        "Just a moment... verify you are human. Enable cookies and JS.", "Zugriff verweigert. Vorgang 13771.", "Le service est momentanément indisponible. Réessayez dans 22 minutes.", "THIS SITE IS DOWN FOR MAINTENANCE.", "Traceback (most recent call last):\n  File \"render.py\", line 17, in page\nKeyError: 'variant'",
+    ],
+)
+def test_messages(text):
+    assert residue.kinds(text) == ["message"]
+
+
+def test_long_texts_are_read_whole():
+    body = "The drive is quiet and was wiped twice. " * 20_000
+    assert residue.kinds(body + "{{ price }}") == ["placeholder"] and residue.kinds(body) == [] and residue.kinds("404 Not Found. " + body) == []
+
+
+def test_column(spark, rows):
+    df = spark.createDataFrame([(1, "Text goes here.", "k"), (2, None, "k"), (3, "fine", "k"), (1, "Text goes here.", "k")], "doc bigint, text string, kinds string")
+    assert rows(residue.marked(df, "doc", "text")) == [(1, ["filler"])] * 2
+    assert residue.marked(df.limit(0), "doc", "text").count() == 0

@@ -24,14 +24,13 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _terabytes(value: Column, unit: Column) -> Column:
-    v = number(value)
-    return F.when(F.upper(unit) == "GB", v / 1000).otherwise(v)
+    return number(value) / F.when(F.upper(unit) == "GB", 1000.0).otherwise(1.0)
 
 
 def capacity_tb(title: Column, stated: Column | None = None) -> Column:
     """Terabytes as text: a stated positive number first, else the first number with TB or GB in one case."""
     pattern = rf"([0-9]+(?:\.[0-9]+)?)\s*(TB|tb|GB|gb){_END}"
-    of_title = rendered(_terabytes(found(title, pattern, 1), found(title, pattern, 2)))
+    of_title = rendered(_terabytes(F.regexp_extract(title, pattern, 1), F.regexp_extract(title, pattern, 2)))
     if stated is None:
         return of_title
     given = number(trim_all(stated))
@@ -44,12 +43,12 @@ def variant_capacity_tb(title: Column, option: Column, tags: Column, product_typ
 
     def own(text: Column) -> Column:
         usable = F.when(F.lower(trim_all(text)) != "default title", text)
-        return _terabytes(found(usable, bare, 1), found(usable, bare, 2))
+        return _terabytes(F.regexp_extract(usable, bare, 1), F.regexp_extract(usable, bare, 2))
 
     tag = r"(?i)^capacity:\s*([0-9]+(?:\.[0-9]+)?)\s*(TB|GB)$"
-    tagged = F.try_element_at(F.filter(F.transform(tags, lambda t: _terabytes(found(trim_all(t), tag, 1), found(trim_all(t), tag, 2))), lambda v: v > 0), F.lit(1))
+    tagged = F.try_element_at(F.filter(F.transform(tags, lambda t: _terabytes(F.regexp_extract(trim_all(t), tag, 1), F.regexp_extract(trim_all(t), tag, 2))), lambda v: v > 0), F.lit(1))
     path = r"(?i)>\s*([0-9]+(?:\.[0-9]+)?)\s*(TB|GB)\s*>"
-    of_type = _terabytes(found(product_type, path, 1), found(product_type, path, 2))
+    of_type = _terabytes(F.regexp_extract(product_type, path, 1), F.regexp_extract(product_type, path, 2))
     positive = lambda v: F.when(v > 0, v)
     first_tag = F.when(F.size(tags) > 0, tagged)
     return rendered(F.coalesce(positive(own(title)), positive(own(option)), first_tag, positive(of_type)))
@@ -68,21 +67,16 @@ CONDITION_WORDS = (("parts", ("for parts", "as-is", "as is")), ("refurb", ("rene
 
 def condition(code: Column, title: Column) -> Column:
     """The condition a code names, else the first that a word of the title names, else empty."""
-    plain, low = trim_all(F.coalesce(code, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    out = None
-    for key, name in CONDITION_CODES.items():
-        out = F.when(plain == key, name) if out is None else out.when(plain == key, name)
-    for name, words in CONDITION_WORDS:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | F.contains(low, F.lit(word))
-        out = out.when(hit, name)
-    return out.otherwise("")
+    named = F.create_map(*[F.lit(x) for pair in CONDITION_CODES.items() for x in pair])[trim_all(F.coalesce(code, F.lit("")))]
+    worded: Column = F.lit("")
+    for name, words in reversed(CONDITION_WORDS):
+        worded = F.when(F.coalesce(F.lower(title).rlike("|".join(words)), F.lit(False)), name).otherwise(worded)
+    return F.coalesce(named, worded)
 
 
 def feed_capacity_tb(*titles: Column) -> Column:
     """Terabytes as a double, from the first of several titles that states them."""
-    return F.coalesce(*[number(found(t, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*TB{_END}")) for t in titles])
+    return F.coalesce(*[number(F.regexp_extract(t, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*TB{_END}", 1)) for t in titles])
 
 
 def feed_condition(text: Column) -> Column:
@@ -119,9 +113,9 @@ def without_suffix(sku: Column, suffixes: list[str]) -> Column:
 
 def acreage(text: Column, stated: Column | None = None) -> Column:
     """Acres as text: a stated positive number, else acres, else ac, else square feet to two decimals."""
-    acres = found(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*acres?{_END}")
-    short = found(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*ac{_END}")
-    feet = number(F.regexp_replace(found(text, rf"(?i)([0-9][0-9,]*)\s*(?:sq\.?\s*ft|sqft|square\s+feet){_END}"), ",", ""))
+    acres = F.regexp_extract(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*acres?{_END}", 1)
+    short = F.regexp_extract(text, rf"(?i)([0-9]+(?:\.[0-9]+)?)\s*ac{_END}", 1)
+    feet = number(F.regexp_replace(F.regexp_extract(text, rf"(?i)([0-9][0-9,]*)\s*(?:sq\.?\s*ft|sqft|square\s+feet){_END}", 1), ",", ""))
     from_feet = half_up(feet / SQFT_PER_ACRE * 100) / 100
     of_text = F.coalesce(rendered(number(acres)), rendered(number(short)), rendered(from_feet))
     if stated is None:

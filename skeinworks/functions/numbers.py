@@ -13,14 +13,17 @@ PLAIN = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
 def number(text: Column) -> Column:
-    """The double a text holds; null where it is not a plain decimal number."""
-    return F.when(text.rlike(PLAIN), text.try_cast("double"))
+    """The double a text holds; null where it is not a plain decimal number.
+
+    ``text`` occurs once in the expression, so that chains of such functions
+    don't grow with every step.
+    """
+    return F.regexp_extract(text, PLAIN, 0).try_cast("double")
 
 
 def rendered(value: Column) -> Column:
-    """A double in its shortest decimal form, without exponent or trailing zeros."""
-    digits = value.cast("string").try_cast("decimal(38,18)").cast("string")
-    digits = F.when(digits.rlike("[Ee]"), F.lit("0")).otherwise(digits)
+    """A double in its shortest decimal form, without trailing zeros; below a millionth with an exponent."""
+    digits = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), "^0E-18$", "0")
     return F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 #: The code points counted as white space at the ends of a text.
 BLANKS = r"[\s\u0085\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+#: The same code points, for trimming.
+BLANK_CHARACTERS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200C))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 
 def trim_all(text: Column | str) -> Column:
     """``text`` without white space of any kind at its ends; null stays null."""
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(text, F.lit(BLANK_CHARACTERS))
 
 
 def tokens(text: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.text import contains_text, trim_all
@@ -17,13 +17,13 @@ from skeinworks.functions.text import contains_text, trim_all
 def latest(rows: DataFrame, key: str, arrival: list[str]) -> DataFrame:
     """The last arrival of each key, all columns from that row.
 
-    An aggregate with partial maxima before the shuffle, so that a key with
-    very many rows reaches one task as few. Null keys are left out; of equal
-    arrivals the greatest row counts.
+    The group limit is taken in every input partition before the shuffle, so
+    that a key with very many rows sends one row from each. Null keys are left
+    out; of equal arrivals, the content of the rows decides.
     """
-    rest = [c for c in rows.columns if c != key]
-    ordered = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(arrival)])
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), ordered).alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    content = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+    last = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in arrival], content)
+    return rows.where(F.col(key).isNotNull()).withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth")
 
 
 def replaced(current: DataFrame, batch: DataFrame, key: str, arrival: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions.text import trim_all
 from skeinworks.operators import history, nested, packed, proximity, quantities
-from skeinworks.session import written
+from skeinworks.session import shuffle_partitions, written
 from skeinworks.sources.tables import table
 
 VARIANT = nested.TableRule(
@@ -28,14 +28,13 @@ def _catalogue(spark: SparkSession, directory: str) -> str:
     typed = table(spark, directory, "products")
     pages = table(spark, directory, "raw_pages")
     rows = nested.emit_typed(typed, PRODUCT, F.concat(F.lit("p:"), F.col("row_id").cast("string")), F.col("fetched_at"))
-    keyed = pages.withColumn("_key", F.concat(F.lit("r:"), F.col("page_id").cast("string"))).repartition(*_spread(pages))
+    keyed = pages.withColumn("_key", F.concat(F.lit("r:"), F.col("page_id").cast("string")))
+    wide = shuffle_partitions(spark)
+    if keyed.rdd.getNumPartitions() < wide:  # few large rows in few files: they are spread; many files are read as they are
+        keyed = keyed.repartition(wide, "page_id")
     return nested.write_tables(rows.unionByName(nested.emit_json(keyed, PRODUCT, "_key", "body", "fetched_at")))
 
 
-def _spread(pages: DataFrame) -> list:
-    return [max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "page_id"]
-
-
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     """The variants each product had in its latest fetch that states them."""
     tagged = nested.read_tagged(spark, _catalogue(spark, directory))
@@ -110,6 +109,33 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p2_found, p3_found, p4_found, p6_found, p6_versions)}
 
 ORACLE_SQL = {
+    "p1_found": """
+WITH page AS (SELECT fetched_at, coalesce(json_extract(body, '$.products'), json_extract(body, '$.data.products')) AS p FROM raw_pages WHERE json_valid(body)),
+prod AS (SELECT fetched_at, unnest(CASE json_type(p) WHEN 'ARRAY' THEN json_extract(p, '$[*]') ELSE json_extract(p, '$.edges[*].node') END) AS p FROM page),
+nested AS (SELECT regexp_extract(json_extract_string(p, '$.id'), '(\\d+)\\D*$', 1)::bigint AS pid, fetched_at, json_extract(p, '$.variants') AS v FROM prod),
+listed AS (SELECT pid, fetched_at, CASE WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN json_extract(v, '$.edges') IS NOT NULL THEN json_extract(v, '$.edges[*].node') ELSE [v] END AS v
+  FROM nested WHERE v IS NOT NULL AND json_type(v) <> 'NULL'),
+stated AS (
+  SELECT pid, fetched_at, list_transform(v, lambda x: try_cast(nullif(regexp_extract(json_extract_string(x, '$.id'), '(\\d+)\\D*$', 1), '') AS bigint)) AS ids FROM listed
+  UNION ALL SELECT id, fetched_at, list_transform(variants, lambda x: x.id) FROM products WHERE id IS NOT NULL AND variants IS NOT NULL),
+newest AS (SELECT pid, max(fetched_at) AS fetched_at FROM stated GROUP BY pid),
+found AS (SELECT s.pid AS product_id, unnest(s.ids) AS variant_id FROM stated s JOIN newest n ON s.pid = n.pid AND s.fetched_at = n.fetched_at)
+SELECT DISTINCT product_id, variant_id FROM found WHERE variant_id IS NOT NULL
+""",
+    "p3_found": """
+WITH lot AS (
+  SELECT zpid, max(latLong.latitude) AS lat, max(latLong.longitude) AS lon FROM search_lots
+  WHERE zpid IS NOT NULL AND latLong.latitude <> 0 AND latLong.longitude <> 0 AND abs(latLong.latitude) <= 90 AND abs(latLong.longitude) <= 180 GROUP BY zpid),
+near AS (
+  SELECT a.zpid AS key_a, b.zpid AS key_b FROM lot a JOIN lot b ON a.zpid < b.zpid AND abs(a.lat - b.lat) < 0.003
+  WHERE 2 * 6371008.8 * asin(least(1, sqrt(sin(radians(a.lat - b.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(a.lon - b.lon) / 2) ** 2))) <= 250),
+corner AS (SELECT zone_id, ring, unnest(range(1, len(ring) + 1)) AS i FROM flood_zones),
+edge AS (SELECT zone_id, ring[i].longitude AS x1, ring[i].latitude AS y1, ring[i % len(ring) + 1].longitude AS x2, ring[i % len(ring) + 1].latitude AS y2 FROM corner),
+inside AS (
+  SELECT zpid AS key_a, zone_id AS key_b FROM lot JOIN edge ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+  GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT 'lot' AS kind, key_a, key_b FROM near UNION ALL SELECT 'zone', key_a, key_b FROM inside
+""",
     "p6_found": """
 WITH reading AS (
   SELECT id, taken_ns, nullif(first_seen_ns, 0) AS fs, nullif(min_price_cents, 0) AS mp,

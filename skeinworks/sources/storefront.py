@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinworks.functions.extract import feed_capacity_tb, feed_condition, tag_value, tagged_condition, variant_capacity_tb, without_suffix
 from skeinworks.functions.numbers import cents_rounded, number
-from skeinworks.functions.text import BLANKS, stripped_html, trim_all
+from skeinworks.functions.text import stripped_html, trim_all
 from skeinworks.sources.raw import aspects
 
 PRODUCTS = """products array<struct<id bigint, title string, handle string, body_html string, vendor string, product_type string, tags string,
@@ -24,7 +24,7 @@ def tag_list(tags: Column) -> Column:
     """Tags as an array, from a JSON array in text or from a text split at commas; blanks trimmed, empty ones left out."""
     plain = trim_all(F.coalesce(tags, F.lit("")))
     listed = F.when(plain.startswith("["), F.from_json(plain, "array<string>", {"allowSingleQuotes": "false"}))
-    each = F.transform(F.coalesce(listed, F.split(plain, ",")), lambda t: F.regexp_replace(t, f"^{BLANKS}+|{BLANKS}+$", ""))
+    each = F.transform(F.coalesce(listed, F.split(plain, ",")), trim_all)
     return F.filter(each, lambda t: t != "")
 
 

@@ -40,21 +40,25 @@ _EM_ROUNDS, _EM_STOP = 200, 1e-9
 # The shapes of series codes. D stands for a digit, also where an O, I or L was typed.
 _D = "[0-9OIL]"
 _SHAPES = (rf"[A-Z]{{2}}{_D}{{4}}", rf"[A-Z]{_D}{{4}}[A-Z]", rf"{_D}{{4}}[A-Z]{{2}}", rf"[A-Z]{{4,6}}{_D}{{4}}")
-_CODE = "(?P<code>" + "|".join(_SHAPES) + ")"
 _TAIL = r"\d?(?:0F\d{5})?(?:RFB|OEM|RETAIL|BULK|SR|UG|AB|R|P)*$"
 # The grammars of part numbers, without separators. t: tenths of a terabyte, g: gigabytes, p: terabytes with P for the point.
 _PARTS = tuple(
-    re.compile("^" + grammar + _TAIL)
+    re.compile("^" + grammar.replace("CODE", f"(?P<code>{shape})") + _TAIL)
     for grammar in (
-        rf"(?:BV|US|QM)(?P<t>{_D}{{3}}){_CODE}(?P<i>[STV])",
-        rf"(?P<p>{_D}{{1,2}}|{_D}P{_D}{{2}})T(?:NH|OD){_CODE}(?P<i>[STV])",
-        rf"(?:HY|PL)\d{_CODE}(?P<t>{_D}{{3}})(?P<i>[STV])",
-        rf"(?:TX|DW){_CODE}(?P<i>[STV])(?P<t>{_D}{{3}})",
-        rf"{_CODE}(?P<g>{_D}{{3,5}})(?P<i>[STV])",
+        rf"(?:BV|US|QM)(?P<t>{_D}{{3}})CODE(?P<i>[STV])",
+        rf"(?P<p>{_D}{{1,2}}|{_D}P{_D}{{2}})T(?:NH|OD)CODE(?P<i>[STV])",
+        rf"(?:HY|PL){_D}CODE(?P<t>{_D}{{3}})(?P<i>[STV])",
+        rf"(?:TX|DW)CODE(?P<i>[STV])(?P<t>{_D}{{3}})",
+        rf"CODE(?P<g>{_D}{{3,5}})(?P<i>[STV])",
     )
+    for shape in (*_SHAPES[:3], *(rf"[A-Z]{{{n}}}{_D}{{4}}" for n in (4, 5, 6)))
 )
+#: What a letter typed for a digit counts against a reading; an L is seldom meant for a 1.
+_SLIP = {"O": 1.0, "I": 1.0, "L": 2.0}
 # Capacities of flash drives as written in three digits, in gigabytes.
 _FLASH = {"048": 480, "096": 960, "192": 1920, "384": 3840, "768": 7680}
+#: Sizes below a terabyte, and of flash drives, that occur; larger ones are whole terabytes.
+_SIZES = frozenset((120, 128, 240, 250, 256, 300, 320, 400, 480, 500, 512, 600, 640, 750, 800, 900, 960, 1200, 1500, 1600, 1800, 1920, 2400, 2500, 3200, 3840, 6400, 7680, 15360, 30720, 61440))
 _INTERFACES = {"S": "SAS", "T": "SATA", "V": "NVMe"}
 _INTERFACE_WORDS = (("SATA", re.compile(r"\bs-?ata", re.I)), ("SAS", re.compile(r"\bsas(?:\b|[- ]?[1-4])", re.I)), ("NVMe", re.compile(r"\bnvme|\bpcie|\bu\.2\b", re.I)))
 #: Words of listings that sell a part of a drive or something for it.
@@ -71,41 +75,72 @@ _SIZE_TOKEN = re.compile(r"\d+[.,]\d+-?(?:t|tb|gb|to|go)|\d{1,2}-?(?:t|to)|\d+-?
 _UNIT_LETTERS = frozenset("GB TB MB GO TO MO KB".split())
 
 
+def plausible(gigabytes: float) -> bool:
+    """Whether drives of this size are made: it tells a size from digits of a code."""
+    return 0 < gigabytes <= 100_000 and (gigabytes % 1000 == 0 or gigabytes in _SIZES)
+
+
+def _digit_part(shape: int, length: int) -> slice:
+    return (slice(2, 6), slice(1, 5), slice(0, 4), slice(length - 4, length))[shape]
+
+
+def _slips(text: str) -> float:
+    return sum(_SLIP.get(c, 0.0) for c in text)
+
+
+def _readings(word: str) -> list[tuple[float, int, str]]:
+    """(slips, shape, code without slips) of each shape that ``word`` can have, at least two digits being typed as such."""
+    word = word.upper()
+    out = []
+    for shape, pattern in enumerate(_SHAPES):
+        if re.fullmatch(pattern, word) and sum(c.isdigit() for c in word) >= 2:
+            at = _digit_part(shape, len(word))
+            out.append((_slips(word[at]), shape, word[: at.start] + _digits(word[at]) + word[at.stop :]))
+    return sorted(out)
+
+
 def canonical(code: str) -> str:
     """A code without the slips that confuse O with 0 and I or L with 1 in its digits."""
-    code = code.upper()
-    digits = str.maketrans("OIL", "011")
-    for i, shape in enumerate(_SHAPES):
-        if re.fullmatch(shape, code):
-            at = (slice(2, 6), slice(1, 5), slice(0, 4), slice(-4, None))[i]
-            start, stop, _ = at.indices(len(code))
-            return code[:start] + code[start:stop].translate(digits) + code[stop:]
-    return code
+    return next((c for _, _, c in _readings(code)), code.upper())
 
 
 def _digits(text: str) -> str:
     return text.translate(str.maketrans("OIL", "011"))
 
 
-def part_number(text: str) -> tuple[str, int, str] | None:
-    """(code, gigabytes, interface) that a part number states; endings of sellers and revision signs don't count."""
-    squeezed = re.sub(r"[^A-Z0-9]", "", re.split(r"[_#]", text.upper())[0])
+def part_number(text: str, size: int | None = None) -> tuple[str, int, str] | None:
+    """(code, gigabytes, interface) that a part number states; endings of sellers and revision signs don't count.
+
+    Of several readings the one with the fewest slips counts; a mark typed
+    where the code ends, and the size known from elsewhere, speak for one.
+    """
+    body = re.split(r"[_#]", text.upper())[0]
+    squeezed = re.sub(r"[^A-Z0-9]", "", body)
     if not 10 <= len(squeezed) <= 32:
         return None
+    marks, seen = set(), 0
+    for c in body:
+        marks |= set() if c.isascii() and c.isalnum() else {seen}
+        seen += c.isascii() and c.isalnum()
+    best: tuple[float, tuple[str, int, str]] | None = None
     for grammar in _PARTS:
         m = grammar.match(squeezed)
         if not m or sum(c.isdigit() for c in m["code"]) < 2:
             continue
         found = {k: _digits(v) for k, v in m.groupdict().items() if v and k in "tgp"}
         if "t" in found:
-            size = _FLASH.get(found["t"], int(found["t"]) * 100)
+            gigabytes = _FLASH.get(found["t"], int(found["t"]) * 100)
         elif "p" in found:
-            size = round(float(found["p"].replace("P", ".")) * 1000)
+            gigabytes = round(float(found["p"].replace("P", ".")) * 1000)
         else:
-            size = int(found["g"])
-        if size:
-            return canonical(m["code"]), size, _INTERFACES[m["i"]]
-    return None
+            gigabytes = int(found["g"])
+        if not plausible(gigabytes):
+            continue
+        slips, _, code = _readings(m["code"])[0]
+        score = slips + _slips("".join(m[k] for k in found)) - 1.5 * (m.end("code") in marks) - 2.0 * (gigabytes == size)
+        if best is None or score < best[0]:
+            best = score, (code, gigabytes, _INTERFACES[m["i"]])
+    return best[1] if best else None
 
 
 def _tokens(text: str) -> list[str]:
@@ -113,30 +148,33 @@ def _tokens(text: str) -> list[str]:
 
 
 def _codes(tokens: list[str]) -> list[str]:
-    """Candidate codes of a text, best first: whole tokens, then codes typed with blanks inside."""
-    single, joined = [], []
+    """Candidate codes of a text, best first: whole tokens, then codes typed with blanks inside, then those that a common word is part of."""
+    found: list[tuple] = []
     for i, token in enumerate(tokens):
         for n in (1, 2, 3):
             parts = tokens[i : i + n]
-            if len(parts) < n:
+            if len(parts) < n or n > 1 and any(_SIZE_TOKEN.fullmatch(p) for p in parts):
                 break
-            word = "".join(parts).upper().replace("-", "")
+            word = "".join(parts).replace("-", "")
             following = tokens[i + n].lower() if i + n < len(tokens) else ""
-            shape = next((k for k, s in enumerate(_SHAPES) if re.fullmatch(s, word)), None)
-            if shape is None or sum(c.isdigit() for c in word) < 2 or following.startswith(("rpm", "u/min", "tr/min")):
-                continue
-            if shape == 2 and word[4:] in _UNIT_LETTERS - {"TB"} or n > 1 and shape == 2 and following == "stock":
+            readings = _readings(word)
+            if not readings or following.startswith(("rpm", "u/min", "tr/min")) or n > 1 and not (parts[0].isalpha() or parts[-1].isalpha()):
                 continue
-            if n > 1 and (following.lower() in ("gb", "tb", "mb", "go", "to") or shape in (0, 3) and parts[0].lower() in _COMMON and not (parts[0].upper() in _UNIT_LETTERS and i and tokens[i - 1].isalpha())):
-                continue
-            if n > 1 and not (parts[0].isalpha() or parts[-1].isalpha()):
-                continue
-            (single if n == 1 else joined).append((n, shape == 3, canonical(word)))
-    return [c for _, _, c in single] + [c for _, _, c in sorted(joined)]
+            slips, shape, code = readings[0]
+            common = False
+            if shape == 2 and code[4:] in _UNIT_LETTERS:
+                # Four digits and GB are a size where there are drives of it, and a code where not; no cache has four digits of MB.
+                if code[4:] == "GB" and plausible(int(code[:4])) and not code.startswith("0"):
+                    continue
+                common = n > 1
+            if n > 1:
+                common = common or following in ("gb", "tb", "mb", "go", "to") or shape == 2 and following == "stock" or shape in (0, 3) and parts[0].lower() in _COMMON and not (parts[0].upper() in _UNIT_LETTERS and i > 0 and tokens[i - 1].isalpha())
+            found.append((common, n > 1, shape == 3 and n > 1, slips, n, i, code))
+    return [f[-1] for f in sorted(found)]
 
 
 #: Words before a number that are no part of a code.
-_COMMON = frozenset("used data sata disk zoll hard dur sas hdd ssd new sealed tested ready rated rpm ship packed good stock returns price grade hours oem inch lot tb gb mb of us the nas hot free top low fast pro only brand from note inc corp labs mark well deep umbra scale norr haven quill state solid drive cache".split())
+_COMMON = frozenset("used data sata disk zoll hard dur sas hdd ssd new sealed tested ready rated rpm ship packed good stock returns price grade hours oem seller buy inch lot tb gb mb of us the nas hot free top low fast pro only brand from note inc corp labs mark well deep umbra scale norr haven quill state solid drive cache".split())
 
 
 def capacity(text: str) -> int | None:
@@ -145,9 +183,10 @@ def capacity(text: str) -> int | None:
         value, unit = number(m[1]), m[2].lower()
         if value:
             scale = 1000 if unit[0] == "t" else 1
-            if "ib" in unit:
-                return round(float(value) * (1.099511627776 * 1000 if scale == 1000 else 1.073741824))
-            return round(float(value) * scale)
+            binary = (1.099511627776 if scale == 1000 else 1.073741824) if "ib" in unit else 1.0
+            gigabytes = round(float(value) * scale * binary)
+            if binary > 1 and gigabytes < 100_000 or plausible(gigabytes):
+                return gigabytes
     return None
 
 
@@ -168,11 +207,11 @@ def attributes(title: str | None, mpn: str | None, model: str | None, brand: str
     # A part number typed with blanks is looked for in neighbouring tokens; a size on its own belongs to no part number.
     runs = (tokens[i : i + n] for n in (1, 2, 3) for i in range(len(tokens) - n + 1))
     written_parts = [mpn or "", *(" ".join(r) for r in runs if not any(_SIZE_TOKEN.fullmatch(t) for t in r))]
-    part = next((p for p in map(part_number, written_parts) if p), None)
+    size = capacity(title)
+    part = next((p for p in (part_number(w, size) for w in written_parts) if p), None)
     words = _CACHE.sub(" ", title)
     interfaces = [name for name, pattern in _INTERFACE_WORDS if pattern.search(words)]
     interface = interfaces[0] if len(interfaces) == 1 else None
-    size = capacity(title)
     if size is None and aspects:
         try:
             got = json.loads(aspects)

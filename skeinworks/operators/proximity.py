@@ -134,7 +134,10 @@ def _descend(open_pairs: DataFrame, a: DataFrame, b: DataFrame, judge, name: str
 
 
 def near_pairs(points: DataFrame, metres: float) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: two points at most ``metres`` apart on the sphere."""
+    """(key_a, key_b), key_a < key_b: two points at most ``metres`` apart on the sphere.
+
+    ``points`` are clean_points(); they are read three times, so give a written table.
+    """
     spark = points.sparkSession
     points = written(points, "points")
     nodes, leaves = tree(points)
@@ -193,7 +196,10 @@ def _region_tree(regions: DataFrame) -> DataFrame:
 
 
 def regions_of(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """(key, region): the regions whose outline contains the point; edges are straight in longitude and latitude."""
+    """(key, region): the regions whose outline contains the point; edges are straight in longitude and latitude.
+
+    ``points`` are clean_points(), best written, as for near_pairs().
+    """
     spark = points.sparkSession
     points = written(points, "points")
     nodes, leaves = tree(points)

@@ -19,7 +19,8 @@ def matched_watches(items: DataFrame, watches: list[dict]) -> DataFrame:
 
     The searches are few and given by the caller; each row is tested against
     all in one pass. The limit goes by recency, before any further filter, and
-    is taken by a group limit below the shuffle. A limit of 0 is none.
+    is taken in every input partition before the shuffle. A limit of 0 is
+    none; such searches need no order and take no part in the ranking.
     """
     items = items.drop("watch")
     hits = []
@@ -27,8 +28,11 @@ def matched_watches(items: DataFrame, watches: list[dict]) -> DataFrame:
         hit = F.coalesce(F.col("category") == w["category"], F.lit(False)) if w.get("category") else F.lit(True)
         if w.get("text"):
             hit = hit & contains_text(F.col("title"), None, w["text"])
-        hits.append(F.when(hit, F.struct(F.lit(w["name"]).alias("watch"), F.lit(w.get("limit") or 2**31 - 1).alias("_limit"))))
+        hits.append(F.when(hit, F.struct(F.lit(w["name"]).alias("watch"), F.lit(w.get("limit") or 0).alias("_limit"))))
     each = items.select("*", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("_hit")).select("*", "_hit.*").drop("_hit")
+    limits = [w["limit"] for w in watches if w.get("limit")]
     recent = Window.partitionBy("watch").orderBy(F.desc("seen_at"), "id")
-    most = max((w.get("limit") or 2**31 - 1) for w in watches) if watches else 0
-    return each.withColumn("_n", F.row_number().over(recent)).where(f"_n <= {most} and _n <= _limit").drop("_n", "_limit")
+    first = each.where("_limit > 0").withColumn("_n", F.row_number().over(recent)).where(f"_n <= {max(limits, default=0)} and _n <= _limit").drop("_n")
+    if len(limits) < len(watches):
+        first = first.unionByName(each.where("_limit = 0"))
+    return first.drop("_limit")

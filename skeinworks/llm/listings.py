@@ -6,11 +6,13 @@
    classes and not all their copies.
 3. Classes are compared within blocks (the same code; the same digits of the
    code with the same capacity and interface), field by field: agree, close,
-   differ, unknown.
+   differ, unknown. So is each class with itself.
 4. Fellegi-Sunter weights of the fields are fitted by expectation-maximisation
-   over the counts of the patterns, each weighted by the listings it stands for.
-5. Links of at least ``THRESHOLD`` probability, no defining field of which
-   differs, are clustered to groups by connected components.
+   over the counts of the patterns, each weighted by the pairs of listings it
+   stands for.
+5. Pairs that are more probably a match than not, and in which no defining
+   field differs, are links; they are clustered to groups by connected
+   components. Listings of a class whose own pattern is no link stay single.
 
 Defined results: a listing without a series code, or of an accessory, is in no
 group; unknown fields neither help nor hurt; hints without meaning count as
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from skeinworks.functions.units import number
 from skeinworks.session import written
 
-THRESHOLD = 0.9
+THRESHOLD = 0.5
+#: The share of codes whose slips the reading does not undo.
+_UNDONE = 0.01
 FIELDS = ("maker", "code", "capacity", "interface")
 #: The fields that define a model: a link may not differ in one of them.
 DEFINING = ("code", "capacity", "interface")
@@ -279,33 +283,64 @@ def compared(found: DataFrame) -> DataFrame:
     return same_code.unionByName(other_code).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"), (F.col("a_n") * F.col("b_n")).alias("n"), *[c.alias(f) for f, c in _levels().items()])
 
 
-def fit(patterns: dict[tuple, float]) -> dict[tuple, float]:
-    """The probability of a match for each pattern of levels, by expectation-maximisation of the Fellegi-Sunter mixture."""
-    levels = (0, 1, 2)
-    m = {f: {0: 0.05, 1: 0.1, 2: 0.85} for f in FIELDS}
-    u = {f: {0: 0.7, 1: 0.1, 2: 0.2} for f in FIELDS}
-    share, total = 0.2, sum(patterns.values())
-    match: dict[tuple, float] = dict.fromkeys(patterns, 0.0)
-    for _ in range(_EM_ROUNDS):
-        for pattern in patterns:
+def chance_agreement(found: DataFrame) -> dict[str, float]:
+    """For each defining field, how often two listings drawn at random agree in it."""
+    out = {}
+    for f in DEFINING:
+        counts = found.where(F.col(f).isNotNull()).groupBy(f).agg(F.sum("n").cast("double").alias("n"))
+        r = counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")).first()
+        pairs = (r["n"] or 0.0) * ((r["n"] or 0.0) - 1)
+        out[f] = min(max((r["same"] or 0.0) / pairs if pairs > 0 else 0.5, 1e-9), 1 - 1e-6)
+    return out
+
+
+def fit(patterns: dict[tuple, float], chance: dict[str, float]) -> dict[tuple, float]:
+    """The probability of a match for each pattern of levels: Fellegi-Sunter weights by expectation-maximisation.
+
+    Pairs of one code give the weights of the other fields. Chance agreement
+    in capacity and interface is what random listings have and stays fixed;
+    that of the maker is estimated, as a code is one maker's. Pairs of
+    different codes are judged by the same weights, the odds of their codes,
+    and the chance agreement of makers that these pairs themselves show.
+    """
+    k = {f: i for i, f in enumerate(FIELDS)}
+    same = {p: n for p, n in patterns.items() if p[k["code"]] == 2}
+    u: dict[str, dict[int, float]] = {f: {2: chance[f], 1: 1e-3 * chance[f], 0: 1 - chance[f]} for f in DEFINING}
+    u["maker"] = {2: 0.5, 1: 0.25, 0: 0.25}
+    m: dict[str, dict[int, float]] = {f: {2: 0.95, 1: 0.03, 0: 0.02} for f in FIELDS}
+    used, share, total = ("maker", "capacity", "interface"), 0.2, sum(same.values())
+    match: dict[tuple, float] = {}
+    for _ in range(_EM_ROUNDS if same else 0):
+        for p in same:
             yes, no = share, 1 - share
-            for f, level in zip(FIELDS, pattern, strict=True):
+            for f in used:
+                level = p[k[f]]
                 if level is not None:
                     yes, no = yes * m[f][level], no * u[f][level]
-            match[pattern] = yes / (yes + no)
-        before, share = share, sum(n * match[p] for p, n in patterns.items()) / max(total, 1e-12)
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        for k, f in enumerate(FIELDS):
-            for side, weight in ((m, lambda p: match[p]), (u, lambda p: 1 - match[p])):
-                seen = {x: 1e-3 + sum(n * weight(p) for p, n in patterns.items() if p[k] == x) for x in levels}
-                side[f] = {x: seen[x] / sum(seen.values()) for x in levels}
+            match[p] = yes / (yes + no)
+        before, share = share, min(max(sum(n * match[p] for p, n in same.items()) / total, 1e-6), 1 - 1e-6)
+        for f in used:
+            for side, weight in ((m, lambda p: match[p]), *(((u, lambda p: 1 - match[p]),) if f == "maker" else ())):
+                seen = {x: 1e-3 + sum(n * weight(p) for p, n in same.items() if p[k[f]] == x) for x in (0, 1, 2)}
+                side[f] = {x: seen[x] / sum(seen.values()) for x in seen}
         if abs(share - before) < _EM_STOP:
             break
+    apart = {p: n for p, n in patterns.items() if p[k["code"]] != 2}
+    makers = {x: 1.0 + sum(n for p, n in apart.items() if p[k["maker"]] == x) for x in (0, 1, 2)}
+    strange = {x: n / sum(makers.values()) for x, n in makers.items()}
+    prior = share * chance["code"]
+    for p in apart:
+        odds = prior / (1 - prior) * (_UNDONE / (1e-3 * chance["code"]) if p[k["code"]] == 1 else 1e-6)
+        for f in used:
+            level = p[k[f]]
+            if level is not None:
+                odds *= m[f][level] / (strange if f == "maker" else u[f])[level]
+        match[p] = odds / (1 + odds)
     return match
 
 
 def _linking(pairs: DataFrame, found: DataFrame) -> list[tuple]:
-    """The patterns whose pairs are links."""
+    """The patterns whose pairs are links: probable enough, and no defining field differs; a code that is only close needs a maker that agrees."""
     counts = {tuple(r[f] for f in FIELDS): float(r["n"]) for r in pairs.groupBy(*FIELDS).agg(F.sum("n").alias("n")).collect()}  # at most 4 ** 4 rows
     # Listings of one class agree in all that is known of them; they are pairs too.
     known = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
@@ -313,8 +348,39 @@ def _linking(pairs: DataFrame, found: DataFrame) -> list[tuple]:
     for r in own.collect():
         key = tuple(r[f] for f in FIELDS)
         counts[key] = counts.get(key, 0.0) + float(r["n"])
-    match = fit({p: n for p, n in counts.items() if n > 0})
-    return [p for p, chance in match.items() if chance >= THRESHOLD and all(p[FIELDS.index(f)] != 0 for f in DEFINING)]
+    match = fit({p: n for p, n in counts.items() if n > 0}, chance_agreement(found))
+    at = FIELDS.index
+    return [p for p, chance in match.items() if chance >= THRESHOLD and all(p[at(f)] != 0 for f in DEFINING) and (p[at("code")] == 2 or p[at("maker")] in (1, 2))]
+
+
+def _is(patterns: list[tuple]) -> Column:
+    """Whether the levels of a pair are one of ``patterns``."""
+    out = F.lit(False)
+    for pattern in patterns:
+        same = F.lit(True)
+        for f, level in zip(FIELDS, pattern, strict=True):
+            same = same & F.col(f).eqNullSafe(F.lit(level))
+        out = out | same
+    return out
+
+
+def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links between classes, classes whose own listings are links of each other).
+
+    A class that leaves a defining field open is linked only where one class
+    fits it: else it would join models that differ in that field.
+    """
+    known = F.lit(True)
+    for f in DEFINING:
+        known = known & F.col(f).isNotNull()
+    links = pairs.where(_is(linking)).withColumn("known", known)
+    open_ = links.where("not known")
+    full = found.where(F.col("capacity").isNotNull() & F.col("interface").isNotNull()).select("class")
+    ends = open_.select(F.col("a").alias("class"), "a", "b").unionByName(open_.select(F.col("b").alias("class"), "a", "b")).join(full, "class", "left_anti")
+    once = ends.groupBy("class").agg(F.count("*").alias("fits"), F.min("a").alias("a"), F.min("b").alias("b")).where("fits = 1").select("a", "b")
+    levels = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
+    own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).select("class")
+    return links.where("known").select("a", "b").unionByName(once).distinct(), own
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -338,16 +404,13 @@ def grouped(offers: DataFrame) -> DataFrame:
     listings = written(parsed(offers), "listings")
     found = written(classes(listings), "classes")
     pairs = written(compared(found), "pairs")
-    linking = _linking(pairs, found)
-    is_link = F.lit(False)
-    for pattern in linking:
-        same = F.lit(True)
-        for f, level in zip(FIELDS, pattern, strict=True):
-            same = same & F.col(f).eqNullSafe(F.lit(level))
-        is_link = is_link | same
-    roots = components(pairs.where(is_link))
+    links, own = linked(pairs, _linking(pairs, found), found)
+    roots = components(links)
     named = listings.select("id", class_key().alias("class"), *DEFINING)
-    return named.join(roots, named["class"] == roots["vertex"], "left").select("id", "class", F.coalesce("root", "class").alias("model"), *DEFINING)
+    whole = named.join(roots, named["class"] == roots["vertex"], "left").join(own.withColumnRenamed("class", "_own"), F.col("class") == F.col("_own"), "left")
+    # The listings of a class that are no links of each other stay single.
+    alone = F.when(F.col("_own").isNull() & F.col("root").isNull(), F.concat_ws("#", "class", "id"))
+    return whole.select("id", "class", F.coalesce("root", alone, "class").alias("model"), *DEFINING)
 
 
 def same_model(groups: DataFrame) -> DataFrame:

@@ -56,9 +56,21 @@ def test_empty(spark):
 
 
 def test_em_tells_matches_from_chance():
-    patterns = {(2, 2, 2, 2): 900.0, (2, 2, 0, 2): 3000.0, (2, 2, 0, 0): 3000.0, (2, 2, 2, 0): 300.0, (None, 2, 2, 2): 90.0, (0, 2, 0, 0): 50.0}
-    chance = listings.fit(patterns)
-    assert chance[2, 2, 2, 2] > 0.9 > chance[2, 2, 0, 0] and chance[2, 2, 2, 2] > chance[2, 2, 2, 0]
+    patterns = {(2, 2, 2, 2): 430.0, (2, 2, 0, 2): 500.0, (2, 2, 0, 0): 420.0, (2, 2, 2, 0): 40.0, (None, 2, 2, 2): 30.0, (0, 2, 0, 0): 5.0, (0, 0, 2, 2): 300.0, (2, 0, 2, 2): 20.0, (2, 1, 2, 2): 3.0, (2, 2, 2, None): 2.0}
+    chance = listings.fit(patterns, {"code": 0.0005, "capacity": 0.08, "interface": 0.46})
+    assert chance[2, 2, 2, 2] > 0.85 and chance[None, 2, 2, 2] > 0.8
+    assert max(chance[p] for p in ((2, 2, 0, 2), (2, 2, 0, 0), (2, 2, 2, 0), (0, 0, 2, 2), (2, 0, 2, 2))) < 0.5
+    assert listings.fit({}, {"code": 0.1, "capacity": 0.1, "interface": 0.1}) == {}
+
+
+def test_an_open_field_joins_no_two_models(spark, rows):
+    data = []
+    for k in range(12):
+        data += [(f"s{k}", "Acme XA1234 4TB SAS", k), (f"t{k}", "Acme XA1234 4TB SATA", k), (f"u{k}", "Acme QB9876 4TB SAS", k), (f"w{k}", f"Acme RK55{k:02} 8TB SATA", k)]
+    data += [("open", "Acme XA1234 4TB", 1), ("one", "Acme QB9876 4TB", 1)]
+    df = spark.createDataFrame([(i, t, None, None, "Acme", None, n, None) for i, t, n in data], COLUMNS)
+    got = dict(rows(listings.grouped(df).select("id", "model")))
+    assert got["s0"] == got["s1"] != got["t0"] == got["t1"] and got["open"] not in (got["s0"], got["t0"]) and got["one"] == got["u3"]
 
 
 def test_components_of_a_long_chain(spark, rows):

@@ -71,38 +71,37 @@ _LATIN = frozenset(
 )
 _SHARED = frozenset("et in ex ad id est non sit qui ut ea sed dolor".split())
 
-# Phrases that stand in the place of a description.
+# Phrases that stand in the place of a description, each with parts of which a text must hold one before the phrase is looked for.
+_KINDS = ("text", "copy", "description", "detail", "content", "paragraph", "heading", "title", "story", "body", "caption", "headline", "subtitle")
 _KIND = r"(?:text|copy|description|details?|content|paragraph|heading|title|story|body|caption|headline|subtitle)"
+_START = r"(?:^|(?<=[.!?\n]) ?)\W*"
+_MADE_UP = ("draft", "example", "sample", "dummy", "filler", "placeholder")
 _FILLERS = (
-    rf"\b(?:your|the|some)? ?{_KIND} goes here\b",
-    rf"\b(?:your|type|enter|write|insert|add|put) (?:(?:your|the|some|a) )?(?:\w+ )?{_KIND} here\b",
-    r"\b(?:add|tell|write) your \w+ story in this (?:block|section)\b",
-    r"\buse this (?:section|area|block|space|text) to (?:tell|share|describe|explain|welcome|add)\b",
-    rf"(?:^|(?<=[.!?\n]) ?)\W*heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)",
-    rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon|pending)\b",
-    rf"\bthis is (?:a |an |some )?(?:filler|placeholder|dummy|sample|example|draft|blind) {_KIND}\b",
-    rf"(?:^|(?<=[.!?\n]) ?)\W*(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)",
-    r"\b(?:change|replace|edit|update|remove)(?: this| me)?(?: text| copy)? before (?:publishing|going live|launch|publication|release)\b",
-    r"\b(?:dummy text)(?:[,. ]+dummy text)+",
-    r"\b(?:TODO|FIXME|TBD)\s*[:-]\s*(?:write|add|fill|insert|replace|update|describe|text|copy|body|description)\b",
-    r"\b(?:asdf|qwer|jkl|qwerty)(?:\s+(?:asdf|qwer|jkl|qwerty))+\b",
-    r"\bx{3,}(?:\s+x{3,}){1,}\b",
-    r"\btest(?:\s+test){2,}\b",
-    r"\bhier (?:steht|kommt|folgt) (?:später |bald )?(?:der|die|das|ihr|ein) \w+",
-    r"(?:^|(?<=[.!?\n]) ?)\W*(?:weitere )?(?:beschreibung|text|details|inhalt) folgt(?: in kürze| bald)?\s*(?:[.!\n]|$)",
-    r"\bdies(?:er text)? ist (?:ein|nur ein) (?:blindtext|platzhalter|platzhaltertext|fülltext|mustertext|beispieltext)\b",
-    r"\bvotre (?:texte|description|titre) (?:va )?ici\b",
-    r"\b(?:description|texte|détails) (?:à venir|à suivre|bientôt disponible)",
-    r"\bceci est un (?:faux[ -]texte|texte (?:de remplissage|d['’]exemple|provisoire|factice))",
-    r"\b(?:su|tu) (?:texto|descripción|título) (?:va )?aquí",
-    r"\b(?:descripción|texto|detalles) (?:próximamente|pendiente|en breve)",
-    r"\beste es un texto (?:de relleno|de ejemplo|provisional|ficticio)",
+    ("goes here", rf"\b(?:your|the|some)? ?{_KIND} goes here\b"),
+    ("|".join(f"{k} here" for k in (*_KINDS, "details")), rf"\b(?:your|type|enter|write|insert|add|put) (?:(?:your|the|some|a) )?(?:\w+ )?{_KIND} here\b"),
+    ("story in this", r"\b(?:add|tell|write) your \w+ story in this (?:block|section)\b"),
+    ("use this ", r"\buse this (?:section|area|block|space|text) to (?:tell|share|describe|explain|welcome|add)\b"),
+    ("heading one|heading two|heading three|heading 1|heading 2|heading 3|heading 4|heading 5|heading 6", rf"{_START}heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)"),
+    ("coming soon|to follow|to be added|to come|to be announced|follows soon", rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon)\b"),
+    ("this is ", rf"\bthis is (?:a |an |some )?(?:filler|placeholder|dummy|sample|example|draft|blind) {_KIND}\b"),
+    ("|".join(f"{w} {k}" for w in _MADE_UP for k in _KINDS), rf"{_START}(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)"),
+    ("before publi|before going live|before launch|before release", r"\b(?:change|replace|edit|update|remove)(?: this| me)?(?: text| copy)? before (?:publishing|going live|launch|publication|release)\b"),
+    ("dummy text", r"\b(?:dummy text)(?:[,. ]+dummy text)+"),
+    ("todo|fixme|tbd", r"\b(?:TODO|FIXME|TBD)\s*[:-]\s*(?:write|add|fill|insert|replace|update|describe|text|copy|body|description)\b"),
+    ("asdf|qwer|jkl", r"\b(?:asdf|qwer|jkl|qwerty)(?:\s+(?:asdf|qwer|jkl|qwerty))+\b"),
+    ("xxx", r"\bx{3,}(?:\s+x{3,}){1,}\b"),
+    ("test test", r"\btest(?:\s+test){2,}\b"),
+    ("hier steht|hier kommt|hier folgt", r"\bhier (?:steht|kommt|folgt) (?:später |bald )?(?:der|die|das|ihr|ein) \w+"),
+    ("beschreibung folgt|text folgt|details folgt|inhalt folgt", rf"{_START}(?:weitere )?(?:beschreibung|text|details|inhalt) folgt(?: in kürze| bald)?\s*(?:[.!\n]|$)"),
+    ("blindtext|platzhalter|fülltext|mustertext|beispieltext", r"\bdies(?:er text)? ist (?:ein|nur ein) (?:blindtext|platzhalter|platzhaltertext|fülltext|mustertext|beispieltext)\b"),
+    ("votre ", r"\bvotre (?:texte|description|titre) (?:va )?ici\b"),
+    ("à venir|à suivre|bientôt disponible", r"\b(?:description|texte|détails) (?:à venir|à suivre|bientôt disponible)"),
+    ("ceci est", r"\bceci est un (?:faux[ -]texte|texte (?:de remplissage|d['’]exemple|provisoire|factice))"),
+    ("aquí", r"\b(?:su|tu) (?:texto|descripción|título) (?:va )?aquí"),
+    ("próximamente|pendiente|en breve", r"\b(?:descripción|texto|detalles) (?:próximamente|pendiente|en breve)"),
+    ("este es un texto", r"\beste es un texto (?:de relleno|de ejemplo|provisional|ficticio)"),
 )
-#: Parts of which every phrase above holds at least one.
-_FILLER_KEYS = tuple(
-    "goes here|text here|copy here|description here|detail here|details here|content here|paragraph here|heading here|title here|story here|body here|caption here|headline here|subtitle here|story in this|use this |heading |coming soon|to follow|to be added|to come|to be announced|follows soon|pending|filler|placeholder|dummy|sample|example|draft|blind|before publi|before going live|before launch|before release|todo|fixme|tbd|asdf|qwer|jkl|xxx|test test|hier |folgt|platzhalter|fülltext|mustertext|beispieltext|ici|à venir|à suivre|bientôt|ceci est|aquí|próximamente|pendiente|en breve|este es".split("|")
-)
-_FILLER = re.compile("|".join(f"(?:{p})" for p in _FILLERS), re.I | re.M)
+_FILLER = tuple((tuple(keys.split("|")), re.compile(pattern, re.I | re.M)) for keys, pattern in _FILLERS)
 
 _THING = r"(?:page|site|website|web ?site|shop|store|storefront|listing|offer|lot|item|product|map|gallery|service|url|content|view|auction)"
 _JS = r"(?:java ?scripts?|js|scripts?|scripting)"
@@ -169,6 +168,10 @@ _MESSAGES = (
     r"\b(?:activ[ea]|habilite|active) (?:java ?script|los scripts)[^\n.]*",
     r"\besta (?:página|tienda) (?:requiere|necesita) (?:scripts?|java ?script)[^\n.]*",
 )
+#: Parts of which every message holds at least one.
+_MESSAGE_KEYS = tuple(
+    "server error|service |bad gateway|gateway time|forbidden|unauthorized|bad request|too many requests| gone|not found|upstream|requested url|requested page|requested resource|find th|locate th|looking for|you requested|you wanted|maintenance|closed|paused|unavailable|suspended|offline|no longer available|something went wrong|unexpected condition|internal error|error has occurred|error occurred|database connection|fatal error|traceback|file \"|exception|error: |.java:|\"error|\"message|\"status|denied|permission|not allowed|request blocked|rate limited|blocked|logged out|your session|fehler|nicht gefunden|zugriff|nicht verfügbar|nicht erreichbar|erreur|introuvable|non trouvée|accès|indisponible|no encontramos|no se encontró|no existe|no encontrada|acceso|no está disponible|un error|javascript|java script| js|script|skript|cookies|your browser|robot|human".split("|")
+)
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES), re.I | re.M)
 # What goes with messages, and page navigation. It counts only beside a message.
 _BESIDE = (
@@ -233,7 +236,7 @@ def has_placeholder(text: str) -> bool:
 def has_filler(text: str) -> bool:
     """Whether filler stands in ``text`` for a description."""
     low = text.lower()
-    if any(k in low for k in _FILLER_KEYS) and _FILLER.search(text):
+    if any(pattern.search(text) for keys, pattern in _FILLER if any(k in low for k in keys)):
         return True
     if not any(w in low for w in ("lorem", "ipsum", "mollit", "nostrud", "consectetur", "commodo", "aliqua", "veniam", "officia", "laboris", "fugiat", "tempor")):
         return False
@@ -265,6 +268,9 @@ def _parts(text: str) -> Iterator[str]:
 
 def is_message(text: str) -> bool:
     """Whether ``text`` is nothing but messages, what goes with them, and page navigation."""
+    low = text.lower()
+    if not any(k in low for k in _MESSAGE_KEYS):
+        return False
     left = hits = 0
     for part in _parts(text):
         rest, n = _MESSAGE.subn(" \n ", part)

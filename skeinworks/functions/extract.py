@@ -163,3 +163,30 @@ def tier(value: Column, bounds: list[tuple[float, str]], below: str) -> Column:
     for bound, name in bounds:
         out = out.when(value >= bound, name)
     return out.otherwise(below)
+
+
+def labelled(value: Column, groups: dict[str, tuple[str, ...]], other: str | None = None) -> Column:
+    """The name of the group that holds ``value``; ``other`` for any other text, null for a blank one."""
+    plain = trim_all(value)
+    out = F.when(F.coalesce(plain, F.lit("")) == "", F.lit(None))
+    for name, members in groups.items():
+        out = out.when(plain.isin(*members), name)
+    return out.otherwise(F.lit(other))
+
+
+def instant(text: Column) -> Column:
+    """The moment an ISO 8601 text names: with or without fraction, with Z, an offset or neither (then UTC)."""
+    layouts = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(trim_all(text), F.lit(layout)) for layout in layouts])
+
+
+def whole_days(since: Column, now: Column) -> Column:
+    """Full days from a moment to ``now``; null where it lies ahead."""
+    days = F.floor((F.unix_micros(now) - F.unix_micros(since)) / 86_400_000_000)
+    return F.when(since <= now, days)
+
+
+def placed(lat: Column, lon: Column) -> Column:
+    """Whether two texts or numbers are a usable coordinate: both non-zero and in range."""
+    y, x = number(trim_all(lat.cast("string"))), number(trim_all(lon.cast("string")))
+    return F.coalesce((y != 0) & (x != 0) & F.abs(y).between(0, 90) & F.abs(x).between(0, 180), F.lit(False))

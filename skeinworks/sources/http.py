@@ -4,12 +4,14 @@
 ``{page}`` where pages are walked), ``member`` (the list of a page),
 ``page_size``, ``max_pages``, ``token``, ``budget``. One partition walks one
 address; several addresses, separated by blanks, are walked in parallel. Each
-row is a page: url, page, complete, body.
+row is a page: url, page, complete, body. ``land_search`` posts one search, with
+the filters of a query pushed into it.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import time
 import urllib.error
 import urllib.request
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 
 class BudgetSpent(RuntimeError):
@@ -82,13 +84,13 @@ class TokenCache:
         return self.token
 
 
-def patient_get(url: str, headers: dict[str, str], budget: DailyBudget | None = None, opener=urllib.request.urlopen, sleep=time.sleep, retries: int = 3, default_wait: float = 30, longest_wait: float = 120) -> bytes:
+def patient_get(url: str, headers: dict[str, str], budget: DailyBudget | None = None, data: bytes | None = None, opener=urllib.request.urlopen, sleep=time.sleep, retries: int = 3, default_wait: float = 30, longest_wait: float = 120) -> bytes:
     """The body at ``url``. Only a 429 is tried again, after the wait it asks for, within limits."""
     for attempt in range(retries + 1):
         if budget:
             budget.reserve()
         try:
-            with opener(urllib.request.Request(url, headers=headers), timeout=15) as response:
+            with opener(urllib.request.Request(url, data=data, headers=headers), timeout=15) as response:
                 if budget:
                     budget.hear(response.headers.get("X-RateLimit-Remaining"))
                 if response.status == 202:
@@ -159,6 +161,68 @@ class _PagedReader(DataSourceReader):
         yield from walk(partition.url, lambda u: patient_get(u, headers, budget), o.get("member", "products"), int(o.get("page_size", 250)), int(o.get("max_pages", 4)))
 
 
+def land_request(box: tuple[float, float, float, float], filters: list, most: int = 25) -> tuple[dict, list]:
+    """(request body, filters that the service does not apply): a land search, with what a query asks for pushed into it.
+
+    Bounds on acres, price in cents and days go upstream; the rest is left to Spark.
+    """
+    west, south, east, north = box
+    body: dict = {"bounds": {"west": west, "south": south, "east": east, "north": north}, "maxItems": max(1, min(most, 50))}
+    left = []
+    for f in filters:
+        name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+        if isinstance(f, (GreaterThanOrEqual, GreaterThan)) and name == "acres":
+            body.setdefault("lotSize", {})["min"] = math.floor(value * 43_560)
+        elif isinstance(f, (LessThanOrEqual, LessThan)) and name == "price_cents":
+            body.setdefault("price", {})["max"] = math.ceil(value / 100)
+        elif isinstance(f, (LessThanOrEqual, LessThan)) and name == "days":
+            body["daysOnMarket"] = value
+        left.append(f)  # the service rounds, so that Spark looks again
+    return body, left
+
+
+class LandSearch(DataSource):
+    """The format ``land_search``: options url, token, west, south, east, north, max_items."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "land_search"
+
+    def schema(self) -> str:
+        return "acres double, price_cents bigint, days int, body string"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        return _LandReader(dict(self.options))
+
+
+class _LandReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+        self.body, _ = land_request(self._box(), [], int(options.get("max_items", 25)))
+
+    def _box(self) -> tuple[float, float, float, float]:
+        return tuple(float(self.options[k]) for k in ("west", "south", "east", "north"))
+
+    def pushFilters(self, filters: list) -> list:  # noqa: N802
+        self.body, left = land_request(self._box(), filters, int(self.options.get("max_items", 25)))
+        return left
+
+    def read(self, partition) -> Iterator[tuple]:  # noqa: ANN001
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.options.get('token', '')}"}
+        yield from lot_rows(patient_get(self.options["url"], headers, data=json.dumps(self.body).encode()))
+
+
+def lot_rows(answer: bytes) -> Iterator[tuple]:
+    """(acres, price in cents, days, body) of each lot of a search answer."""
+    for lot in json.loads(answer).get("data") or []:
+        home = (lot.get("hdpData") or {}).get("homeInfo") or {}
+        value, unit = home.get("lotAreaValue"), (home.get("lotAreaUnit") or "").strip().lower()
+        size = value if unit in ("acres", "acre", "ac") else value / 43_560 if value and unit in ("sqft", "sq ft", "") else None
+        price = lot.get("unformattedPrice") or 0
+        yield size, math.floor(price * 100 + 0.5), lot.get("daysOnZillow"), json.dumps(lot)
+
+
 def register(spark: SparkSession) -> None:
-    """Adds the format to a session."""
+    """Adds the formats to a session."""
     spark.dataSource.register(PagedJson)
+    spark.dataSource.register(LandSearch)

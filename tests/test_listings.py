@@ -134,3 +134,12 @@ def test_lookups(spark, rows):
 def test_invalid_fields(spark):
     df = spark.createDataFrame([("a", 1, "x"), (" ", 1, "x"), ("a", -1, "x"), ("a", 1, "q"), (None, None, None)], "k string, p bigint, s string")
     assert [r[0] for r in df.select(items.invalid_field(["k"], ["p"], {"s": ["x"]})).collect()] == [None, "k", "p", "s", "k"]
+
+
+def test_dates_and_labels(spark):
+    moments = column(spark, ["2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05+01:00", "2024-01-02T03:04:05", "2024-01-02", "x", None], "string", lambda c: extract.instant(c).cast("string"))
+    assert moments == ["2024-01-02 03:04:05.678", "2024-01-02 02:04:05", "2024-01-02 03:04:05", "2024-01-02 00:00:00", None, None]
+    now = F.lit(T0)
+    assert column(spark, [T0 - timedelta(days=2, hours=5), T0, T0 + timedelta(days=1), None], "timestamp", lambda c: extract.whole_days(c, now)) == [2, 0, None, None]
+    assert column(spark, ["US", "DE", " ", None], "string", lambda c: extract.labelled(c, {"true": ("US",)}, "false")) == ["true", "false", None, None]
+    assert column(spark, ["48.5", "0", "91", "x", None], "string", lambda c: extract.placed(c, F.lit("-122.1"))) == [True, False, False, False, False]

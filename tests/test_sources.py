@@ -72,7 +72,7 @@ def test_http_client():
         return Answer(b"ok", headers={"X-RateLimit-Remaining": "1"})
 
     budget = http.DailyBudget(10, now=lambda: datetime(2025, 1, 1, tzinfo=UTC))
-    assert http.patient_get("u://a", {}, budget, opener, waits.append) == b"ok" and waits == [7.0, 7.0] and budget.left() == 1
+    assert http.patient_get("u://a", {}, budget, None, opener, waits.append) == b"ok" and waits == [7.0, 7.0] and budget.left() == 1
     budget.reserve()
     with pytest.raises(http.BudgetSpent):
         budget.reserve()
@@ -83,7 +83,7 @@ def test_http_client():
         raise urllib.error.HTTPError(request.full_url, 500, "", {}, io.BytesIO(b'{"error":{"code":"c","message":"m","request_id":"r"}}'))
 
     with pytest.raises(http.Unavailable, match="500: c m r"):
-        http.patient_get("u://a", {}, None, failing, waits.append)
+        http.patient_get("u://a", {}, None, None, failing, waits.append)
 
 
 def test_walk_and_token():
@@ -117,3 +117,25 @@ def test_config():
     with pytest.raises(ValueError):
         config.watches('{"watches":[{"name":" "}]}')
     assert not config.active({"expires_at": "2025-01-01"}, datetime(2025, 1, 1)) and config.active({}, datetime(2025, 1, 1))
+
+
+def test_land_search_pushes_filters():
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThanOrEqual
+
+    asked = [GreaterThanOrEqual(("acres",), 2.0), LessThanOrEqual(("price_cents",), 1_000_050), LessThanOrEqual(("days",), 30), EqualTo(("body",), "x")]
+    reader = http._LandReader({"west": "1", "south": "2", "east": "3", "north": "4", "max_items": "99"})
+    assert reader.pushFilters(asked) == asked
+    assert reader.body == {"bounds": {"west": 1.0, "south": 2.0, "east": 3.0, "north": 4.0}, "maxItems": 50, "lotSize": {"min": 87120}, "price": {"max": 10001}, "daysOnMarket": 30}
+    lot = {"unformattedPrice": 10.5, "daysOnZillow": 3, "hdpData": {"homeInfo": {"lotAreaValue": 87120, "lotAreaUnit": "sqft"}}}
+    assert [r[:3] for r in http.lot_rows(json.dumps({"data": [lot, {}]}).encode())] == [(2.0, 1050, 3), (None, 0, None)]
+
+
+def test_place_facts(spark):
+    from skeinworks.sources import places
+
+    data = [("a", '{"features":[{"attributes":{"FLD_ZONE":"AE","ZONE_SUBTY":" "}}]}', '{"value":"12.50"}', '{"Table":[["c"],["Barneston","Loam",85]]}'), ("b", "broken", '{"value":-1000000}', None)]
+    answers = spark.createDataFrame(data, "place string, f string, e string, s string")
+    facts = answers.select("place", places.attributes(flood=F.col("f"), elevation=F.col("e"), soil=F.col("s")).alias("facts"))
+    items = spark.createDataFrame([("1", "a", {"flood_zone": "own"}), ("2", "b", None), ("3", None, None)], "id string, place string, attributes map<string,string>")
+    got = {r["id"]: r["attributes"] for r in places.with_facts(items, facts, ["place"]).collect()}
+    assert got == {"1": {"flood_zone": "own", "elevation_m": "12.5", "soil_series": "Barneston", "soil_map_unit": "Loam", "soil_component_pct": "85"}, "2": {}, "3": {}}

@@ -77,3 +77,12 @@ def test_service(spark, tmp_path):
     assert get("/mcp", "POST", b'{"jsonrpc":"2.0","method":"notifications/initialized"}')[0] == 202
     assert "title" in api.as_table(g.items.read().select("id", "title"))
     assert api.main(["list"]) == 0 and api.main(["version"]) == 0 and api.main(["run", "zz", "d"]) == 2
+
+
+def test_derived_once_a_version(spark, tmp_path):
+    table, calls = SnapshotTable(spark, f"file://{tmp_path}/t", "k string"), []
+    make = lambda df: calls.append(1) or df
+    table.write(spark.createDataFrame([("a",)], "k string"))
+    assert table.derived("x", make).count() == table.derived("x", make).count() == 1 and len(calls) == 1
+    table.write(spark.createDataFrame([("a",), ("b",)], "k string"))
+    assert table.derived("x", make).count() == 2 and len(calls) == 2

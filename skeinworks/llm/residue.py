@@ -74,7 +74,7 @@ _SHARED = frozenset("et in ex ad id est non sit qui ut ea sed dolor".split())
 # Phrases that stand in the place of a description, each with parts of which a text must hold one before the phrase is looked for.
 _KINDS = ("text", "copy", "description", "detail", "content", "paragraph", "heading", "title", "story", "body", "caption", "headline", "subtitle")
 _KIND = r"(?:text|copy|description|details?|content|paragraph|heading|title|story|body|caption|headline|subtitle)"
-_START = r"(?:^|(?<=[.!?\n]) ?)\W*"
+_START = r"(?:^|(?<=[.!?\n]) ?)\W{0,12}"
 _MADE_UP = ("draft", "example", "sample", "dummy", "filler", "placeholder")
 _FILLERS = (
     ("goes here", rf"\b(?:your|the|some)? ?{_KIND} goes here\b"),
@@ -114,7 +114,7 @@ _MESSAGES = (
     r"\bupstream (?:request timeout|connect error)[^\n.]*",
     rf"\b(?:the )?requested (?:url|page|resource)[^\n.]{{0,60}} (?:was )?not found on this server",
     rf"\b(?:error\s+)?404\b\s*[-:–]?\s*(?:{_THING}\s+)?not found",
-    rf"(?:^|(?<=[.!?\n:]) ?|\d )\W*{_THING} not found\s*(?:\(\d+\))?\s*(?:[.!\n]|$)",
+    rf"(?:^|(?<=[.!?\n:]) ?|\d )\W{0,12}{_THING} not found\s*(?:\(\d+\))?\s*(?:[.!\n]|$)",
     rf"\b(?:sorry|hmm|oops|whoops|uh-oh)?[,:! ]*we (?:can['’]?t|cannot|could not|couldn['’]?t|were unable to) (?:find|locate) (?:this|that|the) {_THING}(?: you (?:requested|wanted|were looking for))?",
     rf"\bthe {_THING} you (?:are looking for|were looking for|requested|wanted) (?:has|was|is|does|could)[^\n.]{{0,60}}",
     rf"\bthis {_THING} (?:is|has been) (?:currently |temporarily |now )?(?:down for maintenance|under maintenance|closed right now|closed|paused|unavailable|suspended|offline|no longer available)(?: right now)?",
@@ -129,23 +129,23 @@ _MESSAGES = (
     r"(?:^|(?<=\s))(?:key|value|type|index|attribute|runtime|name|import)error: [^\n]*",
     r"^\s*at [\w.$<>]+\([\w.]+(?::\d+)?\)",
     r"\{\s*\"(?:error|errors|message|status)\"\s*:\s*(?:\{[^{}\n]*\}|\[[^\[\]\n]*\]|\"[^\"\n]*\"|\d+)(?:\s*,\s*\"\w+\"\s*:\s*(?:\"[^\"\n]*\"|\d+|null|true|false))*\s*\}",
-    r"(?:^|(?<=[.!?\n]) ?|error )\W*(?:access|permission) denied\s*(?:[.!\n]|$)",
+    r"(?:^|(?<=[.!?\n]) ?|error )\W{0,12}(?:access|permission) denied\s*(?:[.!\n]|$)",
     r"\byou (?:do not|don['’]?t) have permission to (?:view|access) this \w+",
     r"\byou are not allowed to (?:view|access) this \w+",
-    r"(?:^|(?<=[.!?\n]) ?)\W*(?:request blocked|too many requests)\s*(?:[.!\n]|$)",
+    r"(?:^|(?<=[.!?\n]) ?)\W{0,12}(?:request blocked|too many requests)\s*(?:[.!\n]|$)",
     r"\byou have been (?:rate limited|blocked|logged out)[^\n.]*",
     r"\byour session (?:has )?(?:ended|expired|timed out)",
     # in other languages
     r"\b(?:es ist )?ein (?:interner|unerwarteter|unbekannter) (?:server)?fehler (?:ist )?aufgetreten",
     r"\bseite (?:wurde )?nicht gefunden(?: \(\d+\))?",
-    r"(?:^|(?<=[.!?\n]) ?)\W*zugriff (?:verweigert|nicht erlaubt)",
+    r"(?:^|(?<=[.!?\n]) ?)\W{0,12}zugriff (?:verweigert|nicht erlaubt)",
     r"\b(?:der dienst|dieser dienst|diese seite|der shop|dieser shop) ist (?:derzeit|momentan|vorübergehend|zurzeit|zur zeit) nicht (?:verfügbar|erreichbar)",
     r"\berreur \d{3}\b\s*[:–-]?[^\n.]*",
-    r"(?:^|(?<=[.!?\n]) ?)\W*(?:page (?:introuvable|non trouvée)|accès (?:refusé|interdit))",
+    r"(?:^|(?<=[.!?\n]) ?)\W{0,12}(?:page (?:introuvable|non trouvée)|accès (?:refusé|interdit))",
     r"\b(?:le|ce) (?:service|site) est (?:momentanément|temporairement|actuellement) indisponible",
     r"\bune erreur (?:interne |inattendue )?(?:s['’]est produite|est survenue)",
     r"\berror \d{3}\b\s*[:–-]\s*no (?:encontramos|se encontró|existe)[^\n.]*",
-    r"(?:^|(?<=[.!?\n]) ?)\W*(?:página no encontrada|acceso (?:denegado|prohibido))",
+    r"(?:^|(?<=[.!?\n]) ?)\W{0,12}(?:página no encontrada|acceso (?:denegado|prohibido))",
     r"\bel servicio no está disponible(?: en este momento)?",
     r"\bse (?:ha producido|produjo) un error",
     # scripts and browser checks
@@ -199,7 +199,7 @@ _BESIDE = (
     r"\bsu navegador los tiene desactivados",
     r"\bthe gallery can['’]t load without js",
     r"\bhome(?: ?[|>/·•] ?\w+)+",
-    r"^\W*(?:search|cart(?: \(\d+\))?|home|shop|contact|menu|sign in|log in|login|register|account|checkout|skip to content|back to (?:results|top|shop|home)|help|about|faq|privacy|terms|imprint|impressum)\W*$",
+    r"^\W{0,12}(?:search|cart(?: \(\d+\))?|home|shop|contact|menu|sign in|log in|login|register|account|checkout|skip to content|back to (?:results|top|shop|home)|help|about|faq|privacy|terms|imprint|impressum)\W{0,12}$",
     r"\b(?:skip to content|back to results|cart \(\d+\))",
     r"©[^\n.]{0,60}",
 )

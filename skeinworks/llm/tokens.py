@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -24,9 +25,20 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A run of blanks from this length on is cut before the encoder's own expression, which would go back over all of it.
+_LONG_BLANK = re.compile(r"\s{2000}")
+
+
 def count(text: str | None, path: str = VOCABULARY) -> int:
     """The number of tokens of ``text``; special-token strings are ordinary text. Null and empty texts have none."""
-    return len(encoding(path).encode_ordinary(text)) if text else 0
+    if not text:
+        return 0
+    encoder = encoding(path)
+    if _LONG_BLANK.search(text):
+        import regex
+
+        return sum(len(encoder._encode_single_piece(piece)) for piece in regex.findall(PATTERN, text))
+    return len(encoder.encode_ordinary(text))
 
 
 def n_tokens(text: Column, path: str = VOCABULARY) -> Column:

@@ -114,3 +114,8 @@ def test_tokens(spark, rows):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     want = [len(other.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
     assert [n for _, n in sorted(rows(df.select("i", tokens.n_tokens(F.col("t")))))] == want
+
+
+def test_tokens_of_long_blank_runs():
+    assert tokens.count(" " * 300_000 + "a b") == tokens.count(" " * 1_000 + "a b") + 299_000
+    assert tokens.count("x" * 100_000) > 0

@@ -57,3 +57,12 @@ def test_column(spark, rows):
     df = spark.createDataFrame([(1, "Text goes here.", "k"), (2, None, "k"), (3, "fine", "k"), (1, "Text goes here.", "k")], "doc bigint, text string, kinds string")
     assert rows(residue.marked(df, "doc", "text")) == [(1, ["filler"])] * 2
     assert residue.marked(df.limit(0), "doc", "text").count() == 0
+
+
+def test_odd_long_texts_take_no_long_time():
+    import time
+
+    began = time.monotonic()
+    for text in ("." * 200_000, "! " * 100_000, "{" * 50_000, "[" * 50_000, "heading one " * 20_000, " " * 500_000 + "error: not found"):
+        residue.kinds(text + " draft text javascript")
+    assert time.monotonic() - began < 60

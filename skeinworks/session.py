@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="skein-", dir=os.environ.get("TMPDIR"))
+        folder = tempfile.mkdtemp(prefix="skein-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_SCRATCH[app] = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(_OWN_SCRATCH[app])
     return _OWN_SCRATCH[app]
 

@@ -21,7 +21,6 @@ unknown; repeated rows of an id count once, the last seen one.
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -379,7 +378,7 @@ def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[Da
     ends = open_.select(F.col("a").alias("class"), "a", "b").unionByName(open_.select(F.col("b").alias("class"), "a", "b")).join(full, "class", "left_anti")
     once = ends.groupBy("class").agg(F.count("*").alias("fits"), F.min("a").alias("a"), F.min("b").alias("b")).where("fits = 1").select("a", "b")
     levels = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
-    own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).select("class")
+    own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).join(full, "class", "left_semi").select("class")
     return links.where("known").select("a", "b").unionByName(once).distinct(), own
 
 

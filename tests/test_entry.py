@@ -40,8 +40,21 @@ def test_queries_match_their_sql(spark):
     for name, sql in plans.oracle_sql().items():
         df = plans.queries()[name](spark, SMALL)
         columns = sorted(df.columns)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
         answer = con.execute(sql)
         order = [[d[0] for d in answer.description].index(c) for c in columns]
         want = sorted((tuple(plain(r[i]) for i in order) for r in answer.fetchall()), key=str)
         assert got == want, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = lambda name: plans.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "l_comment" not in plan("item_latest") and "ReadSchema" in plan("item_latest")
+    scans = [line for line in plan("land_acreage").splitlines() if "FileScan" in line]
+    assert all("seller" not in line for line in scans) and scans
+    limited = plan("search_since_topk")
+    assert "TakeOrderedAndProject" in limited
+    assert "WindowGroupLimit" in plan("item_latest")

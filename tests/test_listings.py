@@ -20,7 +20,7 @@ def test_numbers(spark):
     assert column(spark, ["129.99", "89.5", "10", "1.239", "-2.5", "", "x", None, " 7 ", ".5"], "string", numbers.cents_truncated) == [12999, 8950, 1000, 123, -250, None, None, None, 700, 50]
     assert column(spark, [1.005, 2.5, 0.0, -1.0, None, float("nan")], "double", numbers.cents_rounded) == [100, 250, 0, 0, 0, 0]
     assert column(spark, [16.0, 0.96, 12345678.5, 1e-4, 22.96, None, 0.0], "double", numbers.rendered) == ["16", "0.96", "12345678.5", "0.0001", "22.96", None, "0"]
-    assert column(spark, ["16", " 16", "16d", "NaN", "1e3", "0x10", None], "string", numbers.number) == [16.0, None, None, None, 1000.0, None, None]
+    assert column(spark, ["16", " 16", "16d", "NaN", "1e3", "0x10", "16\n", None], "string", numbers.number) == [16.0, None, None, None, 1000.0, None, None, None]
 
 
 def test_extraction(spark):

@@ -72,7 +72,7 @@ _ACCESSORY = re.compile(
 #: Hints without meaning.
 _EMPTY = frozenset("na n/a none null unknown unbranded nobrand generic generisch doesnotapply notapplicable seetitle seedescription hdd ssd drive oem various houselabel 0 nichtzutreffend sinmarca".split())
 _LEGAL = re.compile(r"\b(?:inc|corp|corporation|ltd|llc|gmbh|co|company|technologies|technology|systems|storage|drives|digital|labs|data|memory|international|group)\b\.?|\(r\)|®|™", re.I)
-_GB = re.compile(r"(?<![\w.,])(\d+(?:[.,]\d+)*)[ -]*(tb|tib|gb|gib|to|go|t|terabytes?|gigabytes?|teraoctets?|gigaoctets?)(?![\w/])", re.I)
+_GB = re.compile(r"(?<![\w.,/-])(\d+(?:[.,]\d+)*)[ -]*(tb|tib|gb|gib|to|go|t|terabytes?|gigabytes?|teraoctets?|gigaoctets?)(?![\w/])", re.I)
 _CACHE = re.compile(r"(?:cache|buffer)\W*\d+\W*[mg]b|\d+\W*[mg]b\W*(?:cache|buffer)", re.I)
 _SIZE_TOKEN = re.compile(r"\d+[.,]\d+-?(?:t|tb|gb|to|go)|\d{1,2}-?(?:t|to)|\d+-?(?:tb|gb|go)", re.I)
 _UNIT_LETTERS = frozenset("GB TB MB GO TO MO KB".split())

@@ -108,6 +108,23 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p2_found, p3_found, p4_found, p6_found, p6_versions)}
 
+_VERSIONS = """
+WITH reading AS (
+  SELECT id, taken_ns, nullif(first_seen_ns, 0) AS fs, nullif(min_price_cents, 0) AS mp,
+         nullif(lower(regexp_replace(status, '^\\s+|\\s+$', '', 'g')), '') AS st
+  FROM (SELECT *, row_number() OVER (PARTITION BY id, taken_ns ORDER BY loaded_at DESC, row_id DESC) AS rn
+        FROM offer_snapshots WHERE id IS NOT NULL AND taken_ns IS NOT NULL) WHERE rn = 1),
+known AS (
+  SELECT id, taken_ns,
+         last_value(fs IGNORE NULLS) OVER w AS fs, last_value(mp IGNORE NULLS) OVER w AS mp, last_value(st IGNORE NULLS) OVER w AS st
+  FROM reading WINDOW w AS (PARTITION BY id ORDER BY taken_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+marked AS (
+  SELECT *, row_number() OVER w AS n, lag(fs) OVER w AS pf, lag(mp) OVER w AS pm, lag(st) OVER w AS ps
+  FROM known WINDOW w AS (PARTITION BY id ORDER BY taken_ns))
+SELECT id, taken_ns AS valid_from_ns, coalesce(lead(taken_ns) OVER (PARTITION BY id ORDER BY taken_ns), 0) AS valid_to_ns{more}
+FROM marked
+WHERE n = 1 OR fs IS DISTINCT FROM pf OR mp IS DISTINCT FROM pm OR st IS DISTINCT FROM ps
+"""
 ORACLE_SQL = {
     "p1_found": """
 WITH page AS (SELECT fetched_at, coalesce(json_extract(body, '$.products'), json_extract(body, '$.data.products')) AS p FROM raw_pages WHERE json_valid(body)),
@@ -136,21 +153,6 @@ inside AS (
   GROUP BY 1, 2 HAVING count(*) % 2 = 1)
 SELECT 'lot' AS kind, key_a, key_b FROM near UNION ALL SELECT 'zone', key_a, key_b FROM inside
 """,
-    "p6_found": """
-WITH reading AS (
-  SELECT id, taken_ns, nullif(first_seen_ns, 0) AS fs, nullif(min_price_cents, 0) AS mp,
-         nullif(lower(regexp_replace(status, '^\\s+|\\s+$', '', 'g')), '') AS st
-  FROM (SELECT *, row_number() OVER (PARTITION BY id, taken_ns ORDER BY loaded_at DESC, row_id DESC) AS rn
-        FROM offer_snapshots WHERE id IS NOT NULL AND taken_ns IS NOT NULL) WHERE rn = 1),
-known AS (
-  SELECT id, taken_ns,
-         last_value(fs IGNORE NULLS) OVER w AS fs, last_value(mp IGNORE NULLS) OVER w AS mp, last_value(st IGNORE NULLS) OVER w AS st
-  FROM reading WINDOW w AS (PARTITION BY id ORDER BY taken_ns ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-marked AS (
-  SELECT *, row_number() OVER w AS n, lag(fs) OVER w AS pf, lag(mp) OVER w AS pm, lag(st) OVER w AS ps
-  FROM known WINDOW w AS (PARTITION BY id ORDER BY taken_ns))
-SELECT id, taken_ns AS valid_from_ns, coalesce(lead(taken_ns) OVER (PARTITION BY id ORDER BY taken_ns), 0) AS valid_to_ns
-FROM marked
-WHERE n = 1 OR fs IS DISTINCT FROM pf OR mp IS DISTINCT FROM pm OR st IS DISTINCT FROM ps
-""",
+    "p6_found": _VERSIONS.format(more=""),
+    "p6_versions": _VERSIONS.format(more=", fs AS first_seen_ns, mp AS min_price_cents, st AS status"),
 }

@@ -106,6 +106,6 @@ def mixed(docs: DataFrame, targets: DataFrame, key: str, total: float | None = N
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """What each target source got: texts, size, share reached, the most uses of a text."""
     used = mix.groupBy("source").agg(F.count("*").alias("texts"), F.sum(F.col("size") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
-    got = targets.join(written(used, "used"), "source", "left")
+    got = targets.where("source is not null").dropDuplicates(["source"]).join(written(used, "used"), "source", "left")
     whole = got.agg(F.sum("tokens").alias("n")).first()["n"] or 0  # over one row a source
     return got.withColumn("all_tokens", F.lit(whole)).select("source", "target_share", "max_repeats", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.try_divide("tokens", "all_tokens"), F.lit(0.0)).alias("share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))

@@ -120,5 +120,5 @@ def packed(items: DataFrame, key: str, size: str, capacities: DataFrame, name: s
 def fill(packs: DataFrame, capacities: DataFrame, name: str, capacity: str) -> DataFrame:
     """(pack_name, capacity, packs, size, fill): how full the containers of each kind are on average."""
     used = packs.groupBy("pack_name", "pack").agg(F.sum("size").alias("size")).groupBy("pack_name").agg(F.count("*").alias("packs"), F.sum("size").alias("size"))
-    kinds = capacities.select(F.col(name).alias("pack_name"), F.col(capacity).alias("capacity"))
+    kinds = capacities.where(F.col(capacity) > 0).select(F.col(name).alias("pack_name"), F.col(capacity).alias("capacity")).dropDuplicates(["pack_name"])
     return used.join(kinds, "pack_name").select("pack_name", "capacity", "packs", "size", (F.col("size") / (F.col("packs") * F.col("capacity"))).alias("fill"))

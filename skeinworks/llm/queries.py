@@ -56,7 +56,7 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """Documents that are or hold leftovers of templates, filler, error pages or script notices."""
-    return residue.marked(table(spark, directory, "documents"), "doc_id", "text").select("doc_id")
+    return residue.marked(table(spark, directory, "documents"), "doc_id", "text").select("doc_id").distinct()
 
 
 def p9_kinds(spark: SparkSession, directory: str) -> DataFrame:

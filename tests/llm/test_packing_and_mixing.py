@@ -119,3 +119,12 @@ def test_tokens(spark, rows):
 def test_tokens_of_long_blank_runs():
     assert tokens.count(" " * 300_000 + "a b") == tokens.count(" " * 1_000 + "a b") + 299_000
     assert tokens.count("x" * 100_000) > 0
+
+
+def test_repeated_targets_and_capacities_count_once(spark):
+    m, got = mix(spark, [(1, "a", 5, 1.0, "h", "")], [("a", 1.0, 2), ("a", 1.0, 2), (None, 0.5, 1)])
+    t = spark.createDataFrame([("a", 1.0, 2), ("a", 1.0, 2)], TARGETS)
+    assert mixing.shares(m, t).count() == 1 and got["a"]["tokens"] == 10
+    kinds = spark.createDataFrame([("p", 10), ("p", 10)], "name string, cap int")
+    packs = packing.packed(spark.createDataFrame([(1, 4), (2, 6), (3, 6)], "doc bigint, n int"), "doc", "n", kinds, "name", "cap")
+    assert [tuple(r) for r in packing.fill(packs, kinds, "name", "cap").collect()] == [("p", 10, 2, 16, 0.8)]

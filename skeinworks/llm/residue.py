@@ -61,7 +61,8 @@ _PLACEHOLDERS = (
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
 #: Where a placeholder can begin.
 _HINT = re.compile(r"(?=[$#@]?\{|\[|<|%(?=[({%A-Z])|@@|\*\||__(?=[A-Z])|&lt;|[~#^$|!:]+[A-Z])")
-_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?(?:</\1>|\Z)|`[^`\n]+`|^(?: {4}|\t)\S.*$|^\s*(?:\$|>>>|#!)\s.*$", re.S | re.M | re.I)
+#: Fences and tags run over lines; an indented block goes on while its lines are indented, a command ends with its line.
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?(?:</\1>|\Z)|`[^`\n]+`|^(?: {4}|\t)\S[^\n]*(?:\n(?:(?: {4}|\t)[^\n]*|[ \t]*(?=\n)))*|^[^\S\n]*(?:\$|>>>|#!)[^\S\n][^\n]*", re.S | re.M | re.I)
 # Words of a sentence that speaks about templates.
 _ABOUT = re.compile(r"\b(?:templates?|placeholders?|syntax|variables?|merge (?:fields?|tags?)|curly|braces|brackets|double quotes|mustache|jinja|handlebars|liquid|e\.g\.|for example|such as|literally|snippet|platzhalter|vorlage|zum beispiel|z\. ?b\.|modèle|par exemple|plantilla|marcador|por ejemplo)\b", re.I)
 

@@ -48,6 +48,19 @@ def test_messages(text):
     assert residue.kinds(text) == ["message"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a\n    x\nHello {{name}}\nbye", "a\n\tx\n\nHello {{name}}", "$ 250 firm\nHello {{name}}", "a\n  $ 250 firm\n\nHello {{name}}", ">>> news\nHello {{name}}\n    x", "#! note\nHello {{name}}    now", "$\nHello {{name}}    now"],
+)
+def test_placeholders_after_lines_of_code(text):
+    assert residue.kinds(text) == ["placeholder"]
+
+
+@pytest.mark.parametrize("text", ["a\n    {{name}}\nbye", "a\n    for x:\n        {{name}}\n\n        {{x}}\nbye", "$ echo {{name}}\nbye", "a\n\t{{name}}", "<pre>\na\n{{name}}\n</pre>", "~~~\n\n{{name}}\n~~~\nbye"])
+def test_placeholders_in_lines_of_code(text):
+    assert residue.kinds(text) == []
+
+
 def test_long_texts_are_read_whole():
     body = "The drive is quiet and was wiped twice. " * 20_000
     assert residue.kinds(body + "{{ price }}") == ["placeholder"] and residue.kinds(body) == [] and residue.kinds("404 Not Found. " + body) == []

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 #: Words that may remain beside messages, such as a heading.
 LEFT_WORDS = 5
-#: Latin words in a row, and their share in a sentence, that make it filler.
-LATIN_RUN, LATIN_SHARE = 4, 0.6
+#: Latin words in a row, their share in a sentence, and words of Latin alone, that make it filler.
+LATIN_RUN, LATIN_SHARE, LATIN_STRONG = 4, 0.6, 3
 
 _NAME = r"[A-Za-z_][\w-]*(?:\.\w+)*"
 _FILTER = r"(?:\s*\|\s*\w+(?:\([^()\n]{0,40}\))?|\s+or\s+\w+)*"
@@ -71,6 +71,7 @@ _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _SHARED = frozenset("et in ex ad id est non sit qui ut ea sed dolor".split())
+_STRONG = _LATIN - _SHARED
 
 # Phrases that stand in the place of a description, each with parts of which a text must hold one before the phrase is looked for.
 _KINDS = ("text", "copy", "description", "detail", "content", "paragraph", "heading", "title", "story", "body", "caption", "headline", "subtitle")
@@ -83,7 +84,7 @@ _FILLERS = (
     ("story in this", r"\b(?:add|tell|write) your \w+ story in this (?:block|section)\b"),
     ("use this ", r"\buse this (?:section|area|block|space|text) to (?:tell|share|describe|explain|welcome|add)\b"),
     ("heading one|heading two|heading three|heading 1|heading 2|heading 3|heading 4|heading 5|heading 6", rf"{_START}heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)"),
-    ("coming soon|to follow|to be added|to come|to be announced|follows soon", rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon)\b"),
+    ("coming soon|to follow|to be added|to come|to be announced|follows soon|pending", rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon|pending)\b"),
     ("this is ", rf"\bthis is (?:a |an |some )?(?:filler|placeholder|dummy|sample|example|draft|blind) {_KIND}\b"),
     ("|".join(f"{w} {k}" for w in _MADE_UP for k in _KINDS), rf"{_START}(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)"),
     ("before publi|before going live|before launch|before release", r"\b(?:change|replace|edit|update|remove)(?: this| me)?(?: text| copy)? before (?:publishing|going live|launch|publication|release)\b"),
@@ -91,7 +92,7 @@ _FILLERS = (
     ("todo|fixme|tbd", r"\b(?:TODO|FIXME|TBD)\s*[:-]\s*(?:write|add|fill|insert|replace|update|describe|text|copy|body|description)\b"),
     ("asdf|qwer|jkl", r"\b(?:asdf|qwer|jkl|qwerty)(?:\s+(?:asdf|qwer|jkl|qwerty))+\b"),
     ("xxx", r"\bx{3,}(?:\s+x{3,}){1,}\b"),
-    ("test test", r"\btest(?:\s+test){2,}\b"),
+    ("test", r"\btest(?:\s+test){2,}\b"),
     ("hier steht|hier kommt|hier folgt", r"\bhier (?:steht|kommt|folgt) (?:später |bald )?(?:der|die|das|ihr|ein) \w+"),
     ("beschreibung folgt|text folgt|details folgt|inhalt folgt", rf"{_START}(?:weitere )?(?:beschreibung|text|details|inhalt) folgt(?: in kürze| bald)?\s*(?:[.!\n]|$)"),
     ("blindtext|platzhalter|fülltext|mustertext|beispieltext", r"\bdies(?:er text)? ist (?:ein|nur ein) (?:blindtext|platzhalter|platzhaltertext|fülltext|mustertext|beispieltext)\b"),
@@ -169,10 +170,11 @@ _MESSAGES = (
     r"\b(?:activ[ea]|habilite|active) (?:java ?script|los scripts)[^\n.]*",
     r"\besta (?:página|tienda) (?:requiere|necesita) (?:scripts?|java ?script)[^\n.]*",
 )
-#: Parts of which every message holds at least one.
+#: Parts of which every message but a line of a stack holds at least one.
 _MESSAGE_KEYS = tuple(
-    "server error|service |bad gateway|gateway time|forbidden|unauthorized|bad request|too many requests| gone|not found|upstream|requested url|requested page|requested resource|find th|locate th|looking for|you requested|you wanted|maintenance|closed|paused|unavailable|suspended|offline|no longer available|something went wrong|unexpected condition|internal error|error has occurred|error occurred|database connection|fatal error|traceback|file \"|exception|error: |.java:|\"error|\"message|\"status|denied|permission|not allowed|request blocked|rate limited|blocked|logged out|your session|fehler|nicht gefunden|zugriff|nicht verfügbar|nicht erreichbar|erreur|introuvable|non trouvée|accès|indisponible|no encontramos|no se encontró|no existe|no encontrada|acceso|no está disponible|un error|javascript|java script| js|script|skript|cookies|your browser|robot|human".split("|")
+    "server error|service |bad gateway|gateway time|forbidden|unauthorized|bad request|too many requests|gone|not found|upstream|requested url|requested page|requested resource|find th|locate th|looking for|you requested|you wanted|maintenance|closed|paused|unavailable|suspended|offline|no longer available|something went wrong|unexpected condition|internal error|error has occurred|error occurred|database connection|fatal error|traceback|file \"|exception|error: |\"error|\"message|\"status|denied|permission|not allowed|request blocked|rate limited|blocked|logged out|your session|fehler|nicht gefunden|zugriff|nicht verfügbar|nicht erreichbar|erreur|introuvable|non trouvée|accès|indisponible|no encontramos|no se encontró|no existe|no encontrada|acceso|no está disponible|un error|script|js|skript|cookies|your browser|full functionality|robot|human".split("|")
 )
+_STACK = re.compile(r"at [\w.$<>]+\([\w.]+(?::\d+)?\)")
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES), re.I | re.M)
 # What goes with messages, and page navigation. It counts only beside a message.
 _BESIDE = (
@@ -228,7 +230,7 @@ def has_placeholder(text: str) -> bool:
     found = [m for m in tried if m and not _data_sample(text, m.start(), m.end())]
     if not found:
         return False
-    code = [m.span() for m in _CODE.finditer(text)] if any(c in text for c in "`~<\t") or "    " in text or "$ " in text else []
+    code = [m.span() for m in _CODE.finditer(text)]
     found = [m for m in found if not any(a <= m.start() < b for a, b in code)]
     about = sum(1 for m in found if _ABOUT.search(_PLACEHOLDER.sub(" ", _sentence(text, m.start(), m.end()))))
     return len(found) > 2 * about if about else bool(found)
@@ -236,10 +238,10 @@ def has_placeholder(text: str) -> bool:
 
 def has_filler(text: str) -> bool:
     """Whether filler stands in ``text`` for a description."""
-    low = text.lower()
-    if any(pattern.search(text) for keys, pattern in _FILLER if any(k in low for k in keys)):
+    low, held = text.lower(), _folded(text)
+    if any(pattern.search(text) for keys, pattern in _FILLER if any(k in held for k in keys)):
         return True
-    if not any(w in low for w in ("lorem", "ipsum", "mollit", "nostrud", "consectetur", "commodo", "aliqua", "veniam", "officia", "laboris", "fugiat", "tempor")):
+    if sum(w in _STRONG for w in _WORD.findall(low)) < LATIN_STRONG:
         return False
     for s in _SENTENCE.finditer(low):
         words = _WORD.findall(s[0])
@@ -248,8 +250,8 @@ def has_filler(text: str) -> bool:
         for w, is_latin in zip(words, latin, strict=True):
             run = run + 1 if is_latin else 0
             best = max(best, run)
-            strong += is_latin and w not in _SHARED
-        if strong >= 3 and (sum(latin) >= LATIN_SHARE * len(words) and len(words) >= LATIN_RUN or best >= 2 * LATIN_RUN):
+            strong += w in _STRONG
+        if strong >= LATIN_STRONG and (sum(latin) >= LATIN_SHARE * len(words) and len(words) >= LATIN_RUN or best >= 2 * LATIN_RUN):
             return True
     return False
 
@@ -267,10 +269,21 @@ def _parts(text: str) -> Iterator[str]:
         yield line[start:]
 
 
+def _folded(text: str) -> str:
+    """``text`` in lower case, with the letters that patterns without case take for i, k and s."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
+    return text.lower()
+
+
+def _may_be_message(text: str) -> bool:
+    held = _folded(text)
+    return any(k in held for k in _MESSAGE_KEYS) or bool(_STACK.search(held))
+
+
 def is_message(text: str) -> bool:
     """Whether ``text`` is nothing but messages, what goes with them, and page navigation."""
-    low = text.lower()
-    if not any(k in low for k in _MESSAGE_KEYS):
+    if not _may_be_message(text):
         return False
     left = hits = 0
     for part in _parts(text):

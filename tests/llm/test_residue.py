@@ -1,4 +1,8 @@
+import re
+
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from skeinworks.llm import residue
 
@@ -79,3 +83,39 @@ def test_odd_long_texts_take_no_long_time():
     for text in ("." * 200_000, "! " * 100_000, "{" * 50_000, "[" * 50_000, "heading one " * 20_000, " " * 500_000 + "error: not found"):
         residue.kinds(text + " draft text javascript")
     assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("JS is required to view this page.", "message"), ("Home | Shop\nJS is disabled.", "message"), ("at render(page.js:12)", "message"), ("410-gone", "message"), ("JavaScr\u0130pt is required.", "message"), ("Description pending.", "filler"), ("test\ntest\ntest", "filler"),
+        ("Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore.", "filler"), ("A disk.\nSunt in culpa qui deserunt anim id est laborum.", "filler"),
+    ],
+)
+def test_forms_without_the_usual_words(text, kind):
+    assert residue.kinds(text) == [kind]
+
+
+def test_command_lines_of_any_sign_are_code():
+    assert residue.kinds(">>> show {{name}}") == [] and residue.kinds("#! show {{name}}") == []
+
+
+GATED = [(p, re.compile(p, re.I | re.M), residue._may_be_message) for p in residue._MESSAGES]
+GATED += [(p, re.compile(p, re.I | re.M), lambda t, keys=keys.split("|"): any(k in residue._folded(t) for k in keys)) for keys, p in residue._FILLERS]
+GATED += [(residue._PLACEHOLDER.pattern, residue._PLACEHOLDER, lambda t: any(residue._PLACEHOLDER.match(t, h.start()) for h in residue._HINT.finditer(t)))]
+
+
+@pytest.mark.parametrize(("pattern", "compiled", "gate"), GATED, ids=range(len(GATED)))
+def test_no_pattern_matches_what_its_gate_refuses(pattern, compiled, gate):
+    @settings(max_examples=25, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(compiled))
+    def check(text):
+        assert gate(text)
+
+    check()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(sorted(residue._STRONG)), min_size=4, max_size=8))
+def test_latin_words_of_any_choice_are_filler(words):
+    assert residue.has_filler(" ".join(words))

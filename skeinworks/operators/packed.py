@@ -3,14 +3,12 @@
 A dialect is a set of separating marks and a quote sign. Every text is parsed
 by each dialect its own marks allow; the values of all these parses are
 counted over the distinct texts of the whole table, and a value's code length
-follows from its count. The codebook holds the values that pay for an entry
-(at least one of every ``SUPPORT`` texts, and two), all others are spelled
-out. A text's dialect is the one under which values, marks and quotes take the
-fewest bits; only that parse is kept.
+follows from its count. The codebook holds the values that at least two texts
+have, all others are spelled out. A text's dialect is the one under which
+values, marks and quotes take the fewest bits; only that parse is kept.
 
-The codebook's size has a bound: its entries each take ``1 / SUPPORT`` of the
-texts, and a text offers the values of its candidate parses, so it can hold no
-more than ``SUPPORT`` times the mean number of values offered.
+The codebook stays distributed: each text is given the counts of the values of
+its own parses by a join, so that no process holds more than one text's part.
 
 Defined results: null and blank texts yield no row; empty values have no
 position; a text that is a list literal yields its elements; quotes that don't
@@ -25,9 +23,7 @@ import itertools
 import json
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +31,9 @@ from pyspark.sql import functions as F
 
 from skeinworks.session import written
 
-SUPPORT = 4000
 ROUNDS = 2
+#: Rows of a batch of values.
+_BATCH = 20_000
 #: Marks beyond this number are tried by leaving out one or two of them, not in all combinations.
 ALL_SETS = 5
 # The marks that can separate. Hyphen, dash and slash need blanks around them.
@@ -162,16 +159,17 @@ def _opens(text: str, at: int, marks: list[tuple[int, int, str]], k: int) -> boo
     return not text[marks[k - 1][1] if k else 0 : at].strip()
 
 
-def _offered(text: str) -> tuple[set[str], int]:
-    """All values of all parses of ``text``, and the most values one of them has."""
+def _offered(text: str) -> tuple[set[str], set[str], int]:
+    """The values of all parses of ``text``, those that are counted first, and the most values a parse of these has."""
     elements = list_literal(text)
     if elements is not None:
-        return set(elements), len(elements)
+        return set(elements), set(elements), len(elements)
     marks = _marks(text)
     tried = dialects(text, marks)
     signed = any(q for _, q in tried)  # quotes that open values are first taken at their word
-    parses = [split(text, marks, s, q)[0] for s, q in tried if q or not signed]
-    return {v for p in parses for v in p}, max(map(len, parses))
+    parses = [(split(text, marks, s, q)[0], bool(q) or not signed) for s, q in tried]
+    first = [p for p, taken in parses if taken]
+    return {v for p, _ in parses for v in p}, {v for p in first for v in p}, max(map(len, first))
 
 
 class Codebook:
@@ -183,11 +181,15 @@ class Codebook:
     """
 
     def __init__(self, counts: dict[str, int], total: int, inside: dict[str, int], between: dict[str, int]) -> None:
-        self.bits = {v: math.log2(total / n) + self._spelled(v) / n for v, n in counts.items()}
+        self.total = total
+        self.know(counts)
         rate = {m: (inside.get(m, 0) + _INNER) / (inside.get(m, 0) + between.get(m, 0) + 1) for m in {*inside, *between}}
         self.inside = {m: -math.log2(r) for m, r in rate.items()}
         self.between = {m: -math.log2(1 - r) for m, r in rate.items()}
-        self.parse = lru_cache(maxsize=16384)(self._parse)
+
+    def know(self, counts: dict[str, int]) -> None:
+        """Takes the counts of the values that the next texts can have."""
+        self.bits = {v: math.log2(self.total / n) + self._spelled(v) / n for v, n in counts.items()}
 
     @staticmethod
     def _spelled(value: str) -> float:
@@ -197,7 +199,7 @@ class Codebook:
         spelled = self._spelled(value)
         return min(spelled, self.bits.get(value, spelled))
 
-    def _parse(self, text: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+    def parse(self, text: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
         """The values, the marks that stand inside them, and the marks (and quotes) that do their work."""
         if not text.strip():
             return (), (), ()
@@ -218,77 +220,82 @@ class Codebook:
         return tuple(best[2]), tuple(best[3]), tuple(best[4])
 
 
-def _counted(distinct: DataFrame, offer) -> dict[str, tuple]:
-    """By field, what a Codebook takes. ``offer`` gives the values of one text, their number, and the marks inside and between them."""
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(id, field, value, first, most): the values of all parses of each text, and whether they are counted first; without a value, the most values of a parse."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = offer()
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values, total, inside, between = give(f, t)
-                seen["texts", f, ""] += 1
-                seen["total", f, ""] += total
-                seen.update(("value", f, v) for v in values)
-                seen.update(("inside", f, m) for m in inside)
-                seen.update(("between", f, m) for m in between)
-            yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in seen], "field": [k[1] for k in seen], "value": [k[2] for k in seen], "n": list(seen.values())}, schema=out)
-
-    out = pa.schema([("kind", pa.string()), ("field", pa.string()), ("value", pa.string()), ("n", pa.int64())])
-    counts = written(distinct.mapInArrow(count, "kind string, field string, value string, n bigint").groupBy("kind", "field", "value").agg(F.sum("n").alias("n")), "values")
-    few = [(r["kind"], r["field"], r["value"], r["n"]) for r in counts.where("kind <> 'value'").collect()]  # fields times marks
-    sums = {k[:2]: k[3] for k in few if k[0] in ("texts", "total")}
-    pays = F.lit(False)
-    books: dict[str, tuple] = {}
-    for (kind, field), n in sums.items():
-        if kind == "texts":
-            pays = pays | ((F.col("field") == field) & (F.col("n") >= max(2, math.ceil(n / SUPPORT))))
-            marks = ({m: c for k, f, m, c in few if (k, f) == (where, field)} for where in ("inside", "between"))
-            books[field] = ({}, max(1, sums["total", field]), *marks)
-    for r in counts.where((F.col("kind") == "value") & pays).toLocalIterator():
-        books[r["field"]][0][r["value"]] = r["n"]
-    return books
-
-
-def codebook(texts: DataFrame, field: str, text: str) -> dict[str, tuple]:
-    """By field, the codebook of its distinct texts."""
-    distinct = written(texts.where(F.col(text).isNotNull()).select(F.col(field).alias("field"), F.col(text).alias("text")).distinct(), "texts")
-    books = _counted(distinct, lambda: lambda f, t: (*_offered(t), (), ()))
-    for _ in range(ROUNDS):
-        shared = distinct.sparkSession.sparkContext.broadcast(books)
+            took: list[tuple] = []
+            for i, f, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                every, first, most = _offered(t)
+                took.append((i, f, None, False, most))
+                took.extend((i, f, v, v in first, 0) for v in every)
+                if len(took) >= _BATCH:
+                    yield _batch(took, out)
+                    took = []
+            yield _batch(took, out)
+
+    out = pa.schema([("id", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("first", pa.bool_()), ("most", pa.int64())])
+    return texts.select("id", "field", "text").mapInArrow(offer, "id bigint, field string, value string, first boolean, most bigint")
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def _counts(values: DataFrame) -> DataFrame:
+    """(field, value, n): the values that at least two texts have."""
+    return values.groupBy("field", "value").agg(F.count("*").alias("n")).where("n >= 2")
 
-        def offer(shared=shared):
-            coded = {f: Codebook(*b) for f, b in shared.value.items()}
 
-            def give(f: str, t: str) -> tuple:
-                got, inside, between = coded[f].parse(t)
-                return set(got), len(got), inside, between
+def _sums(rows: DataFrame, *by: str) -> dict[tuple, int]:
+    """Sums of n by field, or field and mark."""
+    return {tuple(r[c] for c in by): r["n"] for r in rows.groupBy(*by).agg(F.sum("n").alias("n")).collect()}
 
-            return give
 
-        books = _counted(distinct, offer)
-    return books
+def _round(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> DataFrame:
+    """(field, text, got, inside, between): each text's cheapest parse by the given counts."""
+    known = candidates.where("value is not null").join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
+    totals, inside, between = sums
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: dict[str, Codebook] = {}
+        for batch in batches:
+            took: list[tuple] = []
+            for f, t, values, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if f not in books:
+                    marks = ({m: c for (g, m), c in where.items() if g == f} for where in (inside, between))
+                    books[f] = Codebook({}, max(1, totals.get((f,), 0)), *marks)
+                books[f].know(dict(zip(values or (), n or (), strict=True)))
+                took.append((f, t, *books[f].parse(t)))
+            yield _batch(took, out)
+
+    texts_of = pa.list_(pa.string())
+    out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", texts_of), ("inside", texts_of), ("between", texts_of)])
+    rows = texts.join(known, "id", "left").select("field", "text", "known", "n")
+    return rows.mapInArrow(parse, "field string, text string, got array<string>, inside array<string>, between array<string>")
+
+
+def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
+    """(field, text, got): the values of every distinct text of every field."""
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(field).alias("field"), F.col(text).alias("text")).distinct()
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    candidates = written(_candidates(texts), "candidates")
+    counts = _counts(candidates.where("first"))
+    sums = _sums(candidates.where("value is null").select("field", F.col("most").alias("n")), "field"), {}, {}
+    for _ in range(ROUNDS):
+        done = written(_round(texts, candidates, counts, sums), "parses")
+        counts = _counts(done.select("field", F.explode(F.array_distinct("got")).alias("value")))
+        marks = (done.select("field", F.explode(where).alias("mark"), F.lit(1).alias("n")) for where in ("inside", "between"))
+        sums = _sums(done.select("field", F.size("got").alias("n")), "field"), *(_sums(m, "field", "mark") for m in marks)
+    return written(_round(texts, candidates, counts, sums), "parses").select("field", "text", "got")
 
 
 def values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, pos, val): one row for each value of each packed field, positions from 1."""
     named = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]
     long = rows.select(F.col(key).alias("key"), F.inline(F.array(*named))).where("trim(text) <> ''")
-    shared = rows.sparkSession.sparkContext.broadcast(codebook(long, "field", "text"))
-    kind = long.schema["key"].dataType
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = {f: Codebook(*b) for f, b in shared.value.items()}
-        for batch in batches:
-            took, at, pos, val = [], [], [], []
-            texts = batch.column(2).to_pylist()
-            for i, (f, t) in enumerate(zip(batch.column(1).to_pylist(), texts, strict=True)):
-                got = books[f].parse(t)[0]
-                took.extend([i] * len(got))
-                at.extend([f] * len(got))
-                pos.extend(range(1, len(got) + 1))
-                val.extend(got)
-            keys = batch.column(0).take(pa.array(took, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(at, pa.string()), pa.array(pos, pa.int64()), pa.array(val, pa.string())], names=["key", "field", "pos", "val"])
-
-    return long.mapInArrow(parse, f"key {kind.simpleString()}, field string, pos bigint, val string").withColumnRenamed("key", key)
+    found = long.join(parsed(long, "field", "text"), ["field", "text"])
+    out = found.select("key", "field", F.posexplode("got").alias("pos", "val"))
+    return out.select(F.col("key").alias(key), "field", (F.col("pos") + 1).cast("bigint").alias("pos"), "val")

@@ -49,6 +49,16 @@ def test_nulls_blanks_lists_and_long_texts(spark, rows):
     assert packed.values(df.limit(0), "row", ["tags"]).count() == 0
 
 
+def test_two_uses_make_an_entry_in_tables_of_any_size(spark, rows):
+    """A value of two texts among 20,000 others keeps its code: it is not cut at the comma."""
+    others = [(k, f"kind {k % 97};size {k};make {k % 89}") for k in range(20_000)]
+    rare = [(-k, f"Alfa, Beta Gamma;size {20_000 + k};tone {k}") for k in (1, 2)]
+    commas = [(-10 - k, f"left {k}, right {k % 7}") for k in range(3_000)]
+    df = spark.createDataFrame(others + rare + commas, "row bigint, tags string")
+    got = rows(packed.values(df, "row", ["tags"]).where("row in (-1, -2) and pos = 1").select("val"))
+    assert got == [("Alfa, Beta Gamma",)] * 2
+
+
 def parse(text, chosen, quote='"'):
     return packed.split(text, packed._marks(text), frozenset(chosen), quote)[0]
 

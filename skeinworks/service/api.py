@@ -62,12 +62,14 @@ class Service:
         return row.asDict(recursive=True) if row else None
 
     def watched(self) -> list[dict]:
-        """Every saved search with its candidates."""
-        rows = ranking.matched_watches(self.load(), [w | {"limit": min(w.get("limit") or MAX_ROWS, MAX_ROWS)} for w in self.watches])
+        """Every saved search with the number of its candidates and the cheapest ``MAX_ROWS`` of them; ``cut`` tells whether there are more."""
+        rows = ranking.matched_watches(self.load(), self.watches)
+        counts = {r["watch"]: r["n"] for r in rows.groupBy("watch").agg(F.count("*").alias("n")).collect()}
+        rows = ranking.ranked(rows.select("watch", "id", "title", "price_cents"), [F.asc("price_cents"), F.asc("id")], ["watch"]).where(F.col("rank") <= MAX_ROWS)
         out: dict[str, list] = {w["name"]: [] for w in self.watches}
         for r in rows.select("watch", "id", "title", "price_cents").orderBy("watch", "price_cents", "id").collect():
             out[r["watch"]].append({"id": r["id"], "title": r["title"], "price_cents": r["price_cents"]})
-        return [{"watch": k, "candidate_count": len(v), "candidates": v} for k, v in out.items()]
+        return [{"watch": k, "candidate_count": counts.get(k, 0), "cut": counts.get(k, 0) > len(v), "candidates": v} for k, v in out.items()]
 
     def metrics(self) -> str:
         """Gauges in the text format of Prometheus."""

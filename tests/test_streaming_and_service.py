@@ -86,3 +86,10 @@ def test_derived_once_a_version(spark, tmp_path):
     assert table.derived("x", make).count() == table.derived("x", make).count() == 1 and len(calls) == 1
     table.write(spark.createDataFrame([("a",), ("b",)], "k string"))
     assert table.derived("x", make).count() == 2 and len(calls) == 2
+
+
+def test_watches_count_all_candidates(spark):
+    items = spark.range(1700).selectExpr("cast(id as string) as id", "'drive' as category", "'blue disk' as title", "id * 100 as price_cents", "timestamp_seconds(id) as seen_at")
+    service = api.Service(lambda: items, {}, watches=[{"name": "all", "text": "blue"}, {"name": "some", "text": "blue", "limit": 1500}, {"name": "few", "text": "blue", "limit": 3}, {"name": "none", "text": "red"}])
+    got = {w["watch"]: (w["candidate_count"], w["cut"], len(w["candidates"])) for w in service.watched()}
+    assert got == {"all": (1700, True, 500), "some": (1500, True, 500), "few": (3, False, 3), "none": (0, False, 0)}

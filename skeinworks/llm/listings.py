@@ -367,7 +367,8 @@ def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[Da
     """(links between classes, classes whose own listings are links of each other).
 
     A class that leaves a defining field open is linked only where one class
-    fits it: else it would join models that differ in that field.
+    without open fields fits it: else it would join models that differ in that
+    field. Where none fits, two open classes are linked that fit only each other.
     """
     known = F.lit(True)
     for f in DEFINING:
@@ -375,8 +376,12 @@ def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[Da
     links = pairs.where(_is(linking)).withColumn("known", known)
     open_ = links.where("not known")
     full = found.where(F.col("capacity").isNotNull() & F.col("interface").isNotNull()).select("class")
-    ends = open_.select(F.col("a").alias("class"), "a", "b").unionByName(open_.select(F.col("b").alias("class"), "a", "b")).join(full, "class", "left_anti")
-    once = ends.groupBy("class").agg(F.count("*").alias("fits"), F.min("a").alias("a"), F.min("b").alias("b")).where("fits = 1").select("a", "b")
+    ends = open_.select(F.col("a").alias("class"), F.col("b").alias("other"), "a", "b").unionByName(open_.select(F.col("b").alias("class"), F.col("a").alias("other"), "a", "b")).join(full, "class", "left_anti")
+    ends = ends.join(full.select(F.col("class").alias("other"), F.lit(True).alias("whole")), "other", "left")
+    edge = F.struct("a", "b")
+    fits = ends.groupBy("class").agg(F.count("whole").alias("fits"), F.count("*").alias("all"), F.min(F.when(F.col("whole"), edge)).alias("fit"), F.min(edge).alias("any"))
+    mutual = fits.where("fits = 0 and all = 1").groupBy("any").agg(F.count("*").alias("ends")).where("ends = 2").select("any.*")
+    once = fits.where("fits = 1").select("fit.*").unionByName(mutual)
     levels = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
     own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).join(full, "class", "left_semi").select("class")
     return links.where("known").select("a", "b").unionByName(once).distinct(), own

@@ -73,6 +73,19 @@ def test_an_open_field_joins_no_two_models(spark, rows):
     assert got["s0"] == got["s1"] != got["t0"] == got["t1"] and got["open"] not in (got["s0"], got["t0"]) and got["one"] == got["u3"]
 
 
+def test_open_classes_do_not_keep_each_other_from_the_full_one(spark, rows):
+    found = [("full", "X", 16, "SATA"), ("size", "X", 16, None), ("plug", "X", None, "SATA"), ("p", "Y", 8, None), ("q", "Y", None, "SAS"), ("r", "Z", 8, None), ("s", "Z", 4, None), ("t", "Z", None, "SAS")]
+    columns = "class string, code string, capacity int, interface string"
+    classes = spark.createDataFrame(found, columns).selectExpr("*", "'Acme' as maker")
+    level = lambda x, y: None if x is None or y is None else 2 if x == y else 0
+    at = {"code": 1, "capacity": 2, "interface": 3}
+    made = [(a[0], b[0], *(level(a[at[f]], b[at[f]]) if f in at else 2 for f in listings.FIELDS)) for a in found for b in found if a[0] < b[0] and a[1] == b[1]]
+    pairs = spark.createDataFrame(made, "a string, b string, " + ", ".join(f"{f} int" for f in listings.FIELDS))
+    linking = [p for p in {m[2:] for m in made} if 0 not in p]
+    links, _ = listings.linked(pairs, linking, classes)
+    assert sorted(rows(links.select("a", "b"))) == [("full", "plug"), ("full", "size"), ("p", "q")]
+
+
 def test_components_of_a_long_chain(spark, rows):
     edges = spark.createDataFrame([(f"v{i:02}", f"v{i + 1:02}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")], "a string, b string")
     got = dict(rows(listings.components(edges)))

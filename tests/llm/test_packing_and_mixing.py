@@ -23,15 +23,26 @@ def brute(sizes, capacity):
     return sorted(left)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 17), max_size=60))
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 17), max_size=80))
 def test_best_fit_decreasing_leaves_what_brute_force_leaves(sizes):
     sizes = sorted(sizes, reverse=True)
-    homes = packing.best_fit_decreasing(sizes, 17)
-    left = {}
-    for s, h in zip(sizes, homes):
-        left[h] = left.get(h, 17) - s
-    assert all(x >= 0 for x in left.values()) and sorted(left.values()) == brute(sizes, 17)
+    counts = {s: sizes.count(s) for s in sizes}
+    steps, opened = packing.best_fit_decreasing(counts, 17)
+    left, placed = [17] * opened, {}
+    for size, rank, items, first, each in steps:
+        assert rank == placed.get(size, 0)
+        placed[size] = rank + items
+        for i in range(items):
+            left[first + i // each] -= size
+    assert placed == counts and all(x >= 0 for x in left) and sorted(left) == brute(sizes, 17)
+
+
+def test_the_plan_is_short():
+    rnd = random.Random(2)
+    counts = {s: rnd.randrange(1, 10**9) for s in range(1, 4097)}
+    steps, _ = packing.best_fit_decreasing(counts, 4096)
+    assert len(steps) <= 3 * 4096 * 12 and sum(s[2] for s in steps) == sum(counts.values())
 
 
 def packs_of(spark, data, capacities):
@@ -39,8 +50,14 @@ def packs_of(spark, data, capacities):
     return packing.packed(items, "doc", "n", spark.createDataFrame(capacities, "name string, cap int"), "name", "cap")
 
 
-def test_every_token_is_packed_once(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 60)
+def test_packs_are_those_of_one_run_over_all(spark):
+    rnd = random.Random(4)
+    data = [(i, rnd.choice([7, 7, 7, rnd.randrange(1, 40)]), "") for i in range(500)]
+    got = packs_of(spark, data, [("a", 40)]).groupBy("pack").agg(F.sum("size").alias("n")).collect()
+    assert sorted(40 - r["n"] for r in got) == brute(sorted((n for _, n, _ in data), reverse=True), 40)
+
+
+def test_every_token_is_packed_once(spark):
     rnd = random.Random(1)
     data = [(i, rnd.choice([0, 5, 90, 100, 101, 999, rnd.randrange(1, 400)]), "clash") for i in range(300)] + [(900, None, None), (None, 7, None)]
     got = packs_of(spark, data, [("a", 100), ("b", 350), ("c", None), ("d", 0)]).collect()

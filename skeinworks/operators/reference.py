@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.numbers import half_up
+from skeinworks.session import shuffle_partitions, written
 
 
 def grouped_median(rows: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
     """(keys, reference, n): the exact median of each group of at least ``least`` rows, rounded half away from zero.
 
-    The median merges counts of equal values before the shuffle, so that a
-    group of very many rows reaches one task as its distinct values.
+    Equal values are counted before anything else. The counts are put in order
+    by a range partitioning over group and value, which also cuts a group of
+    very many values; running sums within a part and the sums of the parts
+    before it tell which value holds the middle rank. No task and no buffer
+    holds a whole group. Rows without a value or a key take no part.
     """
     known = rows.where(F.col(value).isNotNull())
     for k in keys:
         known = known.where(F.col(k).isNotNull())
-    return known.groupBy(*keys).agg(half_up(F.expr(f"percentile(`{value}`, 0.5)")).alias("reference"), F.count("*").alias("n")).where(F.col("n") >= least)
+    counted = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = counted.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys, "_v")
+    parts = written(parts.withColumn("_part", F.spark_partition_id()), "values")
+    # At most one row for each group in each part.
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    group = Window.partitionBy(*keys)
+    sums = sums.select("*", F.sum("_sum").over(group).alias("n"), (F.sum("_sum").over(group.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    middle = sums.where(F.col("n") >= least).where("_before <= n div 2 and _before + _sum > (n - 1) div 2").drop("_sum")
+    piece = Window.partitionBy(*keys, "_part").orderBy("_v")
+    ranked = parts.join(middle, [*keys, "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(piece))
+    hits = F.expr("cast(_upto - _n <= (n - 1) div 2 and _upto > (n - 1) div 2 as int) + cast(_upto - _n <= n div 2 and _upto > n div 2 as int)")
+    halves = ranked.withColumn("_hits", hits).where("_hits > 0")
+    return halves.groupBy(*keys).agg(half_up(F.sum(F.col("_v") * F.col("_hits")) / 2).alias("reference"), F.first("n").alias("n"))
 
 
 def with_reference(rows: DataFrame, references: DataFrame, bucket: str, kind: str, anchor: str, factors: dict[str, float]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skeinworks.functions import extract, keys, text
 from skeinworks.functions.numbers import cents_rounded, half_up, number
 from skeinworks.operators import enrich, filters, items, lifecycle, ranking, reference
+from skeinworks.session import written
 from skeinworks.sources import land, storefront
 from skeinworks.sources.tables import table
 
@@ -183,16 +184,18 @@ def reference_median_brand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reference_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Every priced item against its own median or, failing that, the scaled median of refurbished ones."""
-    rows = _per_tb(_typed(spark, d))
-    medians = reference.grouped_median(rows.where("condition <> 'used' or bucket % 3 = 0"), ["bucket", "condition"], "cents_per_tb", least=3)
+    """Every priced item against the median of its size, brand and condition or, failing that, the scaled median of refurbished ones."""
+    brand = F.regexp_extract("title", "(Brand#[0-9]+)", 1)
+    rows = _per_tb(_typed(spark, d)).select("id", "condition", "cents_per_tb", F.concat_ws("|", F.col("bucket").cast("string"), brand).alias("bucket"))
+    rows = written(rows, "per_tb")  # read for the medians and for the rows they are looked up for
+    medians = reference.grouped_median(rows, ["bucket", "condition"], "cents_per_tb", least=3)
     out = reference.with_reference(rows, medians, "bucket", "condition", "refurb", {"new": 1.35, "used": 0.75})
     return out.select("id", "reference", "reference_from", reference.ratio(F.col("cents_per_tb"), F.col("reference")).alias("ratio"))
 
 
 def _surface(spark: SparkSession, d: str, recent: int) -> DataFrame:
     """The most recent items, then the filter, then the reference, then ranks: the limit counts before the filter."""
-    typed = _typed(spark, d)
+    typed = written(_typed(spark, d), "typed")
     recent_rows = items.search(typed, items.ItemQuery(limit=recent))
     spec = filters.HardFilter(needs_price=True, least={"capacity_tb": 6.0})
     rows = _per_tb(filters.explained(recent_rows, spec).where("reason is null"))
@@ -266,7 +269,7 @@ def offer_expire(spark: SparkSession, d: str) -> DataFrame:
 def offer_expire_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Expiry with each source's own window, in one pass."""
     state = lifecycle.folded(_as_offers(spark, d), ARRIVAL)
-    windows = table(spark, d, "supplier").where("s_nationkey < 12").select(F.concat(F.lit("shop:"), F.col("s_suppkey").cast("string")).alias("source_id"), (F.col("s_nationkey") * 50 * 86400).cast("bigint").alias("seconds"))
+    windows = table(spark, d, "supplier").select(F.concat(F.lit("shop:"), F.col("s_suppkey").cast("string")).alias("source_id"), (F.col("s_nationkey") * 50 * 86400).cast("bigint").alias("seconds"))
     return lifecycle.expired_by_source(state, windows, _ts(NOW)).groupBy("source_id", "status").agg(F.count("*").alias("n"))
 
 

@@ -97,8 +97,9 @@ SELECT id, CASE WHEN price_cents <= 0 THEN 'unpriced' WHEN price_cents > 6000000
     "reference_median_brand": f"""WITH {PER_TB}
 SELECT bucket, regexp_extract(title, '(Brand#[0-9]+)', 1) AS brand, condition, floor(median(cents_per_tb) + 0.5)::bigint AS reference, count(*) AS n FROM per_tb GROUP BY ALL HAVING count(*) >= 3""",
     "reference_ratio": f"""WITH {PER_TB},
-chosen AS (SELECT bucket, condition, floor(median(cents_per_tb) + 0.5)::bigint AS reference, count(*) AS n FROM per_tb WHERE condition <> 'used' OR bucket % 3 = 0 GROUP BY ALL),
-{_SCORED.format(rows="per_tb", medians="chosen").strip()}
+branded AS (SELECT id, condition, cents_per_tb, bucket || '|' || regexp_extract(title, '(Brand#[0-9]+)', 1) AS bucket FROM per_tb),
+chosen AS (SELECT bucket, condition, floor(median(cents_per_tb) + 0.5)::bigint AS reference, count(*) AS n FROM branded GROUP BY ALL),
+{_SCORED.format(rows="branded", medians="chosen").strip()}
 SELECT id, reference, reference_from, cents_per_tb::double / nullif(reference, 0)::double AS ratio FROM scored""",
     "surface_ranked": _surface(5000),
     "limit_before_rank": _surface(50),
@@ -111,7 +112,7 @@ SELECT id, reference, reference_from, cents_per_tb::double / nullif(reference, 0
 SELECT id, CASE WHEN due THEN 'expired' ELSE 'active' END AS status, CASE WHEN due THEN TIMESTAMP '2001-12-01' END AS expired_at
 FROM (SELECT *, source_id = 'shop:3' AND last_seen < TIMESTAMP '2001-12-01' - INTERVAL 500 DAY AS due FROM fold)""",
     "offer_expire_by_source": f"""WITH {FOLD}
-SELECT source_id, CASE WHEN s_nationkey < 12 AND epoch_us(last_seen) < epoch_us(TIMESTAMP '2001-12-01') - s_nationkey::bigint * 50 * 86400 * 1000000 THEN 'expired' ELSE 'active' END AS status, count(*) AS n
+SELECT source_id, CASE WHEN epoch_us(last_seen) < epoch_us(TIMESTAMP '2001-12-01') - s_nationkey::bigint * 50 * 86400 * 1000000 THEN 'expired' ELSE 'active' END AS status, count(*) AS n
 FROM fold LEFT JOIN supplier ON source_id = 'shop:' || s_suppkey GROUP BY 1, 2""",
     "offer_retention": f"WITH {FOLD} SELECT id, last_seen FROM fold WHERE last_seen >= TIMESTAMP '2001-12-01' - INTERVAL 900 DAY",
     "offer_revival": f"""WITH {OBSERVED},

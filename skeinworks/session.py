@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SCRATCH: dict[str, str] = {}
+#: Scratch paths of this process, with what deletes them.
+_WRITTEN: dict[str, tuple] = {}
 
 
 def build_session(app: str = "skeinworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,6 +25,7 @@ def build_session(app: str = "skeinworks", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -32,12 +38,15 @@ def build_session(app: str = "skeinworks", master: str | None = None, **conf: st
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set as the checkpoint folder too.
+    Where the session names none, a session on one machine gets a temporary
+    folder, which is set as the checkpoint folder too; on a cluster that is an
+    error, as no executor could read what another one wrote.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(?:\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         folder = tempfile.mkdtemp(prefix="skein-", dir=os.environ.get("TMPDIR"))
@@ -48,8 +57,45 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; it is deleted with the process, or before by discard()."""
+    path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.setdefault(path, (spark._jvm, spark._jsc.hadoopConfiguration()))
+    return path
+
+
+def _delete(path: str, jvm, conf) -> None:  # noqa: ANN001
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _sweep() -> None:
+    while _WRITTEN:
+        path, (jvm, conf) = _WRITTEN.popitem()
+        try:
+            _delete(path, jvm, conf)
+        except Exception:  # noqa: BLE001  the gateway may be gone
+            return
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what written() made for ``frames``; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_scratch", None)
+        if path in _WRITTEN:
+            _delete(path, *_WRITTEN.pop(path))
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """All scratch files written inside are deleted at the end, so results must be stored or collected before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in set(_WRITTEN) - before:
+            _delete(path, *_WRITTEN.pop(path))
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -63,7 +109,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

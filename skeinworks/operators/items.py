@@ -31,9 +31,12 @@ def replaced(current: DataFrame, batch: DataFrame, key: str, arrival: list[str])
     return latest(current.select(*batch.columns).unionByName(batch), key, arrival)
 
 
-def without_stale(items: DataFrame, source_id: str, cutoff: Column, seen: str = "seen_at") -> DataFrame:
-    """``items`` without the rows of one source last seen before ``cutoff``."""
-    return items.where(~F.coalesce((F.col("source_id") == source_id) & (F.col(seen) < cutoff), F.lit(False)))
+def without_stale(items: DataFrame, source_id: str | None, cutoff: Column, seen: str = "seen_at") -> DataFrame:
+    """``items`` without the rows of one source (of all, for None) last seen before ``cutoff``."""
+    old = F.col(seen) < cutoff
+    if source_id is not None:
+        old = old & (F.col("source_id") == source_id)
+    return items.where(~F.coalesce(old, F.lit(False)))
 
 
 def invalid_field(needed: list[str], not_negative: list[str] = (), one_of: dict[str, list[str]] | None = None) -> Column:
@@ -62,8 +65,15 @@ def search(items: DataFrame, query: ItemQuery, seen: str = "seen_at") -> DataFra
     """The items that meet ``query``, the most recent first and then by id.
 
     A bound on the price leaves out unknown prices (0). Without a limit the
-    rows are not sorted: an order costs a shuffle and no result needs it.
+    rows are sorted by a range partitioning; where no order is needed, as
+    before another operator, filter with matching() instead.
     """
+    out = matching(items, query, seen).orderBy(F.desc(seen), "id")
+    return out.limit(query.limit) if query.limit > 0 else out
+
+
+def matching(items: DataFrame, query: ItemQuery, seen: str = "seen_at") -> DataFrame:
+    """The items that meet ``query``, whatever its limit, in no order."""
     out = items
     for column, value in query.equals:
         if value:
@@ -74,7 +84,7 @@ def search(items: DataFrame, query: ItemQuery, seen: str = "seen_at") -> DataFra
         out = out.where(F.col(seen) >= query.since)
     if query.text:
         out = out.where(contains_text(F.col("title"), F.col("tokens") if "tokens" in items.columns else None, query.text))
-    return out.orderBy(F.desc(seen), "id").limit(query.limit) if query.limit > 0 else out
+    return out
 
 
 def get(items: DataFrame, key: str) -> DataFrame:

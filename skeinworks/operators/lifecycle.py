@@ -16,11 +16,13 @@ def folded(observations: DataFrame, arrival: list[str], key: str = "id") -> Data
     """One row per key: first seen at the least time, last seen at the greatest, the least known price, the rest from the last arrival.
 
     A price of 0 is unknown. Late observations never move last_seen back. An
-    active last arrival has no expiry. Null keys are left out.
+    active last arrival has no expiry. Null keys are left out; of equal
+    arrivals the content of the rows decides.
     """
     folds = {"first_seen", "last_seen", "min_price_cents"}
     rest = [c for c in observations.columns if c != key and c not in folds]
-    ordered = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(arrival)])
+    content = F.xxhash64(*[c for c, kind in observations.dtypes if "map<" not in kind])
+    ordered = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(arrival)], content.alias("_content"))
     known = F.nullif(F.col("min_price_cents"), F.lit(0))
     out = (
         observations.where(F.col(key).isNotNull())
@@ -63,14 +65,15 @@ def expired_by_source(state: DataFrame, windows: DataFrame, now: Column) -> Data
 
 
 def offers_where(state: DataFrame, status: str | None = "active", limit: int = 0, since: Column | None = None, **equals: str) -> DataFrame:
-    """The offers that match, active ones unless another status (or None) is given; with a limit, the last seen ones."""
+    """The offers that match, active ones unless another status (or None) is given, the last seen first and then by id."""
     out = state if status is None else state.where(F.col("status") == status)
     for column, value in equals.items():
         if value:
             out = out.where(F.col(column) == value)
     if since is not None:
         out = out.where(F.col("last_seen") >= since)
-    return out.orderBy(F.desc("last_seen"), "id").limit(limit) if limit > 0 else out
+    out = out.orderBy(F.desc("last_seen" if "last_seen" in out.columns else "last_seen_ns"), "id")
+    return out.limit(limit) if limit > 0 else out
 
 
 def products(state: DataFrame, key: str = "provisional_key") -> DataFrame:

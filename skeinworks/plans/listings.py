@@ -90,18 +90,18 @@ def item_validation(spark: SparkSession, d: str) -> DataFrame:
 
 def search_text(spark: SparkSession, d: str) -> DataFrame:
     """Case-insensitive substring of the title, all characters literal."""
-    return items.search(_latest(spark, d), items.ItemQuery(text="Red BOLT")).select("id", "title")
+    return items.matching(_latest(spark, d), items.ItemQuery(text="Red BOLT")).select("id", "title")
 
 
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Substring of the title or of any word of it, over offers."""
     rows = table(spark, d, "offers").select("id", "title").distinct().withColumn("tokens", text.tokens(F.col("title")))
-    return items.search(rows, items.ItemQuery(text="16t")).select("id", "title")
+    return items.matching(rows, items.ItemQuery(text="16t")).select("id", "title")
 
 
 def search_price_bound(spark: SparkSession, d: str) -> DataFrame:
     """A bound on the price leaves out unknown prices."""
-    return items.search(_latest(spark, d), items.ItemQuery(max_price_cents=1_000_000)).select("id", "price_cents")
+    return items.matching(_latest(spark, d), items.ItemQuery(max_price_cents=1_000_000)).select("id", "price_cents")
 
 
 def search_since_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def search_since_topk(spark: SparkSession, d: str) -> DataFrame:
 def search_source(spark: SparkSession, d: str) -> DataFrame:
     """The items of one source, without the stale ones."""
     rows = items.without_stale(_latest(spark, d), "shop:7", _ts("2000-01-01 00:00:00"))
-    return items.search(rows, items.ItemQuery(equals=(("source_id", "shop:7"),))).select("id", "seen_at")
+    return items.matching(rows, items.ItemQuery(equals=(("source_id", "shop:7"),))).select("id", "seen_at")
 
 
 def deterministic_id(spark: SparkSession, d: str) -> DataFrame:

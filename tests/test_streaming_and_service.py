@@ -1,10 +1,13 @@
 import json
+import threading
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.operators.filters import HardFilter
 from skeinworks.service import api
+from skeinworks.sources.http import BudgetSpent
 from skeinworks.sources.raw import RAW
 from skeinworks.streaming import ingest
 from skeinworks.streaming.snapshot import SnapshotTable
@@ -25,17 +28,64 @@ def test_batches_fold_and_housekeep(spark, tmp_path):
     day = lambda n: T0 + timedelta(days=n)
     g = tables(spark, tmp_path, "s", expire_after=86400, delete_after=5 * 86400, stale_items=86400)
     first = g.ingest(raw(spark, [("a", "8TB disk", 100, day(0)), ("b", "4TB", 50, day(0)), ("", "x", 1, day(0)), ("c", " ", 1, day(0))]), 1, F.lit(day(0)))
-    assert first == {"fetched": 4, "skipped_offer": 1, "offers": 3, "skipped_gate": 1, "items": 2, "skipped_extract": 1}
+    assert first == {"fetched": 4, "skipped_offer": 1, "offers": 3, "expired": 0, "skipped_gate": 1, "items": 2, "skipped_extract": 1}
     g.ingest(raw(spark, [("a", "8TB disk", 70, day(3))]), 2, F.lit(day(3)), complete=False)
     assert {r["status"] for r in g.offers.read().collect()} == {"active"}
     again = g.ingest(raw(spark, [("a", "8TB disk", 70, day(3))]), 2, F.lit(day(3)))
     state = {r["source_key"]: r for r in g.offers.read().collect()}
-    assert again["items"] == 1 and state["a"]["min_price_cents"] == 70 and state["a"]["first_seen"] == day(0) and state["b"]["status"] == "expired"
+    assert again["items"] == 1 and again["expired"] == 2 and state["a"]["min_price_cents"] == 70 and state["a"]["first_seen"] == day(0) and state["b"]["status"] == "expired"
     g.ingest(raw(spark, []), 3, F.lit(day(6)))
     assert [r["source_key"] for r in g.offers.read().collect()] == ["a"]
     assert g.offers.version() == 4 and g.offers.read(3).count() == 3
 
 
+def test_writers_of_one_part_lose_and_repeat_nothing(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/t", "k string")
+    add = lambda w: table.update(lambda t: t.unionByName(spark.createDataFrame([(f"{w}-{i}",) for i in range(20)], "k string")))
+    threads = [threading.Thread(target=add, args=(w,)) for w in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert table.version() == 8 and sorted(r["k"] for r in table.read().collect()) == sorted(f"{w}-{i}" for w in range(8) for i in range(20))
+
+
+def test_sources_share_a_table(spark, tmp_path):
+    offers, found = SnapshotTable(spark, f"file://{tmp_path}/offers", ingest.OFFERS), SnapshotTable(spark, f"file://{tmp_path}/items", ingest.ITEMS)
+    made = [ingest.Ingester(ingest.Source(f"s{n}", ingest.drives), offers, found) for n in range(4)]
+
+    def fetch(name):
+        if name == "s3" and poller.health[name]["turns"] == 2:
+            raise OSError("no answer")
+        if name == "s2" and poller.health[name]["turns"] == 2:
+            raise BudgetSpent("today")
+        return raw(spark, [(f"{name}-{i}", "8TB disk", 5 + i, T0) for i in range(25)]).withColumn("source_id", F.lit(name)), True
+
+    poller = ingest.Poller(made, fetch, lambda: F.lit(T0), every=0.0)
+    [t.join() for t in poller.start(turns=2)]
+    assert {n: (h["errors"], h["waits"]) for n, h in poller.health.items()} == {"s0": (0, 0), "s1": (0, 0), "s2": (0, 1), "s3": (1, 0)}
+    for table in (offers, found):
+        rows = table.read().collect()
+        assert len(rows) == 100 and len({r["id"] for r in rows}) == 100 and table.version() == 6
+
+
+def test_the_last_arrival_wins_within_a_batch(spark, tmp_path):
+    late = T0 - timedelta(days=1)
+    data = [("a", "t1", 5, T0), ("a", "t2", 4, T0 + timedelta(milliseconds=1)), ("a", "t3", 6, late)]
+    for k, order in enumerate([data, data[::-1], [data[1], data[2], data[0]]]):
+        g = tables(spark, tmp_path / str(k), "s")
+        placed = raw(spark, order).withColumn("position", F.regexp_extract("title", "t(.)", 1).cast("bigint"))
+        g.ingest(placed.repartition(3), 1, F.lit(T0))
+        row, item = g.offers.read().first(), g.items.read().first()
+        assert (row["title"], row["price_cents"], row["min_price_cents"], row["first_seen"], row["last_seen"]) == ("t3", 6, 4, late, T0 + timedelta(milliseconds=1)) and item["title"] == "t3" and item["class"] == "untrusted"
+        g = tables(spark, tmp_path / f"unplaced{k}", "s")
+        g.ingest(raw(spark, order), 1, F.lit(T0))
+        assert g.offers.read().first()["title"] == "t2"
+
+
+def test_windows_are_checked_before_anything_is_deleted():
+    for bad in ({"delete_after": 5, "expire_after": 9}, {"stale_items": -1}):
+        with pytest.raises(ValueError):
+            ingest.Source("s", None, **bad)
+
+
 def test_stream_of_files(spark, tmp_path):
     raw(spark, [("a", "8TB", 9, T0), ("b", "land 5 acres", 9, T0)]).write.json(str(tmp_path / "in"), timestampFormat="yyyy-MM-dd HH:mm:ss")
     g = tables(spark, tmp_path, "s")
@@ -53,7 +103,7 @@ def test_windowed_counts(spark, tmp_path):
 
 
 def test_land_items(spark):
-    df = raw(spark, [("a", "5 acres with well, APN: 12345-6", 1, T0)]).withColumn("arrival", F.lit(1).cast("bigint")).withColumn("aspects", F.create_map(F.lit("location"), F.lit("X"), F.lit("lat"), F.lit(" 4 ")))
+    df = raw(spark, [("a", "5 acres with well, APN: 12345-6", 1, T0)]).selectExpr("*", "1L as batch", "1L as position", "'untrusted' as boundary").withColumn("aspects", F.create_map(F.lit("location"), F.lit("X"), F.lit("lat"), F.lit(" 4 ")))
     got = ingest.land(df).first()
     assert got["attributes"]["acreage"] == "5" and got["attributes"]["well"] == "true" and got["attributes"]["location"] == "X" and got["canonical_id"] == "12345-6"
 

@@ -1,68 +1,63 @@
 """Listings that sell the same drive model, by probabilistic record linkage.
 
 1. Attributes are parsed from title, part number, model, brand and aspects:
-   series code, capacity in gigabytes, interface and maker.
+   series code, capacity in gigabytes, interface and maker. How part numbers
+   are built is not known beforehand but learnt from the listings: wherever a
+   part number contains a word that its title has on its own and the size that
+   its title states, both are cut out, and what is left is a structure. The
+   structures, the shapes of the words, the sizes and the interface each
+   structure goes with are counted over all listings.
 2. Listings with the same attributes form a class, so that blocks compare
    classes and not all their copies.
 3. Classes are compared within blocks (the same code; the same digits of the
    code with the same capacity and interface), field by field: agree, close,
    differ, unknown. So is each class with itself.
 4. Fellegi-Sunter weights of the fields are fitted by expectation-maximisation
-   over the counts of the patterns, each weighted by the pairs of listings it
-   stands for.
-5. Pairs that are more probably a match than not, and in which no defining
-   field differs, are links; they are clustered to groups by connected
+   over the counts of the patterns of each block, each weighted by the pairs of
+   listings it stands for.
+5. Pairs that are more probably a match than not are links; nothing but the
+   fitted weights decides that. They are clustered to groups by connected
    components. Listings of a class whose own pattern is no link stay single.
 
 Defined results: a listing without a series code, or of an accessory, is in no
-group; unknown fields neither help nor hurt; hints without meaning count as
-unknown; repeated rows of an id count once, the last seen one.
+group; a part number of no learnt structure is itself the code; unknown fields
+neither help nor hurt; hints without meaning count as unknown; repeated rows of
+an id count once, the last seen one.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinworks.functions.units import number
-from skeinworks.session import written
+from skeinworks.session import discard, written
 
 THRESHOLD = 0.5
-#: The share of codes whose slips the reading does not undo.
-_UNDONE = 0.01
 FIELDS = ("maker", "code", "capacity", "interface")
-#: The fields that define a model: a link may not differ in one of them.
+#: The fields that define a model.
 DEFINING = ("code", "capacity", "interface")
+#: The least share of matches that agree in a defining field: it tells the matches from other clusters of pairs.
+AGREEING = 0.95
 _EM_ROUNDS, _EM_STOP = 200, 1e-9
+#: The share of all evidence of its kind from which on a structure, shape or size counts as one. At most 1 / share of them are held.
+SHARE = {"part": 2e-3, "code": 2e-3, "word": 2e-2, "size": 2e-3}
+#: The share that a code must have of all numbers typed beside its letters, where it is never typed in one piece.
+_RARE = 0.05
+#: The share of the listings of a structure that must have its interface.
+_PURE = 0.8
 
-# The shapes of series codes. D stands for a digit, also where an O, I or L was typed.
 _D = "[0-9OIL]"
-_SHAPES = (rf"[A-Z]{{2}}{_D}{{4}}", rf"[A-Z]{_D}{{4}}[A-Z]", rf"{_D}{{4}}[A-Z]{{2}}", rf"[A-Z]{{4,6}}{_D}{{4}}")
-_TAIL = r"\d?(?:0F\d{5})?(?:RFB|OEM|RETAIL|BULK|SR|UG|AB|R|P)*$"
-# The grammars of part numbers, without separators. t: tenths of a terabyte, g: gigabytes, p: terabytes with P for the point.
-_PARTS = tuple(
-    re.compile("^" + grammar.replace("CODE", f"(?P<code>{shape})") + _TAIL)
-    for grammar in (
-        rf"(?:BV|US|QM)(?P<t>{_D}{{3}})CODE(?P<i>[STV])",
-        rf"(?P<p>{_D}{{1,2}}|{_D}P{_D}{{2}})T(?:NH|OD)CODE(?P<i>[STV])",
-        rf"(?:HY|PL){_D}CODE(?P<t>{_D}{{3}})(?P<i>[STV])",
-        rf"(?:TX|DW)CODE(?P<i>[STV])(?P<t>{_D}{{3}})",
-        rf"CODE(?P<g>{_D}{{3,5}})(?P<i>[STV])",
-    )
-    for shape in (*_SHAPES[:3], *(rf"[A-Z]{{{n}}}{_D}{{4}}" for n in (4, 5, 6)))
-)
 #: What a letter typed for a digit counts against a reading; an L is seldom meant for a 1.
 _SLIP = {"O": 1.0, "I": 1.0, "L": 2.0}
-# Capacities of flash drives as written in three digits, in gigabytes.
-_FLASH = {"048": 480, "096": 960, "192": 1920, "384": 3840, "768": 7680}
-#: Sizes below a terabyte, and of flash drives, that occur; larger ones are whole terabytes.
-_SIZES = frozenset((120, 128, 240, 250, 256, 300, 320, 400, 480, 500, 512, 600, 640, 750, 800, 900, 960, 1200, 1500, 1600, 1800, 1920, 2400, 2500, 3200, 3840, 6400, 7680, 15360, 30720, 61440))
-_INTERFACES = {"S": "SAS", "T": "SATA", "V": "NVMe"}
+#: The interfaces by the words of titles.
 _INTERFACE_WORDS = (("SATA", re.compile(r"\bs-?ata", re.I)), ("SAS", re.compile(r"\bsas(?:\b|[- ]?[1-4])", re.I)), ("NVMe", re.compile(r"\bnvme|\bpcie|\bu\.2\b", re.I)))
 #: Words of listings that sell a part of a drive or something for it.
 _ACCESSORY = re.compile(
@@ -75,124 +70,292 @@ _LEGAL = re.compile(r"\b(?:inc|corp|corporation|ltd|llc|gmbh|co|company|technolo
 _GB = re.compile(r"(?<![\w.,/-])(\d+(?:[.,]\d+)*)[ -]*(tb|tib|gb|gib|to|go|t|terabytes?|gigabytes?|teraoctets?|gigaoctets?)(?![\w/])", re.I)
 _CACHE = re.compile(r"(?:cache|buffer)\W*\d+\W*[mg]b|\d+\W*[mg]b\W*(?:cache|buffer)", re.I)
 _SIZE_TOKEN = re.compile(r"\d+[.,]\d+-?(?:t|tb|gb|to|go)|\d{1,2}-?(?:t|to)|\d+-?(?:tb|gb|go)", re.I)
-_UNIT_LETTERS = frozenset("GB TB MB GO TO MO KB".split())
+#: Units of sizes, with how many gigabytes they are where drives have them.
+_SIZE_UNITS = {"GB": 1, "GO": 1, "TB": 1000, "TO": 1000, "MB": None, "MO": None, "KB": None}
+_NOT_PLAIN = re.compile(r"[^A-Z0-9]")
+_ENDING = re.compile(r"[_#]")
+#: A word that can be a series code, and one that can be a whole model number.
+_CODE_WORD = re.compile(r"[A-Z]{1,8}\d{3,6}[A-Z]{0,3}|\d{3,6}[A-Z]{1,3}")
+_MODEL_WORD = re.compile(r"(?=(?:\D*\d){2})(?=(?:[^A-Z]*[A-Z]){2})[A-Z0-9]{7,}")
+_DIGIT = re.compile(r"\d")
+
+
+def _squeezed(text: str) -> str:
+    return _NOT_PLAIN.sub("", text.upper())
+
+
+def _part_text(text: str) -> str:
+    """A part number without the ending of a seller."""
+    return _ENDING.split(text, maxsplit=1)[0]
+
+
+def _mask(word: str) -> str:
+    return "".join("D" if c.isdigit() else "L" for c in word)
 
 
-def plausible(gigabytes: float) -> bool:
-    """Whether drives of this size are made: it tells a size from digits of a code."""
-    return 0 < gigabytes <= 100_000 and (gigabytes % 1000 == 0 or gigabytes in _SIZES)
+def _is_amount(word: str) -> bool:
+    """Whether a word is a size or a speed of turning."""
+    return word.endswith("RPM") or word[-2:] in _SIZE_UNITS and word[:-2].isdigit()
 
 
-def _digit_part(shape: int, length: int) -> slice:
-    return (slice(2, 6), slice(1, 5), slice(0, 4), slice(length - 4, length))[shape]
+def _digits(text: str) -> str:
+    return text.translate(str.maketrans("OIL", "011"))
 
 
 def _slips(text: str) -> float:
     return sum(_SLIP.get(c, 0.0) for c in text)
 
 
-def _readings(word: str) -> list[tuple[float, int, str]]:
-    """(slips, shape, code without slips) of each shape that ``word`` can have, at least two digits being typed as such."""
-    word = word.upper()
-    out = []
-    for shape, pattern in enumerate(_SHAPES):
-        if re.fullmatch(pattern, word) and sum(c.isdigit() for c in word) >= 2:
-            at = _digit_part(shape, len(word))
-            out.append((_slips(word[at]), shape, word[: at.start] + _digits(word[at]) + word[at.stop :]))
-    return sorted(out)
+def _round_size(gigabytes: int) -> bool:
+    """Whether a size is written with at most three digits but for zeros."""
+    return len(str(gigabytes).rstrip("0")) <= 3
 
 
-def canonical(code: str) -> str:
-    """A code without the slips that confuse O with 0 and I or L with 1 in its digits."""
-    return next((c for _, _, c in _readings(code)), code.upper())
+def _spellings(gigabytes: int) -> list[tuple[str, str]]:
+    """How part numbers write a size, the longest first: t in three digits of tenths or hundredths of a terabyte, g in gigabytes, p in terabytes with a letter for the point, b in whole terabytes."""
+    out = [("g", str(gigabytes))]
+    if gigabytes % 100 == 0 and gigabytes < 100_000:
+        out.append(("t", f"{gigabytes // 100:03d}"))
+    elif gigabytes % 10 == 0 and gigabytes < 10_000:
+        out.append(("t", f"{gigabytes // 10:03d}"))
+    out.append(("b", str(gigabytes // 1000)) if gigabytes % 1000 == 0 else ("p", f"{gigabytes // 1000}P{gigabytes % 1000 // 10:02d}"))
+    return sorted(out, key=lambda x: -len(x[1]))
 
 
-def _digits(text: str) -> str:
-    return text.translate(str.maketrans("OIL", "011"))
+def _tokens(text: str) -> list[str]:
+    return [t for t in (x.strip(",;|()[]*!\"'") for x in text.split()) if t and t not in ("-", "–", "/", "·")]
 
 
-def part_number(text: str, size: int | None = None) -> tuple[str, int, str] | None:
-    """(code, gigabytes, interface) that a part number states; endings of sellers and revision signs don't count.
+def stated_sizes(text: str) -> list[int]:
+    """Gigabytes that a text states, the cache left out."""
+    low = text.lower()
+    if "cache" in low or "buffer" in low:
+        text = _CACHE.sub(" ", text)
+    out = []
+    for m in _GB.finditer(text):
+        written_, unit = m[1], m[2].lower()
+        if written_[0] == "0" and written_[1:2].isdigit():
+            continue  # digits of a part number
+        value = float(written_) if written_.isdigit() else float(number(written_) or 0)
+        scale = 1000 if unit[0] == "t" else 1
+        binary = (1.099511627776 if scale == 1000 else 1.073741824) if "ib" in unit else 1.0
+        gigabytes = round(min(value * scale * binary, 1e9))
+        if 0 < gigabytes <= 100_000:
+            out.append(gigabytes)
+    return out
 
-    Of several readings the one with the fewest slips counts; a mark typed
-    where the code ends, and the size known from elsewhere, speak for one.
-    """
-    body = re.split(r"[_#]", text.upper())[0]
-    squeezed = re.sub(r"[^A-Z0-9]", "", body)
-    if not 10 <= len(squeezed) <= 32:
-        return None
-    marks, seen = set(), 0
-    for c in body:
-        marks |= set() if c.isascii() and c.isalnum() else {seen}
-        seen += c.isascii() and c.isalnum()
-    best: tuple[float, tuple[str, int, str]] | None = None
-    for grammar in _PARTS:
-        m = grammar.match(squeezed)
-        if not m or sum(c.isdigit() for c in m["code"]) < 2:
-            continue
-        found = {k: _digits(v) for k, v in m.groupdict().items() if v and k in "tgp"}
-        if "t" in found:
-            gigabytes = _FLASH.get(found["t"], int(found["t"]) * 100)
-        elif "p" in found:
-            gigabytes = round(float(found["p"].replace("P", ".")) * 1000)
-        else:
-            gigabytes = int(found["g"])
-        if not plausible(gigabytes):
-            continue
-        slips, _, code = _readings(m["code"])[0]
-        score = slips + _slips("".join(m[k] for k in found)) - 1.5 * (m.end("code") in marks) - 2.0 * (gigabytes == size)
-        if best is None or score < best[0]:
-            best = score, (code, gigabytes, _INTERFACES[m["i"]])
-    return best[1] if best else None
 
+def stated_interface(text: str) -> str | None:
+    """The interface that a text names, if it names one only."""
+    found = [name for name, pattern in _INTERFACE_WORDS if pattern.search(text)]
+    return found[0] if len(found) == 1 else None
 
-def _tokens(text: str) -> list[str]:
-    return [t for t in (x.strip(",;|()[]*!\"'") for x in re.split(r"\s+", text)) if t and t not in ("-", "–", "/", "·")]
-
-
-def _codes(tokens: list[str]) -> list[str]:
-    """Candidate codes of a text, best first: whole tokens, then codes typed with blanks inside, then those that a common word is part of."""
-    found: list[tuple] = []
-    for i, token in enumerate(tokens):
-        for n in (1, 2, 3):
-            parts = tokens[i : i + n]
-            if len(parts) < n or n > 1 and any(_SIZE_TOKEN.fullmatch(p) for p in parts):
-                break
-            word = "".join(parts).replace("-", "")
-            following = tokens[i + n].lower() if i + n < len(tokens) else ""
-            readings = _readings(word)
-            if not readings or following.startswith(("rpm", "u/min", "tr/min")) or n > 1 and not (parts[0].isalpha() or parts[-1].isalpha()):
-                continue
-            slips, shape, code = readings[0]
-            common = False
-            if shape == 2 and code[4:] in _UNIT_LETTERS:
-                # Four digits and GB are a size where there are drives of it, and a code where not; no cache has four digits of MB.
-                if code[4:] == "GB" and plausible(int(code[:4])) and not code.startswith("0"):
-                    continue
-                common = n > 1
-            if n > 1:
-                common = common or following in ("gb", "tb", "mb", "go", "to") or shape == 2 and following == "stock" or shape in (0, 3) and parts[0].lower() in _COMMON and not (parts[0].upper() in _UNIT_LETTERS and i > 0 and tokens[i - 1].isalpha())
-            found.append((common, n > 1, shape == 3 and n > 1, slips, n, i, code))
-    return [f[-1] for f in sorted(found)]
 
+def _is_part(word: str) -> bool:
+    return len(word) >= 8 and len(_DIGIT.findall(word)) >= 4 and not word.isdigit()
 
-#: Words before a number that are no part of a code.
-_COMMON = frozenset("used data sata disk zoll hard dur sas hdd ssd new sealed tested ready rated rpm ship packed good stock returns price grade hours oem seller buy inch lot tb gb mb of us the nas hot free top low fast pro only brand from note inc corp labs mark well deep umbra scale norr haven quill state solid drive cache".split())
 
+def structure(part: str, title: list[str], model: list[str], size: int) -> tuple[str, str, str] | None:
+    """(structure, the letter after it, the shape of the code) of a part number, from what stands beside it.
 
-def capacity(text: str) -> int | None:
-    """Gigabytes that a text states, the cache left out."""
-    for m in _GB.finditer(_CACHE.sub(" ", text)):
-        value, unit = number(m[1]), m[2].lower()
-        if value:
-            scale = 1000 if unit[0] == "t" else 1
-            binary = (1.099511627776 if scale == 1000 else 1.073741824) if "ib" in unit else 1.0
-            gigabytes = round(float(value) * scale * binary)
-            if binary > 1 and gigabytes < 100_000 or plausible(gigabytes):
-                return gigabytes
+    The code is the longest word, or neighbouring words, of title and model
+    that the part number contains; {c} stands for it and {t}, {g}, {p} or {b}
+    for the size. Letters stay, and # is any other digit. A title's word that
+    the part number ends with, or begins with and goes on as the title does, is
+    a piece of it and doesn't count. None
+    where the code or the size isn't found exactly once.
+    """
+    code = ""
+    for line in (title, model):
+        for i in range(len(line)):
+            word = ""
+            for n in range(i, min(i + 3, len(line))):
+                word += line[n]
+                if word not in part:
+                    break
+                if len(code) < len(word) <= len(part) - 2 and len(word) <= 12 and len(_DIGIT.findall(word)) >= 3 and not word.isdigit() and (line is model or not part.endswith(word) and not part.startswith(word + (line[n + 1] or "?" if n + 1 < len(line) else "?"))):
+                    code = word
+    if len(code) < 5 or part.count(code) != 1:
+        return None
+    left, right = part.split(code)
+    for kind, spelled in _spellings(size):
+        hits = left.count(spelled) + right.count(spelled)
+        if hits == 1:
+            plain = lambda x: _DIGIT.sub("#", x)
+            if spelled in left:
+                before, after = left.split(spelled)
+                return f"{plain(before)}{{{kind}}}{plain(after)}{{c}}", right[:1] if right[:1].isalpha() else "", _mask(code)
+            before, after = right.split(spelled)
+            return f"{plain(left)}{{c}}{plain(before)}{{{kind}}}", after[:1] if after[:1].isalpha() else "", _mask(code)
+        if hits:
+            return None
     return None
 
 
+def evidence(title: str | None, mpn: str | None, model: str | None) -> list[str]:
+    """What a listing tells about sizes, shapes of codes and structures of part numbers, as texts to be counted."""
+    title = title or ""
+    out = []
+    sizes = stated_sizes(title)
+    out += [f"size\t{sizes[0]}"] if sizes else []
+    tokens = [_squeezed(_part_text(t)) for t in _tokens(title)]
+    named = [_squeezed(t) for t in _tokens(model or "")]
+    out += [f"word\t{_mask(w)}" for line in (tokens, named) for w in set(line) if 5 <= len(w) <= 10 and _CODE_WORD.fullmatch(w) and not _is_amount(w)]
+    if sizes:
+        interface = stated_interface(title) or ""
+        for part in {w for w in (_squeezed(_part_text(mpn or "")), *tokens) if _is_part(w)}:
+            got = structure(part, tokens, named, sizes[0])
+            if got:
+                out += [f"part\t{got[0]}\t{got[1]}\t{interface}", f"code\t{got[2]}"]
+    return out
+
+
+@dataclass
+class Grammar:
+    """What was learnt: sizes and shapes with their counts; structures as (structure, count, interface, interface by the letter after it)."""
+
+    sizes: dict[int, int] = field(default_factory=dict)
+    shapes: dict[str, int] = field(default_factory=dict)
+    structures: list[tuple[str, int, str | None, dict[str, str]]] = field(default_factory=list)
+
+    @classmethod
+    def learnt(cls, counts: dict[str, int]) -> "Grammar":
+        """From counts of evidence()."""
+        out, parts = cls(), {}
+        for text, n in sorted(counts.items()):
+            kind, *rest = text.split("\t")
+            if kind == "size":
+                out.sizes[int(rest[0])] = n
+            elif kind == "part":
+                parts.setdefault(rest[0], {}).setdefault(rest[1], {})[rest[2]] = n
+            else:
+                out.shapes[rest[0]] = out.shapes.get(rest[0], 0) + n
+        top = sum(out.sizes.values())
+        out.sizes = {s: n for s, n in out.sizes.items() if _round_size(s) or n >= 5 * SHARE["size"] * top}
+
+        def pure(votes: dict[str, int]) -> str | None:
+            known = {i: n for i, n in votes.items() if i}
+            best = max(known, key=lambda i: (known[i], i), default=None)
+            return best if best and known[best] >= _PURE * sum(known.values()) else None
+
+        for text, after in parts.items():
+            whole: dict[str, int] = {}
+            for votes in after.values():
+                for i, n in votes.items():
+                    whole[i] = whole.get(i, 0) + n
+            by_letter = {letter: pure(votes) for letter, votes in after.items() if letter}
+            out.structures.append((text, sum(whole.values()), pure(whole), {k: v for k, v in by_letter.items() if v}))
+        return out
+
+    def __post_init__(self) -> None:
+        self._ready = False
+
+    def __getstate__(self) -> dict:
+        return {"sizes": self.sizes, "shapes": self.shapes, "structures": self.structures, "_ready": False}
+
+    def _prepare(self) -> None:
+        slots = {"{t}": rf"(?P<t>{_D}{{3}})", "{g}": rf"(?P<g>{_D}{{3,5}})", "{b}": rf"(?P<b>{_D}{{1,2}})", "{p}": rf"(?P<p>{_D}{{1,2}}P{_D}{{2}})", "#": _D}
+
+        def pattern(text: str, code: str) -> str:
+            return "".join(f"(?P<c>{code})" if x == "{c}" else slots.get(x, re.escape(x)) for x in re.findall(r"\{\w\}|.", text))
+
+        self._masks = {m: re.sub(r"(L+|D+)", lambda r: f"{'[A-Z]' if r[0][0] == 'L' else _D}{{{len(r[0])}}}", m) for m in self.shapes}
+        any_code = "|".join(self._masks.values()) or "(?!)"
+        self._read = [([re.compile(pattern(t, m)) for m in self._masks.values()], n, i, by) for t, n, i, by in self.structures]
+        each = [re.sub(r"\?P<\w>", "?:", pattern(t, any_code)) for t, *_ in self.structures]
+        self._any = re.compile("|".join(f"(?:{p})" for p in each) or "(?!)")
+        self._by_length: dict[int, list[tuple[str, re.Pattern]]] = {}
+        for m, p in self._masks.items():
+            self._by_length.setdefault(len(m), []).append((m, re.compile(p)))
+        self._ready = True
+
+    def _size(self, kind: str, text: str) -> int | None:
+        """The size that a spelling means; None where no drive of it is known."""
+        if kind == "p":
+            digits = _digits(text.replace("P", ""))
+            tries = [int(digits) * 10]
+        else:
+            value = int(_digits(text))
+            tries = {"t": [value * 100, *([value * 10] if value % 10 else [])], "g": [value], "b": [value * 1000]}[kind]
+        return next((s for s in tries if s in self.sizes), None)
+
+    def _known_size(self, word: str) -> bool:
+        """Whether digits and a unit are a size of drives; others of this form can be codes."""
+        scale = _SIZE_UNITS.get(word[-2:])
+        return bool(scale) and word[:-2].isdigit() and int(word[:-2]) * scale in self.sizes
+
+    def codes(self, word: str) -> list[tuple[float, str]]:
+        """(slips, code without slips) of each learnt shape that ``word`` can have, at least two digits being typed as such; few slips and frequent shapes come first."""
+        if not self._ready:
+            self._prepare()
+        out = []
+        for mask, pattern in self._by_length.get(len(word), ()):
+            if pattern.fullmatch(word) and len(_DIGIT.findall(word)) >= 2:
+                at = [i for i, m in enumerate(mask) if m == "D"]
+                slips = _slips("".join(word[i] for i in at))
+                out.append((slips - math.log2(self.shapes[mask]) / 4, slips, "".join(_digits(c) if mask[i] == "D" else c for i, c in enumerate(word))))
+        return [x[1:] for x in sorted(out)]
+
+    def part(self, text: str, size: int | None = None) -> tuple[str, int, str | None] | None:
+        """(code, gigabytes, interface) that a part number of a learnt structure states; endings and revision signs don't count.
+
+        Of several readings the one with the fewest slips counts; a mark typed
+        where the code ends, the size known from elsewhere, and how frequent
+        the structure is speak for one.
+        """
+        if not self._ready:
+            self._prepare()
+        body = _part_text(text).upper()
+        word = _NOT_PLAIN.sub("", body)
+        if len(word) < 7 or not self._any.match(word):
+            return None
+        marks, seen = set(), 0
+        for c in body:
+            plain = c.isascii() and c.isalnum()
+            marks |= set() if plain else {seen}
+            seen += plain
+        best: tuple[float, tuple[str, int, str | None]] | None = None
+        for patterns, n, interface, by_letter in self._read:
+            for pattern in patterns:
+                m = pattern.match(word)
+                if not m or len(_DIGIT.findall(m["c"])) < 2:
+                    continue
+                kind = next(k for k in m.groupdict() if k != "c")
+                gigabytes = self._size(kind, m[kind])
+                if gigabytes is None:
+                    continue
+                letter = word[m.end() : m.end() + 1]
+                whole = interface is not None or letter in by_letter
+                if not whole and size not in (None, gigabytes):
+                    continue
+                slips, code = next(iter(self.codes(m["c"])), (0.0, m["c"]))
+                score = slips + _slips(m[kind].replace("P", "")) - 1.5 * (m.end("c") in marks) - 2.0 * (gigabytes == size) - 0.1 * n.bit_length() + 2.0 * (not whole)
+                if best is None or score < best[0]:
+                    best = score, (code, gigabytes, by_letter.get(letter, interface))
+        return best[1] if best else None
+
+    def words(self, tokens: list[str]) -> list[tuple[bool, float, str]]:
+        """(typed with blanks inside, slips, code) of the candidate codes of a text."""
+        plain = [_squeezed(_part_text(t)) for t in tokens]
+        out = []
+        for i in range(len(tokens)):
+            word = ""
+            for n in range(i, min(i + 3, len(tokens))):
+                if n > i and (_SIZE_TOKEN.fullmatch(tokens[n]) or _SIZE_TOKEN.fullmatch(tokens[i])):
+                    break
+                word += plain[n]
+                if len(word) > 12:
+                    break
+                following = tokens[n + 1].lower() if n + 1 < len(tokens) else ""
+                if following.startswith(("rpm", "u/min", "tr/min")) or n > i and not (plain[i].isalpha() or plain[n].isalpha()):
+                    continue
+                readings = self.codes(word)
+                if not readings or word.endswith("RPM") or self._known_size(word):
+                    continue
+                out.append((n > i, readings[0][0], readings[0][1]))
+        return sorted(out)
+
+
 def maker(text: str | None) -> str | None:
     """A brand without case, marks and legal forms; None where it has no meaning."""
     plain = re.sub(r"[^a-z0-9]", "", (text or "").lower())
@@ -201,31 +364,65 @@ def maker(text: str | None) -> str | None:
     return re.sub(r"[^a-z0-9]", "", _LEGAL.sub(" ", (text or "").lower())) or plain
 
 
-def attributes(title: str | None, mpn: str | None, model: str | None, brand: str | None, aspects: str | None) -> tuple[str | None, int | None, str | None, str | None]:
-    """(code, capacity, interface, maker); all None for an accessory."""
+@dataclass(frozen=True)
+class Attributes:
+    """What a listing states. ``sure``: the code is read from a part number; else ``words`` and then ``joined`` hold candidates, the best first."""
+
+    sure: str | None
+    words: list[str]
+    joined: list[str]
+    capacity: int | None
+    interface: str | None
+    maker: str | None
+
+
+def attributes(grammar: Grammar, title: str | None, mpn: str | None, model: str | None, brand: str | None, aspects: str | None) -> Attributes | None:
+    """The attributes of a listing under the learnt grammar; None for an accessory."""
     title = title or ""
     if _ACCESSORY.search(title):
-        return None, None, None, None
+        return None
     tokens = _tokens(title)
-    # A part number typed with blanks is looked for in neighbouring tokens; a size on its own belongs to no part number.
-    runs = (tokens[i : i + n] for n in (1, 2, 3) for i in range(len(tokens) - n + 1))
-    written_parts = [mpn or "", *(" ".join(r) for r in runs if not any(_SIZE_TOKEN.fullmatch(t) for t in r))]
-    size = capacity(title)
-    part = next((p for p in (part_number(w, size) for w in written_parts) if p), None)
-    words = _CACHE.sub(" ", title)
-    interfaces = [name for name, pattern in _INTERFACE_WORDS if pattern.search(words)]
-    interface = interfaces[0] if len(interfaces) == 1 else None
+    size = next((s for s in stated_sizes(title) if s in grammar.sizes), None)
+    part = grammar.part(mpn, size) if mpn else None
+    if not part:
+        # A part number typed with blanks is looked for in neighbouring tokens; a size on its own belongs to no part number.
+        digits = [-99 if _SIZE_TOKEN.fullmatch(t) else len(_DIGIT.findall(t)) for t in tokens]
+        runs = ((i, n) for n in (1, 2, 3) for i in range(len(tokens) - n + 1) if sum(digits[i : i + n]) >= 3)
+        read = ((n, grammar.part(" ".join(tokens[i : i + n]), size)) for i, n in runs)
+        part = next((p for n, p in read if p and (n == 1 or size in (None, p[1]))), None)
+    interface = stated_interface(title)
     if size is None and aspects:
         try:
             got = json.loads(aspects)
             value = number(str(got.get("capacity_tb") or "")) if isinstance(got, dict) else None
             size = round(float(value) * 1000) if value else None
-        except (ValueError, IndexError):
+        except (ValueError, IndexError, OverflowError):
             size = None
     if part:
-        return part[0], part[1], part[2], maker(brand)
-    code = next(iter(_codes(_tokens(model or "")) + _codes(tokens)), None)
-    return code, size, interface, maker(brand)
+        return Attributes(part[0], [], [], part[1], part[2] or interface, maker(brand))
+    named = [*grammar.words(_tokens(model or "")), *grammar.words(tokens)]
+    words, joined = ([c for j, _, c in named if j == typed] for typed in (False, True))
+    if not words and not joined:
+        # The longest word that can be a model number is taken whole.
+        whole = [w for w in (_squeezed(_part_text(x)) for x in (mpn or "", *tokens)) if _MODEL_WORD.fullmatch(w) and not _is_amount(w)]
+        words = sorted(whole, key=lambda w: (-len(w), w))[:1]
+    return Attributes(None, list(dict.fromkeys(words)), list(dict.fromkeys(joined)), size, interface, maker(brand))
+
+
+def learnt(rows: DataFrame) -> Grammar:
+    """The grammar that the evidence of all ``rows`` (a column ``evidence``) gives."""
+    counts = written(rows.select(F.explode("evidence").alias("e")).groupBy("e").agg(F.count("*").alias("n")).withColumn("kind", F.substring_index("e", "\t", 1)), "evidence")
+    totals = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row for each kind
+    enough = F.lit(False)
+    for kind, share in SHARE.items():
+        enough = enough | ((F.col("kind") == kind) & (F.col("n") >= max(2, share * totals.get(kind, 0))))
+    # A structure counts as a whole; its letters and interfaces come along with it.
+    stem = F.when(F.col("kind") == "part", F.substring_index("e", "\t", 2)).otherwise(F.col("e"))
+    sums = counts.groupBy("kind", stem.alias("stem")).agg(F.sum("n").alias("n")).where(enough).select("stem")
+    kept = counts.withColumn("stem", stem).join(sums, "stem").groupBy("e").agg(F.sum("n").alias("n"))
+    out = Grammar.learnt({r["e"]: r["n"] for r in kept.collect()})  # at most 1 / SHARE stems of each kind, with some letters each
+    discard(counts)
+    return out
 
 
 def parsed(offers: DataFrame) -> DataFrame:
@@ -233,16 +430,42 @@ def parsed(offers: DataFrame) -> DataFrame:
     newest = Window.partitionBy("id").orderBy(F.desc("last_seen_ns"), F.desc("title"), F.desc("hint_mpn"))
     columns = ["id", "title", "hint_mpn", "hint_model", "hint_brand", "aspects_json"]
     rows = offers.where("id is not null").select(*columns, "last_seen_ns").withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select(*columns)
-    out = pa.schema([("id", pa.string()), ("code", pa.string()), ("capacity", pa.int64()), ("interface", pa.string()), ("maker", pa.string())])
+    texts = pa.list_(pa.string())
+    seen = pa.schema([*((c, pa.string()) for c in columns), ("evidence", texts)])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [evidence(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in batch.columns), pa.array(got, texts)], schema=seen)
+
+    told = written(rows.mapInArrow(gather, ", ".join(f"{c} string" for c in columns) + ", evidence array<string>"), "told")
+    grammar = learnt(told)
+    out = pa.schema([("id", pa.string()), ("sure", pa.string()), ("words", texts), ("joined", texts), ("capacity", pa.int64()), ("interface", pa.string()), ("maker", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, *rest = (c.to_pylist() for c in batch.columns)
-            got = [(i, *attributes(*x)) for i, *x in zip(ids, *rest, strict=True)]
-            got = [g for g in got if g[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*got) if got else [[]] * 5, out, strict=True)], schema=out)
-
-    return rows.mapInArrow(read, "id string, code string, capacity bigint, interface string, maker string")
+            made = ((i, attributes(grammar, *x)) for i, *x in zip(ids, *rest, strict=True))
+            got = [(i, a.sure, a.words, a.joined, a.capacity, a.interface, a.maker) for i, a in made if a and (a.sure or a.words or a.joined)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*got) if got else [[]] * len(out), out, strict=True)], schema=out)
+
+    spelled = "id string, sure string, words array<string>, joined array<string>, capacity bigint, interface string, maker string"
+    found = written(told.select(*columns).mapInArrow(read, spelled), "attributes")
+    known = found.select("id", "capacity", "interface", "maker")
+    sure = found.where("sure is not null").select("id", F.col("sure").alias("code"))
+    # Other codes count by how many listings have them in one piece.
+    pieces = sure.select("code").unionByName(found.where("sure is null").select(F.explode("words").alias("code"))).groupBy("code").agg(F.count("*").alias("n"))
+    tried = found.where("sure is null").select("id", F.posexplode(F.concat(F.transform("words", lambda w: F.struct(w.alias("code"), F.lit(False).alias("split"))), F.transform("joined", lambda w: F.struct(w.alias("code"), F.lit(True).alias("split"))))).alias("at", "c"))
+    rated = tried.select("id", "at", "c.code", "c.split").join(pieces, "code", "left")
+    attested = F.coalesce(F.col("n"), F.lit(0)) >= F.when(F.col("split"), 1).otherwise(2)
+    rated = written(rated.withColumn("attested", attested), "candidates")
+    best = rated.where("attested or not split").groupBy("id").agg(F.min_by("code", F.struct(~F.col("attested"), "split", "at")).alias("code"))
+    # A code that is nowhere in one piece counts where its letters are no word that stands before numbers of all kinds.
+    loose = rated.where("split").join(best.select("id"), "id", "left_anti").withColumn("letters", F.regexp_replace("code", "[0-9]", ""))
+    often = loose.groupBy("letters", "code").agg(F.count("*").alias("n_code"))
+    rare = often.withColumn("n_letters", F.sum("n_code").over(Window.partitionBy("letters"))).where(F.col("n_code") >= _RARE * F.col("n_letters"))
+    spare = loose.join(rare.drop("letters"), "code").groupBy("id").agg(F.min_by("code", F.struct("n_letters", "at")).alias("code"))
+    return known.join(sure.unionByName(best).unionByName(spare), "id").select("id", "code", "capacity", "interface", "maker")
 
 
 def classes(listings: DataFrame) -> DataFrame:
@@ -293,53 +516,65 @@ def chance_agreement(found: DataFrame) -> dict[str, float]:
     return out
 
 
-def fit(patterns: dict[tuple, float], chance: dict[str, float]) -> dict[tuple, float]:
-    """The probability of a match for each pattern of levels: Fellegi-Sunter weights by expectation-maximisation.
+def _match_odds(pattern: tuple, used: tuple[str, ...], m: dict, u: dict) -> float:
+    """The likelihood ratio of a pattern over the fields ``used``."""
+    odds = 1.0
+    for f in used:
+        level = pattern[FIELDS.index(f)]
+        if level is not None:
+            odds *= m[f][level] / u[f][level]
+    return odds
+
+
+def _expectation_maximisation(patterns: dict[tuple, float], used: tuple[str, ...], m: dict, u: dict, fixed_m: tuple[str, ...], fixed_u: tuple[str, ...], share: float) -> tuple[dict[tuple, float], float]:
+    """(probability of a match for each pattern, share of matches); m and u are fitted in place, but for the fixed fields."""
+    total, match = sum(patterns.values()), {}
+    for _ in range(_EM_ROUNDS if total else 0):
+        for p in patterns:
+            odds = share / (1 - share) * _match_odds(p, used, m, u)
+            match[p] = odds / (1 + odds)
+        before, share = share, min(max(sum(n * match[p] for p, n in patterns.items()) / total, 1e-6), 1 - 1e-6)
+        for f in used:
+            k = FIELDS.index(f)
+            for side, fixed, weight in ((m, fixed_m, lambda p: match[p]), (u, fixed_u, lambda p: 1 - match[p])):
+                if f not in fixed:
+                    seen = {x: 1e-3 + sum(n * weight(p) for p, n in patterns.items() if p[k] == x) for x in (0, 1, 2)}
+                    side[f] = {x: seen[x] / sum(seen.values()) for x in seen}
+            if f in DEFINING and f not in fixed_m and m[f][2] < AGREEING and any(p[k] == 2 for p in patterns):
+                rest = m[f][1] + m[f][0]
+                m[f] = {2: AGREEING, 1: m[f][1] / rest * (1 - AGREEING), 0: m[f][0] / rest * (1 - AGREEING)}
+        if abs(share - before) < _EM_STOP:
+            break
+    return match, share
+
 
-    Pairs of one code give the weights of the other fields. Chance agreement
-    in capacity and interface is what random listings have and stays fixed;
-    that of the maker is estimated, as a code is one maker's. Pairs of
-    different codes are judged by the same weights, the odds of their codes,
-    and the chance agreement of makers that these pairs themselves show.
+def fit(patterns: dict[tuple, float], chance: dict[str, float]) -> dict[tuple, float]:
+    """The probability of a match for each pattern of levels: Fellegi-Sunter weights by expectation-maximisation, block by block.
+
+    Pairs of the block of one code give the weights of maker, capacity and
+    interface; chance agreement in capacity is that of random listings, chance
+    agreement of makers and interfaces is estimated on the block, as a code is
+    one maker's and often has one interface. Pairs of the block of the same digits, capacity and interface but
+    different codes have the code and the maker to tell: what makers of matches
+    do is known from the first block, all else is fitted on the block itself.
     """
-    k = {f: i for i, f in enumerate(FIELDS)}
-    same = {p: n for p, n in patterns.items() if p[k["code"]] == 2}
+    at = FIELDS.index("code")
+    same = {p: n for p, n in patterns.items() if p[at] == 2}
+    apart = {p: n for p, n in patterns.items() if p[at] != 2}
     u: dict[str, dict[int, float]] = {f: {2: chance[f], 1: 1e-3 * chance[f], 0: 1 - chance[f]} for f in DEFINING}
     u["maker"] = {2: 0.5, 1: 0.25, 0: 0.25}
     m: dict[str, dict[int, float]] = {f: {2: 0.95, 1: 0.03, 0: 0.02} for f in FIELDS}
-    used, share, total = ("maker", "capacity", "interface"), 0.2, sum(same.values())
-    match: dict[tuple, float] = {}
-    for _ in range(_EM_ROUNDS if same else 0):
-        for p in same:
-            yes, no = share, 1 - share
-            for f in used:
-                level = p[k[f]]
-                if level is not None:
-                    yes, no = yes * m[f][level], no * u[f][level]
-            match[p] = yes / (yes + no)
-        before, share = share, min(max(sum(n * match[p] for p, n in same.items()) / total, 1e-6), 1 - 1e-6)
-        for f in used:
-            for side, weight in ((m, lambda p: match[p]), *(((u, lambda p: 1 - match[p]),) if f == "maker" else ())):
-                seen = {x: 1e-3 + sum(n * weight(p) for p, n in same.items() if p[k[f]] == x) for x in (0, 1, 2)}
-                side[f] = {x: seen[x] / sum(seen.values()) for x in seen}
-        if abs(share - before) < _EM_STOP:
-            break
-    apart = {p: n for p, n in patterns.items() if p[k["code"]] != 2}
-    makers = {x: 1.0 + sum(n for p, n in apart.items() if p[k["maker"]] == x) for x in (0, 1, 2)}
-    strange = {x: n / sum(makers.values()) for x, n in makers.items()}
-    prior = share * chance["code"]
-    for p in apart:
-        odds = prior / (1 - prior) * (_UNDONE / (1e-3 * chance["code"]) if p[k["code"]] == 1 else 1e-6)
-        for f in used:
-            level = p[k[f]]
-            if level is not None:
-                odds *= m[f][level] / (strange if f == "maker" else u[f])[level]
-        match[p] = odds / (1 + odds)
-    return match
+    match, _ = _expectation_maximisation(same, ("maker", "capacity", "interface"), m, u, (), ("capacity",), 0.2)
+    makers = {x: 1.0 + sum(n for p, n in apart.items() if p[FIELDS.index("maker")] == x) for x in (0, 1, 2)}
+    codes = {x: 1.0 + sum(n for p, n in apart.items() if p[at] == x) for x in (0, 1)}
+    own_u = {"maker": {x: n / sum(makers.values()) for x, n in makers.items()}, "code": {2: 1e-9} | {x: n / sum(codes.values()) for x, n in codes.items()}}
+    own_m = {"maker": m["maker"], "code": {2: 1e-9, 1: 0.9, 0: 0.1}}
+    others, _ = _expectation_maximisation(apart, ("maker", "code"), own_m, own_u, ("maker",), (), 0.01)
+    return match | others
 
 
 def _linking(pairs: DataFrame, found: DataFrame) -> list[tuple]:
-    """The patterns whose pairs are links: probable enough, and no defining field differs; a code that is only close needs a maker that agrees."""
+    """The patterns whose pairs are links: those more probably a match than not."""
     counts = {tuple(r[f] for f in FIELDS): float(r["n"]) for r in pairs.groupBy(*FIELDS).agg(F.sum("n").alias("n")).collect()}  # at most 4 ** 4 rows
     # Listings of one class agree in all that is known of them; they are pairs too.
     known = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
@@ -348,8 +583,7 @@ def _linking(pairs: DataFrame, found: DataFrame) -> list[tuple]:
         key = tuple(r[f] for f in FIELDS)
         counts[key] = counts.get(key, 0.0) + float(r["n"])
     match = fit({p: n for p, n in counts.items() if n > 0}, chance_agreement(found))
-    at = FIELDS.index
-    return [p for p, chance in match.items() if chance >= THRESHOLD and all(p[at(f)] != 0 for f in DEFINING) and (p[at("code")] == 2 or p[at("maker")] in (1, 2))]
+    return [p for p, chance in match.items() if chance >= THRESHOLD]
 
 
 def _is(patterns: list[tuple]) -> Column:
@@ -368,7 +602,9 @@ def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[Da
 
     A class that leaves a defining field open is linked only where one class
     without open fields fits it: else it would join models that differ in that
-    field. Where none fits, two open classes are linked that fit only each other.
+    field. Where none fits, two open classes are linked that fit only each
+    other. Listings of an open class that no class without open fields could
+    join are links of each other, where their pattern is one.
     """
     known = F.lit(True)
     for f in DEFINING:
@@ -383,7 +619,7 @@ def linked(pairs: DataFrame, linking: list[tuple], found: DataFrame) -> tuple[Da
     mutual = fits.where("fits = 0 and all = 1").groupBy("any").agg(F.count("*").alias("ends")).where("ends = 2").select("any.*")
     once = fits.where("fits = 1").select("fit.*").unionByName(mutual)
     levels = {f: F.when(F.col(f).isNotNull(), 2) for f in FIELDS}
-    own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).join(full, "class", "left_semi").select("class")
+    own = found.select("class", *[c.alias(f) for f, c in levels.items()]).where(_is(linking)).join(fits.where("fits > 0").select("class"), "class", "left_anti").select("class")
     return links.where("known").select("a", "b").unionByName(once).distinct(), own
 
 

@@ -7,11 +7,13 @@ code (fences, inline code, command lines, data samples) nor in a sentence that
 speaks about templates, unless such sentences are the smaller part of those
 with matches.
 
-Filler: runs of Latin filler words of enough density, and set phrases that
-stand for a description.
+Filler: runs of Latin filler words of enough density, sentences that are Latin
+by their endings and little words, and set phrases that stand for a
+description.
 
 Messages: errors, unavailability, and notices that scripts or a browser check
-are required. They make a record residue only where they are all of it: after
+are required; by set phrases, and by structure: a short sentence that gives a
+status with a reason, or says of something on the web that it fails. They make a record residue only where they are all of it: after
 taking away the messages, what goes with them and page navigation, no more
 than ``LEFT_WORDS`` words remain.
 
@@ -36,6 +38,10 @@ LATIN_RUN, LATIN_SHARE, LATIN_STRONG = 4, 0.6, 3
 _NAME = r"[A-Za-z_][\w-]*(?:\.\w+)*"
 _FILTER = r"(?:\s*\|\s*\w+(?:\([^()\n]{0,40}\))?|\s+or\s+\w+)*"
 _WORDS = r"[^\W\d_][\w'’/-]*(?:[ _][\w'’/-]+){0,5}"
+# What fields are called that a template fills.
+_FIELDS = "name address price date email e-mail phone telephone company title number no id brand model city state county street zip code url link amount quantity qty sku mpn description product item customer client buyer seller shop store website signature total currency capacity interface condition warranty location logo image text".split()
+_FIELD_CAPS = "(?:" + "|".join(sorted((f.upper() for f in _FIELDS), key=len, reverse=True)) + ")"
+_FIELD = "(?:" + "|".join(x for f in sorted(_FIELDS, key=len, reverse=True) for x in (f.upper(), f.title())) + ")"
 # The grammars of unfilled placeholders, by delimiter.
 _PLACEHOLDERS = (
     rf"\{{\{{\{{?\s*[#/^>&!]?\s*(?:\w+\s+){{0,2}}{_NAME}{_FILTER}\s*\}}?\}}\}}",  # {{name}}, {{{name}}}, {{#each names}}
@@ -57,10 +63,15 @@ _PLACEHOLDERS = (
     rf"[\[<]{_WORDS}\s+(?i:goes here|here|einfügen|eintragen|ici|aquí)[\]>]",  # [name goes here]
     rf"&lt;\s*(?:[a-z][a-z0-9]*(?:[_ .][a-z0-9]+)*)\s*&gt;",  # an escaped <name>
     r"<[a-z][a-z0-9]*(?:_[a-z0-9]+)+>",  # <first_name>
+    r"(?<!\w)<[A-Z][a-z]+(?:[A-Z][a-z]+)+>",  # <CustomerName>
+    rf"\[(?:(?!\w+(?:ED|ed)\b)[A-Z][\w'’]*[ _]){{0,3}}{_FIELD}\]",  # [CUSTOMER NAME]
+    rf"[«‹]\s*(?:[a-z][a-z0-9]*(?:_[a-z0-9]+)+|(?:[A-Z]+[ _]){{0,3}}{_FIELD_CAPS})\s*[»›]",  # «first_name», «CUSTOMER NAME»
+    rf"\(\(\s*(?:[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|(?:\w+[ _]){{0,3}}{_FIELD})\s*\)\)",  # ((first_name))
+    rf"(?<![\w$])\$(?:[A-Z][A-Z0-9]*_)+(?:{_FIELD_CAPS}|PLACEHOLDER)\b",  # $CUSTOMER_NAME
 )
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
 #: Where a placeholder can begin.
-_HINT = re.compile(r"(?=[$#@]?\{|\[|<|%(?=[({%A-Z])|@@|\*\||__(?=[A-Z])|&lt;|[~#^$|!:]+[A-Z])")
+_HINT = re.compile(r"(?=[$#@]?\{|\[|<|[«‹]|\(\(|%(?=[({%A-Z])|@@|\*\||__(?=[A-Z])|&lt;|[~#^$|!:]+[A-Z])")
 #: Fences and tags run over lines; an indented block goes on while its lines are indented, a command ends with its line.
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?(?:</\1>|\Z)|`[^`\n]+`|^(?: {4}|\t)\S[^\n]*(?:\n(?:(?: {4}|\t)[^\n]*|[ \t]*(?=\n)))*|^[^\S\n]*(?:\$|>>>|#!)[^\S\n][^\n]*", re.S | re.M | re.I)
 # Words of a sentence that speaks about templates.
@@ -72,6 +83,16 @@ _LATIN = frozenset(
 )
 _SHARED = frozenset("et in ex ad id est non sit qui ut ea sed dolor".split())
 _STRONG = _LATIN - _SHARED
+# Endings of Latin words that living languages seldom have, little words of Latin, and little words of living languages.
+_LATIN_END = re.compile(r"(?:us|um|unt|ntur|tur|ae|orum|arum|ibus|isse|que|iam|imus|amus|erit|erunt|itas|atis)$")
+_LATIN_LITTLE = frozenset("et in ad non ut qui quae quod cum sed ex de est sunt atque nec vel per ab pro quam at aut si ac eos hic neque nam enim quia ita etiam tamen ubi sic sit quos quis ipsa ipsam ipsum unde".split())
+_LIVING = frozenset("the of and is are for to with a an this that it on by from or as be was we you our your der die das und ist mit von für ein eine nicht zu den im auf le la les des une du est pas pour avec sur dans que el los las una por con para del se no es y en il di che".split()) - frozenset("est que non in".split())
+#: Words of a sentence of unknown Latin, the share of them with Latin endings, and the share of little words of Latin.
+LATIN_WORDS, LATIN_ENDS, LATIN_SMALL = 8, 0.25, 0.1
+#: The share of little words that tells Latin with few such endings.
+LATIN_MANY_SMALL = 0.3
+#: Words of which any filler of Latin holds one.
+_LATIN_ONLY = _STRONG | (_LATIN_LITTLE - frozenset("et in ad non ut qui ex de est per si at sed cum pro sic que".split()))
 
 # Phrases that stand in the place of a description, each with parts of which a text must hold one before the phrase is looked for.
 _KINDS = ("text", "copy", "description", "detail", "content", "paragraph", "heading", "title", "story", "body", "caption", "headline", "subtitle")
@@ -85,6 +106,7 @@ _FILLERS = (
     ("use this ", r"\buse this (?:section|area|block|space|text) to (?:tell|share|describe|explain|welcome|add)\b"),
     ("heading one|heading two|heading three|heading 1|heading 2|heading 3|heading 4|heading 5|heading 6", rf"{_START}heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)"),
     ("coming soon|to follow|to be added|to come|to be announced|follows soon|pending", rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon|pending)\b"),
+    ("shortly|soon|later|in due course|in a few days|asap", rf"\b{_KIND} (?:will|shall|is going to|to) (?:be |follow\b ?|come\b ?)?(?:added|updated|provided|supplied|written|completed|uploaded|inserted|posted|published|finished|filled in)?[ ,]*(?:here )?(?:very )?(?:shortly|soon|later|in due course|in a few days|asap)\b"),
     ("this is ", rf"\bthis is (?:a |an |some )?(?:filler|placeholder|dummy|sample|example|draft|blind) {_KIND}\b"),
     ("|".join(f"{w} {k}" for w in _MADE_UP for k in _KINDS), rf"{_START}(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)"),
     ("before publi|before going live|before launch|before release", r"\b(?:change|replace|edit|update|remove)(?: this| me)?(?: text| copy)? before (?:publishing|going live|launch|publication|release)\b"),
@@ -170,7 +192,7 @@ _MESSAGES = (
     r"\b(?:activ[ea]|habilite|active) (?:java ?script|los scripts)[^\n.]*",
     r"\besta (?:página|tienda) (?:requiere|necesita) (?:scripts?|java ?script)[^\n.]*",
 )
-#: Parts of which every message but a line of a stack holds at least one.
+#: Parts of which every message but a line of a stack, a status or a structure holds at least one.
 _MESSAGE_KEYS = tuple(
     "server error|service |bad gateway|gateway time|forbidden|unauthorized|bad request|too many requests|gone|not found|upstream|requested url|requested page|requested resource|find th|locate th|looking for|you requested|you wanted|maintenance|closed|paused|unavailable|suspended|offline|no longer available|something went wrong|unexpected condition|internal error|error has occurred|error occurred|database connection|fatal error|traceback|file \"|exception|error: |\"error|\"message|\"status|denied|permission|not allowed|request blocked|rate limited|blocked|logged out|your session|fehler|nicht gefunden|zugriff|nicht verfügbar|nicht erreichbar|erreur|introuvable|non trouvée|accès|indisponible|no encontramos|no se encontró|no existe|no encontrada|acceso|no está disponible|un error|script|js|skript|cookies|your browser|full functionality|robot|human".split("|")
 )
@@ -180,33 +202,58 @@ _MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES), re.I | re.M)
 _BESIDE = (
     r"\b(?:please )?(?:try|retry)(?: again)?(?: later| in a (?:moment|minute|few \w+)| (?:after|in) \d+ \w+)",
     r"\b(?:please )?(?:reload|refresh)(?: (?:once it is on|the page|this page))?\b",
-    r"\bturn it on and reload the page\b",
     r"\btry (?:searching the shop|another search)(?: or go back home)?",
     r"\bslow down and try again in \d+ \w+",
     r"\bthis takes up to \d+ seconds",
     r"\bwe will be back at [^\n.]{1,12}",
     r"\bcome back (?:soon|later)",
     r"\bwe have been notified",
-    r"\bif you are the owner, log in to reopen it",
     r"\bplease (?:sign|log) in(?: again)?(?: to (?:continue|see this \w+|view this \w+))?",
-    r"\bsome parts of the page cannot be shown",
     r"\bjust a moment(?:\.{2,3}|…)?",
     r"\b(?:incident|reference|referencia|référence|vorgang|request|ray|request id)\s*(?:id\s*)?[:#]?\s*[\w.#-]*\d[\w.-]*",
     r"\b(?:oops|whoops|sorry|hmm|uh-oh)\b[!.,:]?",
-    r"\bshop-edge/[\d.]+",
     r"\bbitte versuchen sie es (?:in \d+ \w+ )?(?:erneut|später)(?: erneut)?",
-    r"\bihr browser hat sie abgeschaltet",
     r"\bdas (?:angebot|produkt) wurde (?:verschoben|entfernt|beendet)(?: oder \w+)?",
     r"\bréessayez dans \d+ \w+",
     r"\bintente de nuevo en \d+ \w+",
-    r"\bsu navegador los tiene desactivados",
-    r"\bthe gallery can['’]t load without js",
     r"\bhome(?: ?[|>/·•] ?\w+)+",
     r"^\W{0,12}(?:search|cart(?: \(\d+\))?|home|shop|contact|menu|sign in|log in|login|register|account|checkout|skip to content|back to (?:results|top|shop|home)|help|about|faq|privacy|terms|imprint|impressum)\W{0,12}$",
     r"\b(?:skip to content|back to results|cart \(\d+\))",
     r"©[^\n.]{0,60}",
+    r"^\W*[\w-]+/\d[\d.]*\W*$",
 )
 _ANY_BESIDE = re.compile("|".join(f"(?:{p})" for p in _BESIDE), re.I | re.M)
+# Messages by structure: a sentence that says of something on the web that it fails, by words of four languages.
+# Things on the web, what happens to them, what scripts are called and what is said of them, and what the reader is to do.
+_SUBJECT = r"\b(?:pages?|(?:web ?)?sites?|servers?|services?|shop|store|storefront|app|application|connection|requests?|session|access|resource|urls?|link|host|hostname|gateway|proxy|database|listing|offer|item|product|lot|map|gallery|view|content|account|ip|address|auction|document|file|seite|website|dienst|anwendung|verbindung|anfrage|sitzung|zugriff|zugang|datenbank|angebot|artikel|karte|serveur|boutique|connexion|requête|accès|base de données|annonce|offre|carte|página|sitio|servidor|servicio|tienda|conexión|solicitud|sesión|acceso|base de datos|anuncio|oferta|mapa|navigateur|navegador|browser|parts? of (?:the|this) page)\b"
+_FAILING = r"(?:\bnot (?:be )?(?:found|available|reachable|authori[sz]ed|allowed|responding|exist|shown|displayed|loaded|reached|processed|completed)\b|\bcan(?:['’]?t|not)(?: be)? (?:found|find|reached|reach|displayed|display|loaded|load|shown|show|opened|open|connect|processed|process|completed)\b|\bcould(?: not|n['’]?t)(?: be)? (?:found|find|reached|reach|displayed|loaded|load|shown|opened|connect|processed|completed)\b|\b(?:un|in)available\b|\boffline\b|\bout of service\b|\bmaintenance\b|\btim(?:ed?|ing)[ -]?out\b|\bexpired\b|\b(?:has|have) ended\b|\bdenied\b|\brefused\b|\bblocked\b|\bforbidden\b|\bunauthori[sz]ed\b|\brejected\b|\bfailed\b|\bwent wrong\b|\bdoes(?: not|n['’]?t) exist\b|\bno longer (?:exists?|available|here)\b|\b(?:has|have) been (?:removed|moved|deleted|suspended|disabled|limited|closed|blocked)\b|\boverloaded\b|\berrors?\b|\bbad (?:gateway|request)\b|\btoo many requests\b|\brate limit|\bnicht (?:gefunden|verfügbar|erreichbar|erlaubt|gestattet|geladen|angezeigt|geöffnet)\b|\babgelaufen\b|\bverweigert\b|\bgesperrt\b|\bfehlgeschlagen\b|\bfehler\b|\bexistiert nicht\b|\bwurden? (?:entfernt|verschoben|gelöscht|beendet)\b|\bwartung|\b(?:ab|aus)geschaltet\b|\bintrouvable|\bnon trouvée?\b|\bindisponible|\bexpirée?\b|\brefusée?\b|\binterdit|\bbloquée?\b|\béchoué|\bn['’]existe (?:pas|plus)\b|\berreur\b|\bdésactivée?s?\b|\bno (?:se )?(?:encontr\w+|encuentra|existe|está disponible|disponible)\b|\bcaducad[oa]|\bexpirad[oa]|\bdenegad[oa]|\bprohibid[oa]|\bbloquead[oa]|\bfalló\b|\bmantenimiento\b|\bdesactivad[oa]s?\b)"
+_SCRIPT_SAID = rf"\b(?:{_JS}|java-script|cookies|skripte?|los scripts|les scripts)\b"
+_SCRIPT_NEED = r"\b(?:without|requires?|required|needs?|needed|enable[ds]?|activat\w+|allow|permit|turn(?:ed)? o[nf]f?|switch(?:ed)? o[nf]f?|disabled|blocked|off|support\w*|depends?|relies|ohne|benötigt|braucht|erfordert|aktivier\w+|abgeschaltet|ausgeschaltet|deaktiviert|sans|nécessite|requiert|exige|besoin|activez|activer|désactivée?s?|sin|requiere|necesita|active|activa|habilite|desactivad[oa]s?)\b"
+_CHECK = r"\b(?:verify|verifying|checking|confirm|prove|security check|captcha|challenge)\b[^\n]*\b(?:human|robot|bot|browser|connection|captcha|cloud)\b|\bcaptcha\b"
+_STATUS = r"(?<![\d.,$€£-])(?:[45]\d\d|10\d\d)(?![\d.,]*\d)"
+_REASON = r"(?:\bhttp\b|\berror\b|\bstatus\b|\bcode\b|\bproxy\b|\bfehler\b|\berreur\b)"
+_TO_DO = r"\b(?:try|retry|reload|refresh|wait|come back|go back|go to|return to|check (?:the|your)|contact (?:us|support|the)|log ?in|sign ?in|log in again|clear your|erneut|später|neu laden|melden sie sich|réessayez|actualisez|reconnectez|revenez|intente|inténtelo|recargue|vuelva|inicie)\b"
+#: Words of a sentence that tells about somebody or asks, which no message does.
+_TELLING = re.compile(r"\b(?:i|i['’]m|i['’]ve|my|me|mine|he|she|him|his|her|they|their|told|tells|said|says|saying|asked|used to|yesterday|last (?:week|month|year)|ich|mein\w*|er|sie hat|je|j['’]ai|mon|ma|mes|yo|mi|mis|also|even|still|once|so|because|although|but|until|came|works? (?:with(?:out)?|fine))\b|\?\s*$", re.I)
+_SUBJECTS, _FAILS, _SCRIPTED, _NEEDED = (re.compile(x, re.I) for x in (_SUBJECT, _FAILING, _SCRIPT_SAID, _SCRIPT_NEED))
+_CHECKED, _STATUSES, _REASONS, _TO_DOS = (re.compile(x, re.I) for x in (_CHECK, _STATUS, _REASON, _TO_DO))
+#: Words that a sentence of a message has at most, and a status line.
+MESSAGE_WORDS, STATUS_WORDS = 22, 12
+_QUOTED = re.compile(r"[\"“”„«»]")
+
+
+def _says_failure(sentence: str) -> bool:
+    """Whether a sentence is a message by its structure: a status with a reason, a thing on the web that fails, a need for scripts, a check of the browser."""
+    n = len(_WORD.findall(sentence))
+    if not n or n > MESSAGE_WORDS or _TELLING.search(sentence) or _QUOTED.search(sentence):
+        return False
+    if n <= STATUS_WORDS and _STATUSES.search(sentence) and (_REASONS.search(sentence) or _FAILS.search(sentence)):
+        return True
+    if _SCRIPTED.search(sentence) and _NEEDED.search(sentence) or _CHECKED.search(sentence):
+        return True
+    return bool(_FAILS.search(sentence) and _SUBJECTS.search(sentence))
+
+
 _WORD = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -241,7 +288,7 @@ def has_filler(text: str) -> bool:
     low, held = text.lower(), _folded(text)
     if any(pattern.search(text) for keys, pattern in _FILLER if any(k in held for k in keys)):
         return True
-    if sum(w in _STRONG for w in _WORD.findall(low)) < LATIN_STRONG:
+    if _LATIN_ONLY.isdisjoint(_WORD.findall(low)):
         return False
     for s in _SENTENCE.finditer(low):
         words = _WORD.findall(s[0])
@@ -253,22 +300,13 @@ def has_filler(text: str) -> bool:
             strong += w in _STRONG
         if strong >= LATIN_STRONG and (sum(latin) >= LATIN_SHARE * len(words) and len(words) >= LATIN_RUN or best >= 2 * LATIN_RUN):
             return True
+        if len(words) >= LATIN_WORDS and not _LIVING.intersection(words):
+            ends, little = sum(bool(_LATIN_END.search(w)) and len(w) > 3 for w in words), sum(w in _LATIN_LITTLE for w in words)
+            if ends >= LATIN_ENDS * len(words) and little >= LATIN_SMALL * len(words) or ends and little >= LATIN_MANY_SMALL * len(words):
+                return True
     return False
 
 
-def _parts(text: str) -> Iterator[str]:
-    """Lines, long ones cut between sentences."""
-    for line in text.splitlines():
-        start = 0
-        while len(line) - start > 400:
-            cut = _STOP.search(line, start + 200)
-            if not cut:
-                break
-            yield line[start : cut.start()]
-            start = cut.end()
-        yield line[start:]
-
-
 def _folded(text: str) -> str:
     """``text`` in lower case, with the letters that patterns without case take for i, k and s."""
     if not text.isascii():
@@ -276,20 +314,49 @@ def _folded(text: str) -> str:
     return text.lower()
 
 
+#: Parts of which every sentence that goes with messages, and every one that is a message by structure, holds at least one.
+_MORE_KEYS = tuple(
+    "try|reload|refresh|slow down|this takes|we will be|come back|been notified|sign in|log in|login|log ?in|just a moment|incident|reference|referencia|référence|vorgang|request|ray|oops|whoops|sorry|hmm|uh-oh|bitte versuchen|wurde|réessayez|intente|home|search|cart|shop|contact|menu|register|account|checkout|skip to|back to|help|about|faq|privacy|terms|imprint|impressum|©|/|not |can't|can’t|cannot|cant |couldn|could not|available|offline|out of service|time|expired|ended|refused|unauthori|rejected|failed|doesn|does not|no longer|been |overload|bad |too many|rate limit|nicht |abgelaufen|verweigert|gesperrt|fehl|wartung|geschaltet|expir|refus|interdit|bloqu|échou|exist|désactiv|no |caducad|denegad|prohibid|fall|mantenimiento|desactivad|http|status|code|proxy|verify|checking|confirm|prove|captcha|challenge|security check|wait|go back|go to|return|check|clear|erneut|später|neu laden|melden|actualisez|reconnect|revenez|inténtelo|recargue|vuelva|inicie|error|went wrong|blocked|forbidden".split("|")
+)
+#: Parts of lines in which a message can run over the ends of sentences.
+_WIDE = ("{", "error:", "exception", "traceback", "file \"")
+
+
 def _may_be_message(text: str) -> bool:
-    held = _folded(text)
-    return any(k in held for k in _MESSAGE_KEYS) or bool(_STACK.search(held))
+    """Whether not too many words stand in sentences that hold no part of a message or of what goes with it."""
+    left = 0
+    for line in _folded(text).splitlines():
+        wide = any(k in line for k in _WIDE) or _STACK.search(line)
+        for part in (line,) if wide else _STOP.split(line):
+            if not wide and not any(k in part for k in _MESSAGE_KEYS) and not any(k in part for k in _MORE_KEYS):
+                left += len(_WORD.findall(part))
+                if left > LEFT_WORDS:
+                    return False
+    return True
 
 
 def is_message(text: str) -> bool:
     """Whether ``text`` is nothing but messages, what goes with them, and page navigation."""
-    if not _may_be_message(text):
-        return False
+    return _may_be_message(text) and _only_messages(text)
+
+
+def _only_messages(text: str) -> bool:
     left = hits = 0
-    for part in _parts(text):
-        rest, n = _MESSAGE.subn(" \n ", part)
+    for line in text.splitlines():
+        if "?" in line and not any(k in _folded(line) for k in _WIDE):  # a question is no message
+            sentences = _STOP.split(line)
+            asked = [x for x in sentences if x.rstrip().endswith("?")]
+            left += sum(len(_WORD.findall(x)) for x in asked)
+            line = " ".join(x for x in sentences if not x.rstrip().endswith("?"))
+        rest, n = _MESSAGE.subn(" \n ", line)
         hits += n
-        left += len(_WORD.findall(_ANY_BESIDE.sub(" ", rest)))
+        for sentence in _STOP.split(rest):
+            if _says_failure(sentence):
+                hits += 1
+                continue
+            if _TO_DOS.search(sentence) and len(_WORD.findall(sentence)) <= MESSAGE_WORDS and not _TELLING.search(sentence):
+                continue
+            left += len(_WORD.findall(_ANY_BESIDE.sub(" ", sentence)))
         if left > LEFT_WORDS:
             return False
     return hits > 0

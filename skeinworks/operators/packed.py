@@ -9,6 +9,8 @@ values, marks and quotes take the fewest bits; only that parse is kept.
 
 The codebook stays distributed: each text is given the counts of the values of
 its own parses by a join, so that no process holds more than one text's part.
+A text is parsed once; the rounds that fit the codebook only weigh its parses
+again. Every set of the marks that a text has is tried, however many it has.
 
 Defined results: null and blank texts yield no row; empty values have no
 position; a text that is a list literal yields its elements; quotes that don't
@@ -21,21 +23,23 @@ import ast
 import bisect
 import itertools
 import json
+import marshal
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.session import written
+from skeinworks.session import discard, written
 
 ROUNDS = 2
 #: Rows of a batch of values.
 _BATCH = 20_000
-#: Marks beyond this number are tried by leaving out one or two of them, not in all combinations.
-ALL_SETS = 5
+#: The parses of a text with at most so many different marks are kept between the rounds; those of others are made again each time.
+KEPT_MARKS = 6
 # The marks that can separate. Hyphen, dash and slash need blanks around them.
 _MARK = re.compile(r"\\.|->|::|\r\n?|[\n\t,;|>»•\"']|(?:(?<=\s)|^)[-–/](?=\s|$)", re.S)
 _QUOTES = "\"'"
@@ -143,33 +147,40 @@ def list_literal(text: str) -> list[str] | None:
     return None
 
 
-def dialects(text: str, marks: list[tuple[int, int, str]]) -> list[tuple[frozenset[str], str]]:
-    """The dialects that the marks of ``text`` allow."""
+def dialects(marks: list[tuple[int, int, str]], text: str) -> Iterator[tuple[frozenset[str], str]]:
+    """The dialects that the marks of ``text`` allow: every set of its marks, with every quote that opens a value."""
     present = sorted({m for _, _, m in marks if m not in _QUOTES and m[0] != "\\"})
-    if len(present) <= ALL_SETS:
-        sets = [frozenset(s) for n in range(len(present) + 1) for s in itertools.combinations(present, n)]
-    else:
-        whole = frozenset(present)
-        sets = [whole, *(whole - set(out) for n in (1, 2) for out in itertools.combinations(present, n)), *(frozenset([m]) for m in present)]
     quotes = ["", *(q for q in _QUOTES if any(m == q and _opens(text, a, marks, k) for k, (a, _, m) in enumerate(marks)))]
-    return [(s, q) for s in sets for q in quotes]
+    for n in range(len(present) + 1):
+        for chosen in itertools.combinations(present, n):
+            for quote in quotes:
+                yield frozenset(chosen), quote
 
 
 def _opens(text: str, at: int, marks: list[tuple[int, int, str]], k: int) -> bool:
     return not text[marks[k - 1][1] if k else 0 : at].strip()
 
 
-def _offered(text: str) -> tuple[set[str], set[str], int]:
-    """The values of all parses of ``text``, those that are counted first, and the most values a parse of these has."""
+#: A parse: the numbers of its values, the bits that no codebook changes, the marks inside values and those that work, each with its number, and how many marks are chosen (negative), whether quotes are taken at their word.
+Parse = tuple[tuple[int, ...], float, tuple[tuple[str, int], ...], tuple[tuple[str, int], ...], int, bool]
+
+
+def _counted(marks: list[str]) -> tuple[tuple[str, int], ...]:
+    return tuple((m, marks.count(m)) for m in dict.fromkeys(marks)) if len(marks) < 50 else tuple(Counter(marks).items())
+
+
+def parses(text: str, numbers: dict[str, int]) -> Iterator[Parse]:
+    """Every parse of ``text``; ``numbers`` gets the values that come up, numbered as they come."""
     elements = list_literal(text)
     if elements is not None:
-        return set(elements), set(elements), len(elements)
+        yield tuple(numbers.setdefault(v, len(numbers)) for v in elements), 0.0, (), (), 0, True
+        return
     marks = _marks(text)
-    tried = dialects(text, marks)
-    signed = any(q for _, q in tried)  # quotes that open values are first taken at their word
-    parses = [(split(text, marks, s, q)[0], bool(q) or not signed) for s, q in tried]
-    first = [p for p, taken in parses if taken]
-    return {v for p, _ in parses for v in p}, {v for p in first for v in p}, max(map(len, first))
+    for chosen, quote in dialects(marks, text):
+        got, quoted, empty, inner = split(text, marks, chosen, quote)
+        between = [m for _, _, m in marks if m in chosen]
+        fixed = _BITS["mark"] * len(chosen) + _BITS["quoted"] * quoted + _BITS["empty"] * empty + (math.log2(len(chosen)) * len(got) if len(chosen) > 1 else 0.0)
+        yield tuple([numbers.setdefault(v, len(numbers)) for v in got]), fixed, _counted(inner), _counted(between) + (((quote, quoted),) if quoted else ()), -len(chosen), bool(quote)
 
 
 class Codebook:
@@ -181,7 +192,7 @@ class Codebook:
     """
 
     def __init__(self, counts: dict[str, int], total: int, inside: dict[str, int], between: dict[str, int]) -> None:
-        self.total = total
+        self.total = max(1, total)
         self.know(counts)
         rate = {m: (inside.get(m, 0) + _INNER) / (inside.get(m, 0) + between.get(m, 0) + 1) for m in {*inside, *between}}
         self.inside = {m: -math.log2(r) for m, r in rate.items()}
@@ -189,107 +200,176 @@ class Codebook:
 
     def know(self, counts: dict[str, int]) -> None:
         """Takes the counts of the values that the next texts can have."""
-        self.bits = {v: math.log2(self.total / n) + self._spelled(v) / n for v, n in counts.items()}
-
-    @staticmethod
-    def _spelled(value: str) -> float:
-        return _BITS["literal"] + _BITS["char"] * len(value)
+        self.counts = counts
 
     def length(self, value: str) -> float:
-        spelled = self._spelled(value)
-        return min(spelled, self.bits.get(value, spelled))
+        """Bits of one use of a value: its entry's code and share of spelling, or spelled out."""
+        spelled = _BITS["literal"] + _BITS["char"] * len(value)
+        n = self.counts.get(value)
+        return min(spelled, math.log2(self.total / n) + spelled / n) if n else spelled
+
+    def cheapest(self, found: Iterable[Parse], bits: list[float]) -> Parse:
+        """The parse of fewest bits, ``bits`` being those of the values; of equal ones the one of most marks."""
+        seldom, inside, between = -math.log2(_INNER), self.inside, self.between
+        best, least = None, (math.inf, 0)
+        for parse in found:
+            got, cost, inner, working, chosen, _ = parse
+            if cost > least[0]:
+                continue
+            for m, n in inner:
+                cost += n * inside.get(m, seldom)
+            for m, n in working:
+                if m not in _QUOTES:
+                    cost += n * between.get(m, 0.0)
+            if cost > least[0]:
+                continue
+            cost += sum(map(bits.__getitem__, got))
+            if (cost, chosen) < least:
+                best, least = parse, (cost, chosen)
+        return best
 
-    def parse(self, text: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
-        """The values, the marks that stand inside them, and the marks (and quotes) that do their work."""
+    def parse(self, text: str) -> tuple[str, ...]:
+        """The values of the cheapest parse."""
         if not text.strip():
-            return (), (), ()
-        elements = list_literal(text)
-        if elements is not None:
-            return tuple(elements), (), ()
-        marks = _marks(text)
-        seldom = -math.log2(_INNER)
-        best: tuple[float, int, list[str], list[str], list[str]] | None = None
-        for chosen, quote in dialects(text, marks):
-            values, quoted, empty, inner = split(text, marks, chosen, quote)
-            choice = math.log2(len(chosen)) if len(chosen) > 1 else 0.0
-            between = [m for _, _, m in marks if m in chosen]
-            bits = _BITS["mark"] * len(chosen) + _BITS["quoted"] * quoted + _BITS["empty"] * empty + choice * len(values) + sum(map(self.length, values))
-            bits += sum(self.inside.get(m, seldom) for m in inner) + sum(self.between.get(m, 0.0) for m in between)
-            if best is None or (bits, -len(chosen)) < best[:2]:
-                best = bits, -len(chosen), values, inner, between + [quote] * quoted
-        return tuple(best[2]), tuple(best[3]), tuple(best[4])
-
-
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(id, field, value, first, most): the values of all parses of each text, and whether they are counted first; without a value, the most values of a parse."""
+            return ()
+        numbers: dict[str, int] = {}
+        found = list(parses(text, numbers))
+        names = list(numbers)
+        return tuple(names[i] for i in self.cheapest(found, [self.length(v) for v in names])[0])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+_OFFER = pa.schema([("id", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("first", pa.bool_()), ("most", pa.int64()), ("kept", pa.binary())])
+
+
+def _offered(texts: DataFrame) -> DataFrame:
+    """(id, field, value, first, most, kept): a row for each text with its parses, as bytes that only a later round reads, and
+    the most values of one that is counted first; and a row for each value of any parse, with whether it is counted first."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             took: list[tuple] = []
             for i, f, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                every, first, most = _offered(t)
-                took.append((i, f, None, False, most))
-                took.extend((i, f, v, v in first, 0) for v in every)
+                numbers: dict[str, int] = {}
+                found = parses(t, numbers)
+                marks = {m for _, _, m in _marks(t)}
+                keep = len(marks) <= KEPT_MARKS
+                found = list(found) if keep else found
+                # Quotes that open values are first taken at their word; where there are none, all parses count.
+                quoted: tuple[set, int] = set(), 0
+                plain: tuple[set, int] = set(), 0
+                for got, *_, by_quote in found:
+                    if by_quote:
+                        quoted = quoted[0] | set(got), max(quoted[1], len(got))
+                    else:
+                        plain = plain[0] | set(got), max(plain[1], len(got))
+                first, most = quoted if quoted[0] else plain
+                names = list(numbers)
+                took.append((i, f, None, False, most, marshal.dumps((names, found)) if keep else None))
+                took.extend((i, f, v, n in first, 0, None) for n, v in enumerate(names))
                 if len(took) >= _BATCH:
-                    yield _batch(took, out)
+                    yield _batch(took, _OFFER)
                     took = []
-            yield _batch(took, out)
+            yield _batch(took, _OFFER)
 
-    out = pa.schema([("id", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("first", pa.bool_()), ("most", pa.int64())])
-    return texts.select("id", "field", "text").mapInArrow(offer, "id bigint, field string, value string, first boolean, most bigint")
+    return texts.select("id", "field", "text").mapInArrow(offer, "id bigint, field string, value string, first boolean, most bigint, kept binary")
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
+def _read(text: str, kept: bytes | None) -> tuple[list[str], list[Parse]]:
+    if kept is not None:
+        return marshal.loads(kept)
+    numbers: dict[str, int] = {}
+    found = list(parses(text, numbers))
+    return list(numbers), found
+
+
+def _sums(rows: DataFrame) -> tuple[dict, dict, dict]:
+    """Totals of values by field, and of marks inside and between by field and mark: as many rows as there are fields and marks."""
+    out: tuple[dict, dict, dict] = {}, {}, {}
+    for r in rows.groupBy("kind", "field", F.when(F.col("kind") > 0, F.col("value")).alias("value")).agg(F.sum("n").alias("n")).collect():
+        out[r["kind"]].setdefault(r["field"], {})[r["value"]] = r["n"]
+    return out
 
 
-def _counts(values: DataFrame) -> DataFrame:
-    """(field, value, n): the values that at least two texts have."""
-    return values.groupBy("field", "value").agg(F.count("*").alias("n")).where("n >= 2")
+def _books(sums: tuple[dict, dict, dict]) -> dict[str, Codebook]:
+    totals, inside, between = sums
+    return {f: Codebook({}, totals.get(f, {}).get(None, 0), inside.get(f, {}), between.get(f, {})) for f in {*totals, *inside, *between}}
 
 
-def _sums(rows: DataFrame, *by: str) -> dict[tuple, int]:
-    """Sums of n by field, or field and mark."""
-    return {tuple(r[c] for c in by): r["n"] for r in rows.groupBy(*by).agg(F.sum("n").alias("n")).collect()}
+def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> tuple[DataFrame, dict[str, Codebook]]:
+    """The texts with the counts of those of their values that have any."""
+    known = candidates.join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
+    return texts.join(known, "id", "left").select("field", "text", "kept", "known", "n"), _books(sums)
 
 
-def _round(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> DataFrame:
-    """(field, text, got, inside, between): each text's cheapest parse by the given counts."""
-    known = candidates.where("value is not null").join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
-    totals, inside, between = sums
+def _chosen(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook]) -> Iterator[list[tuple[str, str, list[str], Parse]]]:
+    """(field, text, values by number, cheapest parse) of each text, batch by batch."""
+    empty = Codebook({}, 1, {}, {})
+    for batch in batches:
+        out = []
+        for f, t, kept, values_, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            book = books.get(f, empty)
+            book.know(dict(zip(values_ or (), n or (), strict=True)))
+            names, found = _read(t, kept)
+            out.append((f, t, names, book.cheapest(found, [book.length(v) for v in names])))
+        yield out
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[str, Codebook] = {}
-        for batch in batches:
-            took: list[tuple] = []
-            for f, t, values, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if f not in books:
-                    marks = ({m: c for (g, m), c in where.items() if g == f} for where in (inside, between))
-                    books[f] = Codebook({}, max(1, totals.get((f,), 0)), *marks)
-                books[f].know(dict(zip(values or (), n or (), strict=True)))
-                took.append((f, t, *books[f].parse(t)))
-            yield _batch(took, out)
 
-    texts_of = pa.list_(pa.string())
-    out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", texts_of), ("inside", texts_of), ("between", texts_of)])
-    rows = texts.join(known, "id", "left").select("field", "text", "known", "n")
-    return rows.mapInArrow(parse, "field string, text string, got array<string>, inside array<string>, between array<string>")
+def _round(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> DataFrame:
+    """(field, kind, value, n): sums over the cheapest parses, combined by batch: 0 a value by texts that have it, 1 a mark inside values, 2 a mark between."""
+    rows, books = _weighed(texts, candidates, counts, sums)
+    out = pa.schema([("field", pa.string()), ("kind", pa.int32()), ("value", pa.string()), ("n", pa.int64()), ("uses", pa.int64())])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chosen in _chosen(batches, books):
+            seen: dict[tuple, int] = {}
+            uses: dict[tuple, int] = {}
+            for f, _, names, (got, _, inner, working, *_) in chosen:
+                for i in got:
+                    uses[f, 0, names[i]] = uses.get((f, 0, names[i]), 0) + 1
+                for i in set(got):
+                    seen[f, 0, names[i]] = seen.get((f, 0, names[i]), 0) + 1
+                for kind, marks in ((1, inner), (2, working)):
+                    for m, n in marks:
+                        seen[f, kind, m] = seen.get((f, kind, m), 0) + n
+            yield _batch([(*k, n, uses.get(k, n)) for k, n in seen.items()], out)
+
+    return rows.mapInArrow(tally, "field string, kind int, value string, n bigint, uses bigint")
 
 
 def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
     """(field, text, got): the values of every distinct text of every field."""
     texts = rows.where(F.col(text).isNotNull()).select(F.col(field).alias("field"), F.col(text).alias("text")).distinct()
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    candidates = written(_candidates(texts), "candidates")
-    counts = _counts(candidates.where("first"))
-    sums = _sums(candidates.where("value is null").select("field", F.col("most").alias("n")), "field"), {}, {}
+    offered = written(_offered(texts), "offered")
+    named = offered.where("value is not null").select("id", "field", "value", "first")
+    # A value of one text's parses only can never have two texts; it needs no entry and takes no further part.
+    shared = named.groupBy("field", "value").agg(F.count("*").alias("all"), F.count_if("first").alias("n")).where("all >= 2")
+    shared = written(shared, "shared")
+    candidates = written(named.join(shared.select("field", "value"), ["field", "value"]).select("id", "field", "value"), "candidates")
+    kept = offered.where("value is null").select("id", "kept")
+    texts_ = written(texts.join(kept, "id"), "parses")
+    sums = _sums(offered.where("value is null").select("field", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.col("most").alias("n")))
+    counts = shared.select("field", "value", "n").where("n >= 2")
+    done = []
     for _ in range(ROUNDS):
-        done = written(_round(texts, candidates, counts, sums), "parses")
-        counts = _counts(done.select("field", F.explode(F.array_distinct("got")).alias("value")))
-        marks = (done.select("field", F.explode(where).alias("mark"), F.lit(1).alias("n")) for where in ("inside", "between"))
-        sums = _sums(done.select("field", F.size("got").alias("n")), "field"), *(_sums(m, "field", "mark") for m in marks)
-    return written(_round(texts, candidates, counts, sums), "parses").select("field", "text", "got")
+        done.append(written(_round(texts_, candidates, counts, sums), "round"))
+        counts = done[-1].where("kind = 0").groupBy("field", "value").agg(F.sum("n").alias("n")).where("n >= 2")
+        sums = _sums(done[-1].select("field", "kind", "value", F.when(F.col("kind") == 0, F.col("uses")).otherwise(F.col("n")).alias("n")))
+    last, books = _weighed(texts_, candidates, counts, sums)
+    out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", pa.list_(pa.string()))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chosen in _chosen(batches, books):
+            yield _batch([(f, t, [names[i] for i in parse[0]]) for f, t, names, parse in chosen], out)
+
+    got = written(last.mapInArrow(read, "field string, text string, got array<string>"), "got")
+    discard(texts, offered, shared, candidates, texts_, *done)
+    return got
 
 
 def values(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -59,6 +59,15 @@ def test_two_uses_make_an_entry_in_tables_of_any_size(spark, rows):
     assert got == [("Alfa, Beta Gamma",)] * 2
 
 
+def test_any_number_of_marks_is_tried_in_all_sets():
+    text = "a, b; c | d\te > f » g • h::i"
+    marks = packed._marks(text)
+    tried = list(packed.dialects(marks, text))
+    assert len(tried) == len(set(tried)) == 2 ** len({m for *_, m in marks}) == 256
+    counts = {v: 500 for v in ("a, b", "c", "d\te > f » g", "h::i")}
+    assert packed.Codebook(counts, 5000, {}, {}).parse(text.replace("•", ";").replace("|", ";")) == ("a, b", "c", "d\te > f » g", "h::i")
+
+
 def parse(text, chosen, quote='"'):
     return packed.split(text, packed._marks(text), frozenset(chosen), quote)[0]
 
@@ -78,7 +87,7 @@ def test_rules_of_one_parse():
 @given(st.text(alphabet="ab,;| \"'\\\n[]1", max_size=40))
 def test_any_text_parses(text):
     book = packed.Codebook({}, 1, {}, {})
-    values = book.parse(text)[0]
+    values = book.parse(text)
     assert all(v and v == v.strip() for v in values)
 
 

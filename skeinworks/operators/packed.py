@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from skeinworks.session import discard, written
 
 ROUNDS = 2
-#: Rows of a batch of values.
-_BATCH = 20_000
+#: The number of values of all parses over which a value's uses count as frequent is divided by this; so at most as many values do.
+FREQUENT = 50_000
 #: The parses of a text with at most so many different marks are kept between the rounds; those of others are made again each time.
 KEPT_MARKS = 6
 # The marks that can separate. Hyphen, dash and slash need blanks around them.
@@ -169,13 +169,13 @@ def _counted(marks: list[str]) -> tuple[tuple[str, int], ...]:
     return tuple((m, marks.count(m)) for m in dict.fromkeys(marks)) if len(marks) < 50 else tuple(Counter(marks).items())
 
 
-def parses(text: str, numbers: dict[str, int]) -> Iterator[Parse]:
+def parses(text: str, numbers: dict[str, int], marks: list[tuple[int, int, str]] | None = None) -> Iterator[Parse]:
     """Every parse of ``text``; ``numbers`` gets the values that come up, numbered as they come."""
     elements = list_literal(text)
     if elements is not None:
-        yield tuple(numbers.setdefault(v, len(numbers)) for v in elements), 0.0, (), (), 0, True
+        yield tuple([numbers.setdefault(v, len(numbers)) for v in elements]), 0.0, (), (), 0, True
         return
-    marks = _marks(text)
+    marks = _marks(text) if marks is None else marks
     for chosen, quote in dialects(marks, text):
         got, quoted, empty, inner = split(text, marks, chosen, quote)
         between = [m for _, _, m in marks if m in chosen]
@@ -243,40 +243,35 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-_OFFER = pa.schema([("id", pa.int64()), ("field", pa.string()), ("value", pa.string()), ("first", pa.bool_()), ("most", pa.int64()), ("kept", pa.binary())])
+_OFFER = pa.schema([("id", pa.int64()), ("field", pa.string()), ("text", pa.string()), ("names", pa.list_(pa.string())), ("first", pa.list_(pa.bool_())), ("most", pa.int64()), ("kept", pa.binary())])
 
 
 def _offered(texts: DataFrame) -> DataFrame:
-    """(id, field, value, first, most, kept): a row for each text with its parses, as bytes that only a later round reads, and
-    the most values of one that is counted first; and a row for each value of any parse, with whether it is counted first."""
+    """(id, field, text, names, first, most, kept): the values of all parses of each text, whether they are counted first, the
+    most values of a parse that is, and the parses, as bytes that only a later round reads."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            took: list[tuple] = []
-            for i, f, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            names_, first_, most_, kept_ = [], [], [], []
+            for t in batch.column(2).to_pylist():
                 numbers: dict[str, int] = {}
-                found = parses(t, numbers)
-                marks = {m for _, _, m in _marks(t)}
-                keep = len(marks) <= KEPT_MARKS
+                marks = _marks(t)
+                keep = len({m for _, _, m in marks}) <= KEPT_MARKS
+                found = parses(t, numbers, marks)
                 found = list(found) if keep else found
                 # Quotes that open values are first taken at their word; where there are none, all parses count.
-                quoted: tuple[set, int] = set(), 0
-                plain: tuple[set, int] = set(), 0
-                for got, *_, by_quote in found:
-                    if by_quote:
-                        quoted = quoted[0] | set(got), max(quoted[1], len(got))
-                    else:
-                        plain = plain[0] | set(got), max(plain[1], len(got))
-                first, most = quoted if quoted[0] else plain
-                names = list(numbers)
-                took.append((i, f, None, False, most, marshal.dumps((names, found)) if keep else None))
-                took.extend((i, f, v, n in first, 0, None) for n, v in enumerate(names))
-                if len(took) >= _BATCH:
-                    yield _batch(took, _OFFER)
-                    took = []
-            yield _batch(took, _OFFER)
-
-    return texts.select("id", "field", "text").mapInArrow(offer, "id bigint, field string, value string, first boolean, most bigint, kept binary")
+                quoted: set[int] = set()
+                plain: set[int] = set()
+                most = [0, 0]
+                for got, _, _, _, _, by_quote in found:
+                    (quoted if by_quote else plain).update(got)
+                    most[by_quote] = max(most[by_quote], len(got))
+                counted = quoted or plain
+                names_.append(list(numbers)), first_.append([n in counted for n in range(len(numbers))])
+                most_.append(most[bool(quoted)]), kept_.append(marshal.dumps((names_[-1], found)) if keep else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, kind) for c, kind in zip((names_, first_, most_, kept_), _OFFER.types[3:], strict=True))], schema=_OFFER)
+
+    return texts.select("id", "field", "text").mapInArrow(offer, "id bigint, field string, text string, names array<string>, first array<boolean>, most bigint, kept binary")
 
 
 def _read(text: str, kept: bytes | None) -> tuple[list[str], list[Parse]]:
@@ -300,32 +295,40 @@ def _books(sums: tuple[dict, dict, dict]) -> dict[str, Codebook]:
     return {f: Codebook({}, totals.get(f, {}).get(None, 0), inside.get(f, {}), between.get(f, {})) for f in {*totals, *inside, *between}}
 
 
-def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> tuple[DataFrame, dict[str, Codebook]]:
-    """The texts with the counts of those of their values that have any."""
+def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, frequent: DataFrame, sums: tuple[dict, dict, dict]) -> tuple[DataFrame, dict[str, Codebook], dict[str, dict[str, int]]]:
+    """The texts with the counts of their rare values, the codebooks, and the counts of the frequent values by field."""
+    often: dict[str, dict[str, int]] = {}
+    for r in counts.join(frequent, ["field", "value"], "left_semi").collect():  # at most FREQUENT values
+        often.setdefault(r["field"], {})[r["value"]] = r["n"]
     known = candidates.join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
-    return texts.join(known, "id", "left").select("field", "text", "kept", "known", "n"), _books(sums)
+    return texts.join(known, "id", "left").select("field", "text", "kept", "known", "n"), _books(sums), often
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook]) -> Iterator[list[tuple[str, str, list[str], Parse]]]:
+def _chosen(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], often: dict[str, dict[str, int]]) -> Iterator[list[tuple[str, str, list[str], Parse]]]:
     """(field, text, values by number, cheapest parse) of each text, batch by batch."""
     empty = Codebook({}, 1, {}, {})
+    lengths: dict[str, dict[str, float]] = {}
+    for f, counts in often.items():
+        book = books.get(f, empty)
+        book.know(counts)
+        lengths[f] = {v: book.length(v) for v in counts}
     for batch in batches:
         out = []
         for f, t, kept, values_, n in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            book = books.get(f, empty)
-            book.know(dict(zip(values_ or (), n or (), strict=True)))
+            book, common = books.get(f, empty), lengths.get(f, {})
+            book.know(dict(zip(values_, n, strict=True)) if values_ else {})
             names, found = _read(t, kept)
-            out.append((f, t, names, book.cheapest(found, [book.length(v) for v in names])))
+            out.append((f, t, names, book.cheapest(found, [common[v] if v in common else book.length(v) for v in names])))
         yield out
 
 
-def _round(texts: DataFrame, candidates: DataFrame, counts: DataFrame, sums: tuple[dict, dict, dict]) -> DataFrame:
+def _round(texts: DataFrame, candidates: DataFrame, counts: DataFrame, frequent: DataFrame, sums: tuple[dict, dict, dict]) -> DataFrame:
     """(field, kind, value, n): sums over the cheapest parses, combined by batch: 0 a value by texts that have it, 1 a mark inside values, 2 a mark between."""
-    rows, books = _weighed(texts, candidates, counts, sums)
+    rows, books, often = _weighed(texts, candidates, counts, frequent, sums)
     out = pa.schema([("field", pa.string()), ("kind", pa.int32()), ("value", pa.string()), ("n", pa.int64()), ("uses", pa.int64())])
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chosen in _chosen(batches, books):
+        for chosen in _chosen(batches, books, often):
             seen: dict[tuple, int] = {}
             uses: dict[tuple, int] = {}
             for f, _, names, (got, _, inner, working, *_) in chosen:
@@ -346,29 +349,30 @@ def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
     texts = rows.where(F.col(text).isNotNull()).select(F.col(field).alias("field"), F.col(text).alias("text")).distinct()
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     offered = written(_offered(texts), "offered")
-    named = offered.where("value is not null").select("id", "field", "value", "first")
+    named = offered.select("id", "field", F.inline(F.arrays_zip(F.col("names").alias("value"), F.col("first").alias("first"))))
     # A value of one text's parses only can never have two texts; it needs no entry and takes no further part.
-    shared = named.groupBy("field", "value").agg(F.count("*").alias("all"), F.count_if("first").alias("n")).where("all >= 2")
-    shared = written(shared, "shared")
-    candidates = written(named.join(shared.select("field", "value"), ["field", "value"]).select("id", "field", "value"), "candidates")
-    kept = offered.where("value is null").select("id", "kept")
-    texts_ = written(texts.join(kept, "id"), "parses")
-    sums = _sums(offered.where("value is null").select("field", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.col("most").alias("n")))
+    shared = written(named.groupBy("field", "value").agg(F.count("*").alias("all"), F.count_if("first").alias("n")).where("all >= 2"), "shared")
+    every = shared.agg(F.sum("all").alias("n")).first()["n"] or 0
+    # Values that often come up go to all tasks, of which there can be FREQUENT at most; the others are joined to their texts.
+    is_frequent = F.col("all") > every / FREQUENT
+    frequent = shared.where(is_frequent).select("field", "value")
+    candidates = written(named.join(shared.where(~is_frequent).select("field", "value"), ["field", "value"]).select("id", "field", "value"), "candidates")
+    sums = _sums(offered.select("field", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.col("most").alias("n")))
     counts = shared.select("field", "value", "n").where("n >= 2")
     done = []
     for _ in range(ROUNDS):
-        done.append(written(_round(texts_, candidates, counts, sums), "round"))
+        done.append(written(_round(offered, candidates, counts, frequent, sums), "round"))
         counts = done[-1].where("kind = 0").groupBy("field", "value").agg(F.sum("n").alias("n")).where("n >= 2")
         sums = _sums(done[-1].select("field", "kind", "value", F.when(F.col("kind") == 0, F.col("uses")).otherwise(F.col("n")).alias("n")))
-    last, books = _weighed(texts_, candidates, counts, sums)
+    last, books, often = _weighed(offered, candidates, counts, frequent, sums)
     out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", pa.list_(pa.string()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chosen in _chosen(batches, books):
+        for chosen in _chosen(batches, books, often):
             yield _batch([(f, t, [names[i] for i in parse[0]]) for f, t, names, parse in chosen], out)
 
     got = written(last.mapInArrow(read, "field string, text string, got array<string>"), "got")
-    discard(texts, offered, shared, candidates, texts_, *done)
+    discard(texts, offered, shared, candidates, *done)
     return got
 
 

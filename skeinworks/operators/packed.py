@@ -147,10 +147,10 @@ def list_literal(text: str) -> list[str] | None:
     return None
 
 
-def dialects(marks: list[tuple[int, int, str]], text: str) -> Iterator[tuple[frozenset[str], str]]:
-    """The dialects that the marks of ``text`` allow: every set of its marks, with every quote that opens a value."""
+def dialects(marks: list[tuple[int, int, str]], text: str, quoted: bool = False) -> Iterator[tuple[frozenset[str], str]]:
+    """The dialects that the marks of ``text`` allow: every set of its marks, with every quote that opens a value; with ``quoted``, not those without quotes."""
     present = sorted({m for _, _, m in marks if m not in _QUOTES and m[0] != "\\"})
-    quotes = ["", *(q for q in _QUOTES if any(m == q and _opens(text, a, marks, k) for k, (a, _, m) in enumerate(marks)))]
+    quotes = [*([] if quoted else [""]), *(q for q in _QUOTES if any(m == q and _opens(text, a, marks, k) for k, (a, _, m) in enumerate(marks)))]
     for n in range(len(present) + 1):
         for chosen in itertools.combinations(present, n):
             for quote in quotes:
@@ -176,13 +176,44 @@ def parses(text: str, numbers: dict[str, int], marks: list[tuple[int, int, str]]
         yield tuple([numbers.setdefault(v, len(numbers)) for v in elements]), 0.0, (), (), 0, True
         return
     marks = _marks(text) if marks is None else marks
-    for chosen, quote in dialects(marks, text):
+    plain = "\\" not in text
+    if plain:
+        yield from _plain_parses(text, numbers, marks)
+    for chosen, quote in dialects(marks, text, plain):
         got, quoted, empty, inner = split(text, marks, chosen, quote)
         between = [m for _, _, m in marks if m in chosen]
         fixed = _BITS["mark"] * len(chosen) + _BITS["quoted"] * quoted + _BITS["empty"] * empty + (math.log2(len(chosen)) * len(got) if len(chosen) > 1 else 0.0)
         yield tuple([numbers.setdefault(v, len(numbers)) for v in got]), fixed, _counted(inner), _counted(between) + (((quote, quoted),) if quoted else ()), -len(chosen), bool(quote)
 
 
+def _plain_parses(text: str, numbers: dict[str, int], marks: list[tuple[int, int, str]]) -> Iterator[Parse]:
+    """parses() of a text without escapes by the dialects without quotes: the sets share the pieces between two marks."""
+    often = Counter(m for _, _, m in marks if m not in _QUOTES)
+    signs = len(often) < len({m for _, _, m in marks})
+    present, length = sorted(often), len(text) + 1
+    pieces: dict[int, int] = {}
+    for n in range(len(present) + 1):
+        for chosen in itertools.combinations(present, n):
+            got, start, empty = [], 0, 0
+            opening: dict[str, int] = {}
+            for a, b, m in (*marks, (len(text), 0, None)):
+                if m is None or m in chosen:
+                    at = start * length + a
+                    value = pieces.get(at)
+                    if value is None:
+                        plain = text[start:a].strip()
+                        value = pieces[at] = numbers.setdefault(plain, len(numbers)) if plain else -1
+                    if value < 0:
+                        empty += 1
+                    else:
+                        got.append(value)
+                    start = b
+                elif signs and m in _QUOTES and not text[start:a].strip():
+                    opening[m] = opening.get(m, 0) + 1
+            fixed = _BITS["mark"] * n + _BITS["empty"] * empty + (math.log2(n) * len(got) if n > 1 else 0.0)
+            yield tuple(got), fixed, (*[(m, often[m]) for m in present if m not in chosen], *opening.items()), tuple([(m, often[m]) for m in chosen]), -n, False
+
+
 class Codebook:
     """Code lengths of values and marks, and the parse of a text that takes the fewest bits.
 
@@ -301,7 +332,9 @@ def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, frequen
     for r in counts.join(frequent, ["field", "value"], "left_semi").collect():  # at most FREQUENT values
         often.setdefault(r["field"], {})[r["value"]] = r["n"]
     known = candidates.join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
-    return texts.join(known, "id", "left").select("field", "text", "kept", "known", "n"), _books(sums), often
+    # Only texts that have rare values take part in the join; the others stay where they are.
+    none = texts.where("not rare").select("field", "text", "kept", F.lit(None).cast("array<string>").alias("known"), F.lit(None).cast("array<bigint>").alias("n"))
+    return none.unionByName(texts.where("rare").join(known, "id", "left").select("field", "text", "kept", "known", "n")), _books(sums), often
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], often: dict[str, dict[str, int]]) -> Iterator[list[tuple[str, str, list[str], Parse]]]:
@@ -357,14 +390,16 @@ def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
     is_frequent = F.col("all") > every / FREQUENT
     frequent = shared.where(is_frequent).select("field", "value")
     candidates = written(named.join(shared.where(~is_frequent).select("field", "value"), ["field", "value"]).select("id", "field", "value"), "candidates")
+    texts_ = offered.join(candidates.select("id").distinct().withColumn("rare", F.lit(True)), "id", "left").select("id", "field", "text", "kept", F.coalesce("rare", F.lit(False)).alias("rare"))
+    texts_ = written(texts_, "parses", ["rare"])
     sums = _sums(offered.select("field", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.col("most").alias("n")))
     counts = shared.select("field", "value", "n").where("n >= 2")
     done = []
     for _ in range(ROUNDS):
-        done.append(written(_round(offered, candidates, counts, frequent, sums), "round"))
+        done.append(written(_round(texts_, candidates, counts, frequent, sums), "round"))
         counts = done[-1].where("kind = 0").groupBy("field", "value").agg(F.sum("n").alias("n")).where("n >= 2")
         sums = _sums(done[-1].select("field", "kind", "value", F.when(F.col("kind") == 0, F.col("uses")).otherwise(F.col("n")).alias("n")))
-    last, books, often = _weighed(offered, candidates, counts, frequent, sums)
+    last, books, often = _weighed(texts_, candidates, counts, frequent, sums)
     out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", pa.list_(pa.string()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +407,7 @@ def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
             yield _batch([(f, t, [names[i] for i in parse[0]]) for f, t, names, parse in chosen], out)
 
     got = written(last.mapInArrow(read, "field string, text string, got array<string>"), "got")
-    discard(texts, offered, shared, candidates, *done)
+    discard(texts, offered, shared, candidates, texts_, *done)
     return got
 
 

@@ -91,6 +91,19 @@ def test_any_text_parses(text):
     assert all(v and v == v.strip() for v in values)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab,;|> -\t\n1'\"", max_size=30))
+def test_parses_are_those_of_split(text):
+    numbers, marks = {}, packed._marks(text)
+    if packed.list_literal(text) is None:
+        got = {(tuple(sorted(m for m, _ in working if m not in "'\"")), tuple(list(numbers)[i] for i in values), tuple(sorted(inner))) for values, _, inner, working, _, _ in packed.parses(text, numbers)}
+        want = set()
+        for chosen, quote in packed.dialects(marks, text):
+            values, _, _, inner = packed.split(text, marks, chosen, quote)
+            want.add((tuple(sorted(chosen)), tuple(values), tuple(sorted({m: inner.count(m) for m in inner}.items()))))
+        assert got == want
+
+
 def test_many_quotes_take_no_long_time():
     import time
 

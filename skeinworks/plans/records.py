@@ -91,8 +91,11 @@ def _lots(spark: SparkSession, directory: str) -> DataFrame:
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Lots at most 250 m from each other, and the flood zones lots lie in."""
     lots = written(_lots(spark, directory), "lots")
-    near = proximity.near_pairs(lots, 250.0)
-    zones = proximity.regions_of(lots, proximity.clean_regions(table(spark, directory, "flood_zones"), "zone_id", "ring"))
+    zones_ = written(proximity.clean_regions(table(spark, directory, "flood_zones"), "zone_id", "ring"), "zones")
+    ended, placed, outlines = proximity.joined_leaves(lots, 250.0, zones_)
+    placed = written(placed, "placed")
+    near = proximity.near_pairs(ended, placed, 250.0)
+    zones = proximity.regions_of(ended, placed, outlines)
     kind = lambda df, name, a, b: df.select(F.lit(name).alias("kind"), F.col(a).alias("key_a"), F.col(b).alias("key_b"))
     return kind(near, "lot", "key_a", "key_b").unionByName(kind(zones, "zone", "key", "region"))
 

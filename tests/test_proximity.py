@@ -27,26 +27,47 @@ def test_clusters_against_brute_force(spark, rows):
     for c in range(12):
         lat, lon = rnd.uniform(-80, 80), rnd.uniform(-179, 179)
         data += [(f"p{c}-{i}", lat + rnd.gauss(0, 0.002), lon + rnd.gauss(0, 0.002)) for i in range(25)]
-    assert sorted(rows(proximity.near_pairs(clean(spark, data), 250))) == brute(data, 250)
+    assert sorted(rows(proximity.points_near(clean(spark, data), 250))) == brute(data, 250)
 
 
 def test_date_line_poles_and_copies(spark, rows):
     data = [("a", 10.0, 179.9995), ("b", 10.0, -179.9995), ("c", 89.9999, 0.0), ("d", 89.9999, 180.0), ("e", -90.0, 5.0), ("f", -90.0, -100.0), ("g", 0.0, 180.0), ("h", 0.0, -180.0)]
     data += [(f"s{i}", 40.0, -100.0) for i in range(40)]
-    assert sorted(rows(proximity.near_pairs(clean(spark, data), 250))) == brute(data, 250)
+    assert sorted(rows(proximity.points_near(clean(spark, data), 250))) == brute(data, 250)
+
+
+def test_a_hot_place_is_held_in_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(proximity, "PIECE", 16)
+    rnd = random.Random(6)
+    data = [(f"s{i:03}", 40.0, -100.0) for i in range(90)] + [(f"t{i}", 40.0 + rnd.gauss(0, 0.002), -100.0 + rnd.gauss(0, 0.002)) for i in range(90)]
+    ended, placed, _ = proximity.joined_leaves(proximity.written(clean(spark, data), "points"), 250)
+    sizes = {(r["node"], r["piece"]): r["count"] for r in placed.groupBy("node", "piece").count().collect()}
+    assert sum(sizes.values()) == 180 and max(sizes.values()) < 45 and ended.count() < 5000
+    assert sorted(rows(proximity.near_pairs(ended, placed, 250))) == brute(data, 250)
+
+
+def test_points_inside_a_wide_region_are_accepted_by_boxes(spark, rows):
+    rnd = random.Random(8)
+    data = [(f"p{i:04}", 2 + rnd.gauss(0, 0.2), 2 + rnd.gauss(0, 0.2)) for i in range(400)]
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    regions = proximity.clean_regions(spark.createDataFrame([("z", ring)], "z string, ring array<struct<longitude double, latitude double>>"), "z", "ring")
+    box = regions.first()
+    assert 0 < box["in_lat_lo"] < 1e-6 and 4 - 1e-6 < box["in_lon_hi"] < 4
+    ended, placed, outlines = proximity.joined_leaves(proximity.written(clean(spark, data), "points"), None, regions)
+    assert ended.where("not near").count() == 0 and len(rows(proximity.regions_of(ended, placed, outlines))) == 400
 
 
 def test_wide_radius(spark, rows):
     rnd = random.Random(9)
     data = [(f"p{i}", rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(80)]
-    assert sorted(rows(proximity.near_pairs(clean(spark, data), 3_000_000))) == brute(data, 3_000_000)
+    assert sorted(rows(proximity.points_near(clean(spark, data), 3_000_000))) == brute(data, 3_000_000)
 
 
 def test_unusable_points(spark, rows):
     data = [("a", None, 1.0), (None, 1.0, 1.0), ("b", float("nan"), 1.0), ("c", 91.0, 1.0), ("d", 1.0, 181.0), ("e", 1.0, 1.0), ("e", 1.0, 1.0)]
     assert rows(clean(spark, data).select("key")) == [("e",)]
-    assert rows(proximity.near_pairs(clean(spark, data), 250)) == []
-    assert rows(proximity.near_pairs(clean(spark, []), 250)) == []
+    assert rows(proximity.points_near(clean(spark, data), 250)) == []
+    assert rows(proximity.points_near(clean(spark, []), 250)) == []
 
 
 def test_regions_against_brute_force(spark, rows):
@@ -59,7 +80,7 @@ def test_regions_against_brute_force(spark, rows):
         zones.append((f"z{z}", (ring[::-1] if z % 2 else ring) + ([ring[-1]] if z % 2 else [ring[0]])))
     zones += [("two", [(0.0, 0.0), (4.0, 4.0)]), ("none", None), (None, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])]
     df = spark.createDataFrame(zones, "z string, ring array<struct<longitude double, latitude double>>")
-    got = sorted(rows(proximity.regions_of(clean(spark, points), proximity.clean_regions(df, "z", "ring"))))
+    got = sorted(rows(proximity.points_in(clean(spark, points), proximity.clean_regions(df, "z", "ring"))))
 
     def inside(x, y, ring):
         hit = False
@@ -70,5 +91,5 @@ def test_regions_against_brute_force(spark, rows):
 
     want = sorted((k, z) for k, lat, lon in points for z, ring in zones if z and ring and len(ring) > 2 and inside(lon, lat, ring))
     assert got == want and want
-    assert rows(proximity.regions_of(clean(spark, []), proximity.clean_regions(df, "z", "ring"))) == []
-    assert rows(proximity.regions_of(clean(spark, points), proximity.clean_regions(df.limit(0), "z", "ring"))) == []
+    assert rows(proximity.points_in(clean(spark, []), proximity.clean_regions(df, "z", "ring"))) == []
+    assert rows(proximity.points_in(clean(spark, points), proximity.clean_regions(df.limit(0), "z", "ring"))) == []

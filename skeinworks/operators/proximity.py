@@ -174,7 +174,7 @@ def joined_leaves(points: DataFrame, metres: float | None, regions: DataFrame |
         roots.append((0, 0, False))
     if regions is not None:
         groups, region_leaves = tree(regions, _REGIONS)
-        named = written(regions.withColumn("_id", F.monotonically_increasing_id()), "regions").withColumn("b", -F.col("_id") - 1)
+        named = written(regions.withColumn("_id", F.monotonically_increasing_id()), "regions").withColumn("b", -F.col("_id") - 2)  # -1 is above the roots
         below = named.join(region_leaves.select("cell", F.col("node").alias("parent")), "cell")
         below = below.select("parent", F.col("b").alias("node"), F.lit(1).cast("long").alias("n"), *_BOX, F.lit(True).alias("leaf"), *[f"in_{c}" for c in _BOX])
         sides += [groups.withColumn("leaf", F.lit(False)).select("*", *inner), _with_own(below)]

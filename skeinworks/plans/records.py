@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinworks.functions import units
 from skeinworks.functions.text import trim_all
 from skeinworks.operators import history, nested, packed, proximity, quantities
 from skeinworks.session import shuffle_partitions, written
@@ -103,9 +104,9 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Lot areas in hundredths of an acre and drive capacities in gigabytes."""
     home = F.col("hdpData.homeInfo")
-    lots = table(spark, directory, "search_lots").select("row_id", quantities.hundredth_acres(home["lotAreaValue"], home["lotAreaUnit"], F.col("lotArea.formatted")).alias("amount"))
-    drives = table(spark, directory, "products").select("row_id", quantities.gigabytes(F.col("product_type")).alias("amount"))
-    kind = lambda df, name: df.where("amount is not null").select(F.lit(name).alias("kind"), "row_id", "amount")
+    lots = quantities.amounts(table(spark, directory, "search_lots"), "row_id", home["lotAreaValue"], home["lotAreaUnit"], F.col("lotArea.formatted"), units.AREA, units.ACRE / 100)
+    drives = quantities.gigabytes(table(spark, directory, "products"), "row_id", F.col("product_type"))
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"), "row_id", "amount")
     return kind(lots, "lot").unionByName(kind(drives, "product"))
 
 

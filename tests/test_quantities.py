@@ -1,6 +1,8 @@
+import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinworks.functions import units
 from skeinworks.operators import quantities as q
@@ -44,11 +46,27 @@ def test_capacities(text, gb):
     assert (None if got is None else units.rounded(got / 10**9)) == gb
 
 
-def test_columns(spark, rows):
-    from pyspark.sql import functions as F
+def acres(df):
+    return q.amounts(df, "k", F.col("v"), F.col("u"), F.col("t"), units.AREA, ACRE / 100)
+
 
-    data = [(1, 2.0, "acres", None), (2, 43560.0, "", "Lot: 43,560 sqft"), (3, None, "1.5 acres", None), (4, None, "acres", "2 acres"), (5, -1.0, "acres", None), (6, 1.0, "lot", "2 acres"), (7, None, None, None), (8, float("inf"), "acres", None), (9, 0.125, "ac", None), (10, 2.5, None, "2.5 thousand sqft")]
+def test_columns(spark, rows):
+    data = [(1, 2.0, "acres", None), (2, 43560.0, "", "Lot: 43,560 sqft"), (3, None, "1.5 acres", None), (4, None, "acres", "2 acres"), (5, -1.0, "acres", None), (6, 1.0, "lot", "2 acres"), (7, None, None, None), (8, float("inf"), "acres", None), (9, 0.125, "ac", None), (10, 2.5, None, "2.5 thousand sqft"), (10, 2.5, None, "7 thousand sqft"), (11, 1e300, "acres", None), (12, 5445.0, "sqft", None), (13, float("nan"), "acres", None), (14, 3.0, "\u00a0", "x" * 5000)]
     df = spark.createDataFrame(data, "k int, v double, u string, t string")
-    got = dict(rows(df.select("k", q.hundredth_acres(F.col("v"), F.col("u"), F.col("t")))))
-    assert got == {1: 200, 2: 100, 3: 150, 4: None, 5: None, 6: None, 7: None, 8: None, 9: 13, 10: 6}
-    assert df.limit(0).select(q.gigabytes(F.col("t"))).count() == 0
+    assert sorted(rows(acres(df))) == [(1, 200), (2, 100), (3, 150), (9, 13), (10, 6), (10, 6), (12, 13)]
+    assert q.gigabytes(df.limit(0), "k", F.col("t")).count() == 0 and acres(df.limit(0)).count() == 0
+
+
+def test_scaling_is_that_of_fractions(spark, rows):
+    rnd = random.Random(3)
+    names = ["acres", "sqft", "m²", "ha", "sq yd", "sq mi", "1000 sqft"]
+    data = [(k, rnd.choice([round(rnd.uniform(0, 10**rnd.randrange(-2, 7)), rnd.randrange(0, 6)), rnd.randrange(1, 10**6) / 8]), rnd.choice(names), None) for k in range(3000)]
+    got = dict(rows(acres(spark.createDataFrame(data, "k int, v double, u string, t string"))))
+    want = {k: units.rounded(Fraction(repr(v)) * units.parse_unit(u).factor / (ACRE / 100)) for k, v, u, _ in data if v > 0}
+    assert got == want
+
+
+def test_python_sees_distinct_texts_only(spark):
+    df = spark.range(1000).selectExpr("id as k", "cast(id as double) as v", "'acres' as u", "cast(null as string) as t")
+    plan = acres(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan and plan.index("MapInArrow") < plan.rindex("HashAggregate")

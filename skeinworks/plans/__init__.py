@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from skeinworks.plans import listings, listings_sql, records
+from skeinworks.plans import listings, listings_sql, records, state
 
-MODULES = (records, listings)
-SQL_MODULES = (records, listings_sql)
+MODULES = (records, listings, state)
+SQL_MODULES = (records, listings_sql, state)
 
 
 def queries() -> dict:

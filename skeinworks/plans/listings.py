@@ -237,11 +237,6 @@ def watch_counts(spark: SparkSession, d: str) -> DataFrame:
     return _watched(spark, d).groupBy("watch").agg(F.count("*").alias("candidates"), F.count_if(F.col("cents_per_tb") <= 120_000).alias("strong"))
 
 
-def active_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct product types that are offered now."""
-    return table(spark, d, "documents").where("category is not null").select("category").distinct()
-
-
 def _as_offers(spark: SparkSession, d: str) -> DataFrame:
     rows = _observed(spark, d)
     return rows.select("id", "source_id", "source_key", "title", "price_cents", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"), F.col("price_cents").alias("min_price_cents"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("expired_at"), *ARRIVAL)
@@ -356,14 +351,6 @@ def seller_profile_join(spark: SparkSession, d: str) -> DataFrame:
     return enrich.looked_up(rows, facts, ["seller"], drop=["seller"]).select("id", "title", F.coalesce("listed", F.lit(0)).alias("listed"))
 
 
-def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    """What an ingest of the offers fetched, stored and skipped, by stage."""
-    why = items.invalid_field(["source_id", "source_key"], ["price_cents"])
-    rows = table(spark, d, "offers").select("id", why.alias("why"), F.coalesce(F.col("title"), F.lit("")).alias("title"))
-    stage = F.when(F.col("why").isNotNull(), "offer").when(text.trim_all("title") == "", "extract").otherwise("stored")
-    return rows.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
-
-
 def event_offers(spark: SparkSession, d: str) -> DataFrame:
     """Events read as observations: the fold over a stream's rows."""
     e = table(spark, d, "events")
@@ -379,7 +366,7 @@ QUERIES = {
     for f in (
         item_latest, item_validation, search_text, search_tokens, search_price_bound, search_since_topk, search_source, deterministic_id, extract_capacity, extract_condition, extract_model,
         tokenize, seller_tiers, hard_filter_reasons, reference_median, reference_median_brand, reference_ratio, surface_ranked, limit_before_rank, watch_candidates, watch_strong, watch_counts,
-        active_categories, offer_fold, offer_expire, offer_expire_by_source, offer_retention, offer_revival, offer_latest, offer_query_default, offers_by_product, provisional_key,
-        land_acreage, land_flags, land_rows, storefront_variants, html_strip, valuation_feed, seller_profile_join, ingest_counters, event_offers,
+        offer_fold, offer_expire, offer_expire_by_source, offer_retention, offer_revival, offer_latest, offer_query_default, offers_by_product, provisional_key,
+        land_acreage, land_flags, land_rows, storefront_variants, html_strip, valuation_feed, seller_profile_join, event_offers,
     )
 }

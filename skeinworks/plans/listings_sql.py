@@ -106,7 +106,6 @@ SELECT id, reference, reference_from, cents_per_tb::double / nullif(reference, 0
     "watch_candidates": _WATCHED + "SELECT watch, row_number() OVER (PARTITION BY watch ORDER BY cents_per_tb, id) AS rank, id FROM watched",
     "watch_strong": _WATCHED + "SELECT watch, row_number() OVER (PARTITION BY watch ORDER BY cents_per_tb, id) AS rank, id FROM watched WHERE cents_per_tb <= 120000",
     "watch_counts": _WATCHED + "SELECT watch, count(*) AS candidates, count_if(cents_per_tb <= 120000) AS strong FROM watched GROUP BY watch",
-    "active_categories": "SELECT DISTINCT category FROM documents WHERE category IS NOT NULL",
     "offer_fold": f"WITH {FOLD} SELECT * FROM fold",
     "offer_expire": f"""WITH {FOLD}
 SELECT id, CASE WHEN due THEN 'expired' ELSE 'active' END AS status, CASE WHEN due THEN TIMESTAMP '2001-12-01' END AS expired_at
@@ -182,9 +181,6 @@ SELECT bucket, condition, floor(median(per_tb) + 0.5)::bigint AS reference, coun
     "seller_profile_join": """
 WITH r AS (SELECT DISTINCT id, seller, title FROM offers), f AS (SELECT seller, count(*) AS listed FROM r WHERE seller IS NOT NULL GROUP BY 1)
 SELECT id, title, coalesce(listed, 0) AS listed FROM r LEFT JOIN f USING (seller)""",
-    "ingest_counters": f"""
-SELECT CASE WHEN coalesce({_trim("source_id")}, '') = '' OR coalesce({_trim("source_key")}, '') = '' OR price_cents IS NULL OR price_cents < 0 THEN 'offer'
-  WHEN {_trim("coalesce(title, '')")} = '' THEN 'extract' ELSE 'stored' END AS stage, count(*) AS n FROM offers GROUP BY 1""",
     "event_offers": """
 WITH e AS (SELECT *, substring(sha256(event_type || chr(0) || user_id), 1, 16) AS id, CASE WHEN value > 0 THEN floor(value * 100 + 0.5)::bigint ELSE 0 END AS c FROM events)
 SELECT id, arg_max(event_type, event_id) AS source_id, arg_max(c, event_id) AS price_cents, min(ts) AS first_seen, max(ts) AS last_seen, coalesce(min(nullif(c, 0)), 0) AS min_price_cents FROM e GROUP BY id""",

@@ -110,7 +110,12 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return kind(lots, "lot").unionByName(kind(drives, "product"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p2_found, p3_found, p4_found, p6_found, p6_versions)}
+def p4_lots(spark: SparkSession, directory: str) -> DataFrame:
+    """Lot areas in hundredths of an acre."""
+    return p4_found(spark, directory).where("kind = 'lot'").select("row_id", "amount")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_products, p1_variants, p2_found, p3_found, p4_found, p4_lots, p6_found, p6_versions)}
 
 _VERSIONS = """
 WITH reading AS (
@@ -129,7 +134,41 @@ SELECT id, taken_ns AS valid_from_ns, coalesce(lead(taken_ns) OVER (PARTITION BY
 FROM marked
 WHERE n = 1 OR fs IS DISTINCT FROM pf OR mp IS DISTINCT FROM pm OR st IS DISTINCT FROM ps
 """
+_OBJECTS = """
+WITH page AS (SELECT page_id, fetched_at, coalesce(json_extract(body, '$.products'), json_extract(body, '$.data.products')) AS p FROM raw_pages WHERE json_valid(body)),
+listed AS (SELECT page_id, fetched_at, CASE json_type(p) WHEN 'ARRAY' THEN json_extract(p, '$[*]') ELSE json_extract(p, '$.edges[*].node') END AS p FROM page),
+obj AS (SELECT page_id, fetched_at, unnest(p) AS p, unnest(range(len(p))) AS ix FROM listed),
+json_product AS (SELECT 'r:' || page_id || '/' || ix AS pk, try_cast(nullif(regexp_extract(json_extract_string(p, '$.id'), '(\\d+)\\D*$', 1), '') AS bigint) AS product_id, fetched_at, p, json_extract(p, '$.variants') AS v FROM obj),
+json_list AS (SELECT pk, product_id, CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN NULL WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN json_extract(v, '$.edges') IS NOT NULL THEN json_extract(v, '$.edges[*].node') ELSE [v] END AS v FROM json_product)
+"""
 ORACLE_SQL = {
+    "p1_products": _OBJECTS
+    + """
+SELECT pk, product_id, fetched_at, n_variants, title, vendor, handle, product_type FROM (
+  SELECT j.pk, j.product_id, fetched_at, len(list_filter(l.v, lambda x: json_type(x) = 'OBJECT'))::int AS n_variants, json_extract_string(p, '$.title') AS title, json_extract_string(p, '$.vendor') AS vendor,
+         json_extract_string(p, '$.handle') AS handle, json_extract_string(p, '$.product_type') AS product_type FROM json_product j JOIN json_list l USING (pk)
+  UNION ALL SELECT 'p:' || row_id, id, fetched_at, len(list_filter(variants, lambda x: x IS NOT NULL))::int, title, vendor, handle, product_type FROM products)
+""",
+    "p1_variants": _OBJECTS
+    + """,
+json_variant AS (SELECT pk, product_id, unnest(v) AS v, unnest(range(len(v))) AS ix FROM json_list),
+typed_variant AS (SELECT 'p:' || row_id AS pk, id AS product_id, unnest(variants) AS v, unnest(range(len(variants))) AS ix FROM products)
+SELECT pk || '/' || ix AS pk, pk AS product_pk, try_cast(nullif(regexp_extract(json_extract_string(v, '$.id'), '(\\d+)\\D*$', 1), '') AS bigint) AS variant_id, product_id, ix::int AS ordinal,
+  json_extract_string(v, '$.title') AS title, coalesce(json_extract_string(v, '$.price.amount'), CASE WHEN json_type(json_extract(v, '$.price')) <> 'OBJECT' THEN json_extract_string(v, '$.price') END) AS price,
+  json_extract_string(v, '$.sku') AS sku, CASE WHEN lower(json_extract_string(v, '$.available')) IN ('true', 't', 'yes', 'y', '1') THEN true WHEN lower(json_extract_string(v, '$.available')) IN ('false', 'f', 'no', 'n', '0') THEN false END AS available,
+  json_extract_string(v, '$.option1') AS option1 FROM json_variant WHERE json_type(v) = 'OBJECT'
+UNION ALL SELECT pk || '/' || ix, pk, v.id, product_id, ix::int, v.title, v.price, v.sku, v.available, v.option1 FROM typed_variant WHERE v IS NOT NULL
+""",
+    "p4_lots": """
+WITH area AS (SELECT row_id, hdpData.homeInfo.lotAreaValue AS v, trim(coalesce(hdpData.homeInfo.lotAreaUnit, '')) AS u, coalesce(lotArea.formatted, '') AS f FROM search_lots),
+read AS (SELECT row_id, CASE WHEN v IS NULL THEN try_cast(replace(regexp_extract(u, '^([0-9][0-9.,]*) ', 1), ',', '') AS double) ELSE v END AS n,
+  lower(trim(CASE WHEN v IS NULL THEN regexp_extract(u, '^[0-9][0-9.,]* (.*)$', 1) WHEN u <> '' THEN u ELSE regexp_replace(regexp_extract(f, '[0-9][0-9.,]* (.*)$', 1), ' lot$', '') END)) AS unit FROM area),
+scale(unit, acre) AS (
+  SELECT unnest(['acres', 'acre', 'ac', 'acre(s)']), 1.0::double UNION ALL SELECT unnest(['sqft', 'ft²', 'sq ft', 'square foot', 'ft2', 'sq. ft.', 'square feet']), 1.0::double / 43560 UNION ALL SELECT unnest(['k sqft', 'thousand sqft', '1000 sqft']), 1000.0::double / 43560
+  UNION ALL SELECT unnest(['square metres', 'sqm', 'sq m', 'm²', 'm2', 'square meters']), 1.0::double / 4046.8564224 UNION ALL SELECT unnest(['ha', 'hectare', 'hectares']), 10000.0::double / 4046.8564224
+  UNION ALL SELECT unnest(['yd²', 'sq yd', 'square yards', 'sqyd']), 1.0::double / 4840 UNION ALL SELECT unnest(['square miles', 'mi²', 'sq mi']), 640.0::double UNION ALL SELECT unnest(['km2', 'sq km', 'km²']), 1000000.0::double / 4046.8564224)
+SELECT row_id, floor(n * acre * 100 + 0.5)::bigint AS amount FROM read JOIN scale USING (unit) WHERE n > 0
+""",
     "p1_found": """
 WITH page AS (SELECT fetched_at, coalesce(json_extract(body, '$.products'), json_extract(body, '$.data.products')) AS p FROM raw_pages WHERE json_valid(body)),
 prod AS (SELECT fetched_at, unnest(CASE json_type(p) WHEN 'ARRAY' THEN json_extract(p, '$[*]') ELSE json_extract(p, '$.edges[*].node') END) AS p FROM page),

@@ -139,7 +139,7 @@ WITH page AS (SELECT page_id, fetched_at, coalesce(json_extract(body, '$.product
 listed AS (SELECT page_id, fetched_at, CASE json_type(p) WHEN 'ARRAY' THEN json_extract(p, '$[*]') ELSE json_extract(p, '$.edges[*].node') END AS p FROM page),
 obj AS (SELECT page_id, fetched_at, unnest(p) AS p, unnest(range(len(p))) AS ix FROM listed),
 json_product AS (SELECT 'r:' || page_id || '/' || ix AS pk, try_cast(nullif(regexp_extract(json_extract_string(p, '$.id'), '(\\d+)\\D*$', 1), '') AS bigint) AS product_id, fetched_at, p, json_extract(p, '$.variants') AS v FROM obj),
-json_list AS (SELECT pk, product_id, CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN NULL WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN json_extract(v, '$.edges') IS NOT NULL THEN json_extract(v, '$.edges[*].node') ELSE [v] END AS v FROM json_product)
+json_list AS (SELECT pk, product_id, CASE WHEN v IS NULL OR json_type(v) = 'NULL' THEN NULL WHEN json_type(v) = 'ARRAY' THEN json_extract(v, '$[*]') WHEN json_extract(v, '$.edges') IS NOT NULL THEN list_transform(json_extract(v, '$.edges[*]'), lambda e: coalesce(json_extract(e, '$.node'), e)) ELSE [v] END AS v FROM json_product)
 """
 ORACLE_SQL = {
     "p1_products": _OBJECTS

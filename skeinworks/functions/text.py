@@ -33,13 +33,34 @@ def contains_text(title: Column, words: Column | None, query: str) -> Column:
 
 
 def stripped_html(html: Column) -> Column:
-    """Text without tags, entities resolved, blanks collapsed. Only texts with an entity go through Python."""
+    """Text without tags, entities resolved, blanks collapsed.
+
+    The common entities are resolved in the JVM. What holds others goes to
+    Python, and only that: the texts without any are null there.
+    """
+
     @F.pandas_udf("string")
     def unescaped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unescape(t) if isinstance(t, str) and "&" in t else t)
+        return texts.map(lambda t: unescape(t) if isinstance(t, str) else t)
 
     bare = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    return trim_all(F.regexp_replace(unescaped(bare), f"{BLANKS}+", " "))
+    plain = bare
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    common = F.regexp_replace(bare, "&(?:lt|gt|quot|#39|nbsp|amp);", "")
+    rare = F.contains(common, F.lit("&"))
+    return trim_all(F.regexp_replace(F.coalesce(unescaped(F.when(rare, bare)), plain), f"{BLANKS}+", " "))
+
+
+def dollars(cents: Column) -> Column:
+    """``$12.34``; a dash for an unknown price."""
+    return F.when(cents > 0, F.format_string("$%.2f", cents / 100.0)).otherwise("-")
+
+
+def dollars_per(cents: Column, amount: Column) -> Column:
+    """``$12.34`` for one of ``amount`` (a text or number); a dash where price or amount is unknown."""
+    n = amount.cast("string").try_cast("double")
+    return F.when((cents > 0) & (n > 0), F.format_string("$%.2f", cents / 100.0 / n)).otherwise("-")
 
 
 def first_filled(*texts: Column) -> Column:
@@ -48,5 +69,7 @@ def first_filled(*texts: Column) -> Column:
 
 
 def shortened(text: Column, length: int) -> Column:
-    """At most ``length`` characters, the last three of them dots where something was cut."""
+    """At most ``length`` characters, the last three of them dots where something was cut and there is room for them. No character is cut in two."""
+    if length <= 3:
+        return F.substring(text, 1, length)
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 3), F.lit("..."))).otherwise(text)

@@ -10,8 +10,9 @@ Two visitors emit the same rows: one generates a JVM expression for typed
 nested columns, the other walks JSON text whose layout varies from record to
 record.
 
-Defined results: a null or missing list states nothing (``n_children`` null),
-an empty list states that there are no children (``n_children`` 0); null
+Children are a list of objects, one object, or the values of a map. Defined
+results: a null or missing list states nothing (``children`` has no entry for
+the table), an empty list states that there are none (its entry is 0); null
 elements are skipped; text that is no JSON emits nothing; an object without an
 id is emitted with a null ``own_id``.
 """
@@ -39,7 +40,7 @@ TAGGED = T.StructType(
         T.StructField("own_id", T.LongType()),
         T.StructField("root_id", T.LongType()),
         T.StructField("version", T.TimestampType()),
-        T.StructField("n_children", T.IntegerType()),
+        T.StructField("children", T.MapType(T.StringType(), T.IntegerType())),
         T.StructField("payload", T.StringType()),
     ]
 )
@@ -73,6 +74,15 @@ def _no_rows() -> Column:
     return F.array().cast(T.ArrayType(TAGGED))
 
 
+def _listed(member: Column, kind: T.DataType) -> tuple[Column, T.StructType]:
+    """The objects of a member as an array, and their type."""
+    if isinstance(kind, T.StructType):
+        return F.when(member.isNotNull(), F.array(member)), kind
+    if isinstance(kind, T.MapType):
+        return F.map_values(member), kind.valueType
+    return member, kind.elementType
+
+
 def _visitor(rule: TableRule, element: T.StructType, parent: Column, root: Column, version: Column):
     def visit(x: Column, i: Column) -> Column:
         return F.when(x.isNull(), _no_rows()).otherwise(_typed_rows(rule, x, element, F.concat(parent, F.lit("/"), i.cast("string")), parent, i, root, version))
@@ -89,11 +99,10 @@ def _typed_rows(rule: TableRule, obj: Column | None, schema: T.StructType, pk: C
     for child in rule.children:
         if child.name not in names:
             continue
-        items, element = member(child.name), schema[child.name].dataType.elementType
-        counts.append(F.size(F.when(items.isNotNull(), F.filter(items, lambda x: x.isNotNull()))))
-
+        items, element = _listed(member(child.name), schema[child.name].dataType)
+        counts += [F.lit(child.tag), F.when(items.isNotNull(), F.size(F.filter(items, lambda x: x.isNotNull())))]
         below.append(F.coalesce(F.flatten(F.transform(items, _visitor(child, element, pk, root, version))), _no_rows()))
-    n_children = F.when(counts[0] >= 0, counts[0]) if counts else F.lit(None)
+    stated = F.map_filter(F.create_map(*counts), lambda _, n: n.isNotNull()) if counts else F.create_map()
     own = F.struct(
         F.lit(rule.tag).alias("tag"),
         pk.alias("pk"),
@@ -102,7 +111,7 @@ def _typed_rows(rule: TableRule, obj: Column | None, schema: T.StructType, pk: C
         member(rule.id_member).cast("long").alias("own_id"),
         root.alias("root_id"),
         version.alias("version"),
-        n_children.cast("int").alias("n_children"),
+        stated.alias("children"),
         payload.alias("payload"),
     ).cast(TAGGED)
     return F.concat(F.array(own), *below) if below else F.array(own)
@@ -170,26 +179,26 @@ def visit_json(body: str | None, rule: TableRule, record_key: str) -> Iterator[t
 
 
 def _json_rows(obj: dict, rule: TableRule, pk: str, parent: str | None, ordinal: int, root: int | None) -> Iterator[tuple]:
-    n_children, below = None, []
+    counts, below = {}, []
     for child in rule.children:
         items = members(obj.get(child.name))
         if items is None:
             continue
         kept = [(i, x) for i, x in enumerate(items) if isinstance(x, dict)]
-        n_children = len(kept) if n_children is None else n_children
+        counts[child.tag] = len(kept)
         below += [(child, i, x) for i, x in kept]
     payload = {}
     for column, paths in rule.columns.items():
         payload[column] = next((_text(v) for v in (_path(obj, p) for p in paths) if v is not None and not isinstance(v, dict)), None)
-    yield rule.tag, pk, parent, ordinal, number_in(obj.get(rule.id_member)), root, n_children, json.dumps({k: v for k, v in payload.items() if v is not None}, ensure_ascii=False)
+    yield rule.tag, pk, parent, ordinal, number_in(obj.get(rule.id_member)), root, counts, json.dumps({k: v for k, v in payload.items() if v is not None}, ensure_ascii=False)
     for child, i, x in below:
         yield from _json_rows(x, child, f"{pk}/{i}", pk, i, root)
 
 
 def emit_json(pages: DataFrame, rule: TableRule, key: str, body: str, version: str) -> DataFrame:
     """Tagged rows of records that are JSON text, each record visited once."""
-    names = ["tag", "pk", "parent_pk", "ordinal", "own_id", "root_id", "n_children", "payload"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    names = ["tag", "pk", "parent_pk", "ordinal", "own_id", "root_id", "children", "payload"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.int32()), pa.string()]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +206,7 @@ def emit_json(pages: DataFrame, rule: TableRule, key: str, body: str, version: s
             for at in range(batch.num_rows):
                 rows = list(visit_json(bodies[at].as_py(), rule, keys[at].as_py()))
                 if rows:
-                    columns = [pa.array(list(c), type=k) for c, k in zip(zip(*rows), kinds, strict=True)]
+                    columns = [pa.array([list(x.items()) for x in c] if pa.types.is_map(k) else list(c), type=k) for c, k in zip(zip(*rows), kinds, strict=True)]
                     stamp = pa.array([versions[at].as_py()] * len(rows), type=versions.type)
                     yield pa.RecordBatch.from_arrays([*columns, stamp], names=[*names, "version"])
 
@@ -222,8 +231,8 @@ def read_table(spark: SparkSession, path: str, tag: str, schema: str) -> DataFra
     rows = read_tagged(spark, path).where(F.col("tag") == tag)
     wanted = spark.createDataFrame([], schema).schema
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])  # sources write the same member as text, number or flag
-    keys = rows.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "n_children", F.from_json("payload", texts).alias("_row"))
-    return keys.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "n_children", *[F.col(f"_row.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+    keys = rows.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "children", F.from_json("payload", texts).alias("_row"))
+    return keys.select("pk", "parent_pk", "ordinal", "own_id", "root_id", "version", "children", *[F.col(f"_row.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def latest_children(tagged: DataFrame, root_tag: str, child_tag: str) -> DataFrame:
@@ -233,7 +242,7 @@ def latest_children(tagged: DataFrame, root_tag: str, child_tag: str) -> DataFra
     before the shuffle, so that a root with very many versions arrives as few
     rows; the root's latest version comes from the same reduced rows.
     """
-    stated = (F.col("tag") == root_tag) & F.col("n_children").isNotNull()
+    stated = (F.col("tag") == root_tag) & F.map_contains_key("children", child_tag)
     child = (F.col("tag") == child_tag) & F.col("own_id").isNotNull()
     last = (
         tagged.where(F.col("root_id").isNotNull() & (stated | child))

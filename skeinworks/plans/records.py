@@ -45,7 +45,7 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
 def p1_products(spark: SparkSession, directory: str) -> DataFrame:
     """The flat product table: one row per product object of any record."""
     rows = nested.read_table(spark, _catalogue(spark, directory), "product", "title string, vendor string, handle string, product_type string")
-    return rows.select("pk", F.col("own_id").alias("product_id"), F.col("version").alias("fetched_at"), F.col("n_children").alias("n_variants"), "title", "vendor", "handle", "product_type")
+    return rows.select("pk", F.col("own_id").alias("product_id"), F.col("version").alias("fetched_at"), F.col("children")["variant"].alias("n_variants"), "title", "vendor", "handle", "product_type")
 
 
 def p1_variants(spark: SparkSession, directory: str) -> DataFrame:

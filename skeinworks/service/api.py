@@ -1,25 +1,26 @@
-"""Search, single items and saved searches over snapshot tables, over HTTP, JSON-RPC and the command line.
+"""Search, single items and saved searches over snapshot tables, over HTTP and JSON-RPC.
 
-The only place that collects rows, all of them bounded by a limit.
+The rows that are collected are listed ones, of which there are at most
+``LISTED`` in an answer; counts are taken over all rows.
 """
 
 from __future__ import annotations
 
-import argparse
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.functions.text import shortened
 from skeinworks.operators import filters, items, ranking
-from skeinworks.sources.config import category_of
+from skeinworks.sources.config import active, category_of
 
-MAX_ROWS = 500
+#: Rows that an answer lists at most; what is counted is counted over all rows.
+LISTED = 500
 COLUMNS = ["rank", "id", "price_cents", "currency", "capacity_tb", "condition", "title", "source_url"]
 
 
@@ -29,30 +30,48 @@ class BadRequest(ValueError):
 
 @dataclass
 class Service:
-    """``load`` gives the current items; ``checks`` the filter of each category; ``order`` how its rows are ranked."""
+    """``load`` gives the current items; ``checks`` the filter of each category and ``strong`` that of its strong matches; ``now`` tells which saved searches have run out."""
 
     load: Callable[[], DataFrame]
     checks: dict[str, filters.HardFilter]
     default: str = ""
     watches: list[dict] = field(default_factory=list)
     gauges: Callable[[], list[tuple[str, dict[str, str], float]]] = list
+    strong: dict[str, filters.HardFilter] = field(default_factory=dict)
+    now: Callable[[], datetime] = lambda: datetime.now(UTC)
 
-    def search(self, category: str = "", text: str = "", limit: int = 50) -> dict:
-        """The most recent matches, filtered, then ranked by price and id: matched, filtered, items."""
+    def search(self, category: str = "", text: str = "", limit: int = 0) -> dict:
+        """The most recent matches (all, without a limit), filtered, then ranked by price and id.
+
+        ``matched`` and ``filtered`` count all of them; of the filtered ones
+        the first ``LISTED`` are listed, and ``cut`` tells whether there are more.
+        """
         try:
             name = category_of(category, list(self.checks), self.default)
         except ValueError as e:
             raise BadRequest(str(e)) from e
-        if limit <= 0 or limit > MAX_ROWS:
-            raise BadRequest(f"limit must be 1 to {MAX_ROWS}")
-        recent = items.search(self.load(), items.ItemQuery(equals=(("category", name),), text=text, limit=limit))
-        found = [r.asDict(recursive=True) for r in self._rows(filters.explained(recent, self.checks[name])).collect()]  # at most ``limit`` rows
-        kept = sorted((r for r in found if r["reason"] is None), key=lambda r: (r["price_cents"] or 2**62, r["id"]))
-        return {"matched": len(found), "filtered": len(kept), "items": [{"rank": i, **{c: r[c] for c in COLUMNS[1:]}} for i, r in enumerate(kept, 1)]}
+        if limit < 0:
+            raise BadRequest("limit must not be negative")
+        query = items.ItemQuery(equals=(("category", name),), text=text, limit=limit)
+        recent = items.search(self.load(), query) if limit else items.matching(self.load(), query)
+        found = self._rows(filters.explained(recent, self.checks[name]))
+        counts = found.agg(F.count("*").alias("matched"), F.count_if(F.col("reason").isNull()).alias("filtered")).first()
+        listed = [self._listed(i, r) for i, r in enumerate(self._first(found), 1)]
+        return {"matched": counts["matched"], "filtered": counts["filtered"], "cut": counts["filtered"] > len(listed), "items": listed}
 
     @staticmethod
     def _rows(rows: DataFrame) -> DataFrame:
-        return rows.select("id", "price_cents", "currency", F.coalesce(F.col("attributes")["capacity_tb"], F.lit("")).alias("capacity_tb"), "condition", "title", "source_url", "reason")
+        named = ["watch"] if "watch" in rows.columns else []
+        return rows.select(*named, "id", "price_cents", "currency", F.coalesce(F.col("attributes")["capacity_tb"], F.lit("")).alias("capacity_tb"), "condition", "title", "source_url", "reason")
+
+    @staticmethod
+    def _first(found: DataFrame) -> list:
+        """The cheapest of the rows that pass, unknown prices last: at most ``LISTED``."""
+        return found.where("reason is null").orderBy(F.nullif("price_cents", F.lit(0)).asc_nulls_last(), "id").limit(LISTED).collect()
+
+    @staticmethod
+    def _listed(rank: int, row) -> dict:  # noqa: ANN001
+        return {"rank": rank, **{c: row[c] for c in COLUMNS[1:]}}
 
     def item(self, key: str) -> dict | None:
         """The whole item of an id."""
@@ -62,14 +81,40 @@ class Service:
         return row.asDict(recursive=True) if row else None
 
     def watched(self) -> list[dict]:
-        """Every saved search with the number of its candidates and the cheapest ``MAX_ROWS`` of them; ``cut`` tells whether there are more."""
-        rows = ranking.matched_watches(self.load(), self.watches)
-        counts = {r["watch"]: r["n"] for r in rows.groupBy("watch").agg(F.count("*").alias("n")).collect()}
-        rows = ranking.ranked(rows.select("watch", "id", "title", "price_cents"), [F.asc("price_cents"), F.asc("id")], ["watch"]).where(F.col("rank") <= MAX_ROWS)
-        out: dict[str, list] = {w["name"]: [] for w in self.watches}
-        for r in rows.select("watch", "id", "title", "price_cents").orderBy("watch", "price_cents", "id").collect():
-            out[r["watch"]].append({"id": r["id"], "title": r["title"], "price_cents": r["price_cents"]})
-        return [{"watch": k, "candidate_count": counts.get(k, 0), "cut": counts.get(k, 0) > len(v), "candidates": v} for k, v in out.items()]
+        """Every saved search that has not run out: how many candidates pass its category's filter, how many of them are
+        strong, and the first ``LISTED`` of each. One that has run out gives nothing, not an empty list."""
+        live = [w for w in self.watches if active(w, self.now())]
+        unknown = [w for w in live if w.get("category") not in self.checks]
+        if unknown:
+            raise BadRequest(f"{unknown[0]['name']}: unknown category {unknown[0].get('category')}")
+        if not live:
+            return []
+        category = {w["name"]: w["category"] for w in live}
+        matched = ranking.matched_watches(self.load(), live)
+
+        def why(specs: dict[str, filters.HardFilter]) -> Column:
+            out = F.lit("no filter")
+            for name, of in category.items():
+                if of in specs:
+                    out = F.when(F.col("watch") == name, filters.reason(specs[of])).otherwise(out)
+            return out
+
+        rows = self._rows(matched.withColumn("reason", why(self.checks))).where("reason is null").drop("reason")
+        strong = self._rows(matched.withColumn("reason", why(self.checks)).where("reason is null").withColumn("reason", why(self.strong))).where("reason is null").drop("reason")
+        both = rows.withColumn("kind", F.lit("candidates")).unionByName(strong.withColumn("kind", F.lit("strong")))
+        counts = {(r["watch"], r["kind"]): r["n"] for r in both.groupBy("watch", "kind").agg(F.count("*").alias("n")).collect()}
+        order = [F.nullif("price_cents", F.lit(0)).asc_nulls_last(), F.asc("id")]
+        first = ranking.ranked(both, order, ["watch", "kind"]).where(F.col("rank") <= LISTED)
+        lists: dict[tuple[str, str], list] = {}
+        for r in first.orderBy("watch", "kind", "rank").collect():  # at most LISTED rows of each search and kind
+            lists.setdefault((r["watch"], r["kind"]), []).append(self._listed(r["rank"], r))
+        out = []
+        for w in live:
+            one = {"name": w["name"], "audience": w.get("audience", "")}
+            for kind, count in (("candidates", "candidate_count"), ("strong", "strong_count")):
+                one |= {count: counts.get((w["name"], kind), 0), kind: lists.get((w["name"], kind), [])}
+            out.append(one | {"cut": one["candidate_count"] > len(one["candidates"]) or one["strong_count"] > len(one["strong"])})
+        return out
 
     def metrics(self) -> str:
         """Gauges in the text format of Prometheus."""
@@ -106,7 +151,7 @@ class Service:
     def _call(self, name: str, arguments: dict) -> dict:
         try:
             if name == "search_items":
-                got = self.search(arguments.get("category", ""), arguments.get("text", ""), int(arguments.get("limit", 50)))
+                got = self.search(arguments.get("category", ""), arguments.get("text", ""), int(arguments.get("limit", 0)))
             elif name == "get_item":
                 got = self.item(arguments.get("id", ""))
                 if got is None:
@@ -140,7 +185,7 @@ def answer(service: Service, method: str, target: str, body: bytes = b"") -> tup
         if url.path == "/metrics":
             return 200, "text/plain", service.metrics()
         if url.path == "/search":
-            limit = query.get("limit", "50")
+            limit = query.get("limit") or "0"
             if not limit.isdigit():
                 raise BadRequest("limit must be a number")
             return as_json(200, service.search(query.get("category", ""), query.get("text", ""), int(limit)))
@@ -148,7 +193,7 @@ def answer(service: Service, method: str, target: str, body: bytes = b"") -> tup
             got = service.item(query.get("id", ""))
             return as_json(200, got) if got else as_json(404, {"error": "no such item"})
         if url.path == "/watches":
-            return as_json(200, service.watched())
+            return as_json(200, {"watches": service.watched()})
     except BadRequest as e:
         return as_json(400, {"error": str(e)})
     return as_json(404, {"error": "no such path"})
@@ -174,43 +219,3 @@ def serve(service: Service, port: int) -> ThreadingHTTPServer:
             return
 
     return ThreadingHTTPServer(("127.0.0.1", port), Handler)
-
-
-def as_table(rows: DataFrame, width: int = 52, limit: int = 50) -> str:
-    """At most ``limit`` rows as aligned text."""
-    plain = rows.limit(limit).withColumn("title", shortened(F.col("title"), width)) if "title" in rows.columns else rows.limit(limit)
-    cells = [plain.columns, *([("-" if v is None else str(v)) for v in r] for r in plain.collect())]
-    widths = [max(len(r[i]) for r in cells) for i in range(len(plain.columns))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells)
-
-
-def main(argv: list[str] | None = None) -> int:
-    """Command line: run a query of the entry module and print its first rows, or serve items."""
-    parser = argparse.ArgumentParser(prog="skeinworks")
-    sub = parser.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("run", help="run a query by name")
-    run.add_argument("query")
-    run.add_argument("directory")
-    sub.add_parser("list", help="list the queries")
-    sub.add_parser("version", help="print the version")
-    args = parser.parse_args(argv)
-    if args.command == "version":
-        print("skeinworks 1")
-        return 0
-    from skeinworks import plans
-
-    known = plans.queries()
-    if args.command == "list":
-        print("\n".join(sorted(known)))
-        return 0
-    if args.query not in known:
-        print(f"no query {args.query}")
-        return 2
-    from skeinworks.session import build_session
-
-    print(as_table(known[args.query](build_session(), args.directory)))
-    return 0
-
-
-if __name__ == "__main__":
-    raise SystemExit(main())

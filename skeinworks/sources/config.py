@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import UTC, datetime
 
 
 def run_config(text: str, supported: tuple[str, ...], sources: tuple[str, ...]) -> dict:
@@ -56,6 +56,10 @@ def watches(text: str) -> list[dict]:
 
 
 def active(watch: dict, now: datetime) -> bool:
-    """Whether a saved search has not run out."""
+    """Whether a saved search has not run out; moments without a zone are in UTC."""
     until = watch.get("expires_at")
-    return until is None or now < (datetime.fromisoformat(until) if isinstance(until, str) else until)
+    if not until:
+        return True
+    until = datetime.fromisoformat(until) if isinstance(until, str) else until
+    aware = lambda t: t if t.tzinfo else t.replace(tzinfo=UTC)
+    return aware(now) < aware(until)

@@ -2,20 +2,27 @@
 
 ``register(spark)`` adds the format ``paged_json``: options ``url`` (with
 ``{page}`` where pages are walked), ``member`` (the list of a page),
-``page_size``, ``max_pages``, ``token``, ``budget``. One partition walks one
-address; several addresses, separated by blanks, are walked in parallel. Each
+``page_size``, ``max_pages``, ``budget`` with ``budget_file`` (a file in a shared
+folder, where readers count together), ``token`` or ``token_url``, ``client_id``,
+``client_secret`` and ``scope`` (a token is fetched, and again before it runs
+out), ``param.<name>`` and ``header.<name>`` (the parameters of a search and the
+headers that go with it; names in lower case). One partition walks one address; several addresses, separated by blanks, are walked in parallel. Each
 row is a page: url, page, complete, body. ``land_search`` posts one search, with
 the filters of a query pushed into it.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import math
+import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -67,6 +74,55 @@ class DailyBudget:
             self.said = int(remaining)
 
 
+@dataclass
+class SharedBudget(DailyBudget):
+    """A budget that all readers of a day share, kept in the file ``path`` of a folder that all of them see."""
+
+    path: str = ""
+
+    @contextmanager
+    def _held(self) -> Iterator[None]:
+        """The state of the file, for one reader at a time."""
+        lock = f"{self.path}.lock"
+        for _ in range(600):
+            try:
+                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+                break
+            except FileExistsError:
+                time.sleep(0.05)
+        else:
+            raise Unavailable(f"{lock} is held")
+        try:
+            if os.path.exists(self.path):
+                with open(self.path) as file:
+                    self.day, self.used, self.said = json.load(file)
+            yield
+            with open(f"{self.path}.new", "w") as file:
+                json.dump([self.day, self.used, self.said], file)
+            os.replace(f"{self.path}.new", self.path)
+        finally:
+            os.remove(lock)
+
+    def reserve(self) -> None:
+        with self._held():
+            super().reserve()
+
+    def hear(self, remaining: str | None) -> None:
+        with self._held():
+            super().hear(remaining)
+
+
+def client_token(url: str, client: str, secret: str, scope: str = "", opener=urllib.request.urlopen) -> tuple[str, float]:
+    """(token, seconds it holds) for a client's id and secret."""
+    body = urllib.parse.urlencode({"grant_type": "client_credentials"} | ({"scope": scope} if scope else {})).encode()
+    basic = base64.b64encode(f"{client}:{secret}".encode()).decode()
+    headers = {"Authorization": f"Basic {basic}", "Content-Type": "application/x-www-form-urlencoded"}
+    got = json.loads(patient_get(url, headers, data=body, opener=opener))
+    if not got.get("access_token"):
+        raise Unavailable("no token in the answer")
+    return got["access_token"], float(got.get("expires_in", 0))
+
+
 @dataclass
 class TokenCache:
     """A bearer token, fetched again a minute before it runs out."""
@@ -114,13 +170,12 @@ def message_of(status: int, body: bytes) -> str:
 
 
 def walk(url: str, get: Callable[[str], bytes], member: str, page_size: int, max_pages: int) -> Iterator[tuple[str, int, bool, str]]:
-    """(url, page, complete, body) of pages up to an empty or short one; ``complete`` is true on every row only if the walk got there."""
+    """(url, page, complete, body) of pages up to an empty or short one, which is a row too; ``complete`` is true on every row only if the walk got there."""
     rows, complete = [], False
     for page in range(1, max_pages + 1):
         body = get(url.replace("{page}", str(page))).decode("utf-8", "replace")
         n = len(json.loads(body).get(member) or [])
-        if n:
-            rows.append((page, body))
+        rows.append((page, body))
         if n < page_size or "{page}" not in url:
             complete = "{page}" in url
             break
@@ -156,9 +211,22 @@ class _PagedReader(DataSourceReader):
 
     def read(self, partition: _Address) -> Iterator[tuple]:
         o = self.options
-        headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {o['token']}"} if o.get("token") else {})
-        budget = DailyBudget(int(o.get("budget", 5000)))
-        yield from walk(partition.url, lambda u: patient_get(u, headers, budget), o.get("member", "products"), int(o.get("page_size", 250)), int(o.get("max_pages", 4)))
+        fixed = {"Accept": "application/json"} | {k.removeprefix("header."): v for k, v in o.items() if k.startswith("header.")}
+        calls = int(o.get("budget", 5000))
+        budget = SharedBudget(calls, path=o["budget_file"]) if o.get("budget_file") else DailyBudget(calls)
+        token = TokenCache(lambda: client_token(o["token_url"], o.get("client_id", ""), o.get("client_secret", ""), o.get("scope", ""))) if o.get("token_url") else None
+
+        def get(url: str) -> bytes:
+            bearer = token.get() if token else o.get("token")
+            return patient_get(url, fixed | ({"Authorization": f"Bearer {bearer}"} if bearer else {}), budget)
+
+        yield from walk(with_parameters(partition.url, {k.removeprefix("param."): v for k, v in o.items() if k.startswith("param.")}), get, o.get("member", "products"), int(o.get("page_size", 250)), int(o.get("max_pages", 4)))
+
+
+def with_parameters(url: str, parameters: dict[str, str]) -> str:
+    """``url`` with the parameters that are not empty, such as the words, limit and filter of a search."""
+    more = urllib.parse.urlencode({k: v for k, v in sorted(parameters.items()) if v})
+    return url + (("&" if "?" in url else "?") + more if more else "")
 
 
 def land_request(box: tuple[float, float, float, float], filters: list, most: int = 25) -> tuple[dict, list]:

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinworks.functions.numbers import rendered
-from skeinworks.functions.text import trim_all
+from skeinworks.functions.extract import placed
+from skeinworks.functions.numbers import number, rendered
+from skeinworks.functions.text import first_filled, trim_all
 from skeinworks.operators.enrich import looked_up
 
 #: Fixed value: at and below this, an elevation means that there is none.
@@ -57,3 +58,44 @@ def with_facts(items: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame
     own = F.coalesce("attributes", F.create_map().cast("map<string,string>"))
     more = F.map_filter(F.coalesce("facts", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(own, k))
     return joined.withColumn("attributes", F.map_concat(own, more)).drop("facts")
+
+
+def geocoded(answer: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) of the first match of an address; null where there is none."""
+    at = "$.result.addressMatches[0].coordinates"
+    return _text(answer, f"{at}.y").try_cast("double"), _text(answer, f"{at}.x").try_cast("double")
+
+
+def with_points(items: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """``items`` with ``lat``, ``lon`` and ``address``: their own usable coordinates, else those of their locality.
+
+    ``answers``: location and answer (what a geocoder says of it), one row a
+    locality. ``address`` is the street address or, failing that, the
+    locality. An item with neither keeps nulls.
+    """
+    a = F.col("attributes")
+    own = placed(a["lat"], a["lon"])
+    rows = items.drop("lat", "lon", "address", "_answer").withColumn("_location", F.when(trim_all(a["location"]) != "", trim_all(a["location"])))
+    if answers is not None:
+        rows = looked_up(rows, answers.select(trim_all("location").alias("_location"), F.col("answer").alias("_answer")), ["_location"])
+    else:
+        rows = rows.withColumn("_answer", F.lit(None).cast("string"))
+    lat, lon = geocoded(F.col("_answer"))
+    point = lambda mine, theirs: F.when(own, number(trim_all(mine))).otherwise(theirs)
+    return rows.withColumn("lat", point(a["lat"], lat)).withColumn("lon", point(a["lon"], lon)).withColumn("address", first_filled(a["street_address"], F.col("_location"))).drop("_location", "_answer")
+
+
+def parcel_facts(parcels: DataFrame, key: str = "address") -> DataFrame:
+    """(key, facts): what a parcel record adds to attributes; a member that is null adds nothing.
+
+    ``parcels``: improvement_cents, land_cents, year_built, acres.
+    """
+    dollars = lambda c: F.format_string("%.2f", F.col(c) / 100.0)
+    known = lambda c, value: F.when(F.col(c).isNotNull(), value)
+    structure = F.when(F.col("improvement_cents").isNotNull() & F.col("year_built").isNotNull(), (F.col("improvement_cents") > 0) & (F.col("year_built") > 0)).cast("string")
+    pairs = {
+        "assessed_improvement_usd": known("improvement_cents", dollars("improvement_cents")), "assessed_land_usd": known("land_cents", dollars("land_cents")),
+        "year_built": F.col("year_built").cast("string"), "acreage": known("acres", F.format_string("%.4f", F.col("acres"))), "structure_present": structure,
+    }
+    facts = F.map_filter(F.create_map(*[x for name, value in pairs.items() for x in (F.lit(name), value)]), lambda _, v: v.isNotNull())
+    return parcels.select(key, facts.alias("facts"))

@@ -45,12 +45,25 @@ def test_typed_records_and_tables(spark, tmp_path):
     rows = nested.emit_typed(records, PRODUCT, F.col("row"), F.col("at"))
     path = nested.write_tables(rows, str(tmp_path / "t"))
     products = {r.pk: r for r in nested.read_table(spark, path, "product", "title string").collect()}
-    assert {k: (r.own_id, r.n_children, r.title) for k, r in products.items()} == {"1": (9, 2, "x"), "2": (9, None, None), "3": (None, 1, "y"), "4": (8, 0, "z")}
+    assert {k: (r.own_id, r.children.get("variant"), r.title) for k, r in products.items()} == {"1": (9, 2, "x"), "2": (9, None, None), "3": (None, 1, "y"), "4": (8, 0, "z")}
     variants = nested.read_table(spark, path, "variant", "price string, available boolean").collect()
     assert sorted((r.parent_pk, r.own_id or 0, r.price, r.available) for r in variants) == [("1", 0, "2", None), ("1", 90, "1.5", True), ("3", 1, "1", True)]
     assert sorted(map(tuple, nested.latest_children(nested.read_tagged(spark, path), "product", "variant").collect())) == [(9, 90)]
 
 
+def test_structs_maps_and_several_children(spark):
+    rules = (VARIANT, nested.TableRule("maker", "maker", columns={"name": ("name",)}), nested.TableRule("price", "prices", columns={"cents": ("cents",)}))
+    product = nested.TableRule("product", "products", children=rules)
+    schema = "row bigint, id bigint, at timestamp, variants array<struct<id bigint>>, maker struct<id bigint, name string>, prices map<string, struct<id bigint, cents int>>"
+    data = [(1, 9, T1, [(1,), (2,)], (5, "Acme"), {"us": (7, 10), "de": None}), (2, 8, T1, None, None, {}), (3, 7, T2, [], None, None)]
+    got = nested.emit_typed(spark.createDataFrame(data, schema), product, F.col("row"), F.col("at")).collect()
+    assert {r.pk: r.children for r in got if r.tag == "product"} == {"1": {"variant": 2, "maker": 1, "price": 1}, "2": {"price": 0}, "3": {"variant": 0}}
+    assert sorted((r.tag, r.parent_pk, r.own_id) for r in got if r.tag in ("maker", "price")) == [("maker", "1", 5), ("price", "1", 7)]
+    page = json.dumps({"products": [{"id": 9, "variants": [{"id": 1}], "maker": {"id": 5, "name": "Acme"}, "prices": []}]})
+    got = nested.emit_json(pages(spark, [(page, T1)]), product, "key", "body", "at").collect()
+    assert got[0].children == {"variant": 1, "maker": 1, "price": 0} and len(got) == 3
+
+
 def test_empty_table(spark):
     assert nested.latest_children(tagged(spark, []), "product", "variant").count() == 0
 

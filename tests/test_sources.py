@@ -1,6 +1,8 @@
 import io
 import json
+import threading
 import urllib.error
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from datetime import UTC, datetime
 
 import pytest
@@ -90,6 +92,7 @@ def test_walk_and_token():
     pages = {1: [1, 2], 2: [3]}
     got = list(http.walk("u?page={page}", lambda u: json.dumps({"p": pages.get(int(u[-1]), [])}).encode(), "p", 2, 4))
     assert [(p, c) for _, p, c, _ in got] == [(1, True), (2, True)]
+    assert [(p, c) for _, p, c, _ in http.walk("u?page={page}", lambda u: b'{"p":[]}', "p", 2, 4)] == [(1, True)]
     assert [c for *_, c, _ in http.walk("u?page={page}", lambda u: b'{"p":[1,2]}', "p", 2, 2)] == [False, False]
     clock, asked = [0.0], []
     cache = http.TokenCache(lambda: (asked.append(1) or f"t{len(asked)}", 100.0), lambda: clock[0])
@@ -104,6 +107,79 @@ def test_paged_source_in_a_session(spark, tmp_path, monkeypatch):
     assert [p.url for p in reader.partitions()] == ["a", "b"]
 
 
+def test_filters_of_a_query_reach_the_land_search(spark):
+    bodies = []
+
+    class Search(BaseHTTPRequestHandler):
+        def do_POST(self):
+            bodies.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"data":[]}')
+
+        def log_message(self, *_):
+            return
+
+    server = HTTPServer(("127.0.0.1", 0), Search)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    http.register(spark)
+    rows = spark.read.format("land_search").options(url=f"http://127.0.0.1:{server.server_address[1]}/x", west="1", south="2", east="3", north="4").load()
+    assert rows.where("acres > 2 and price_cents <= 100000 and body <> ''").collect() == []
+    server.shutdown()
+    assert bodies[0]["lotSize"] == {"min": 87120} and bodies[0]["price"] == {"max": 1000}
+
+
+def test_budget_that_readers_share(tmp_path):
+    day = [datetime(2025, 1, 1, tzinfo=UTC)]
+    made = lambda: http.SharedBudget(40, now=lambda: day[0], path=str(tmp_path / "b"))
+    threads = [threading.Thread(target=lambda: [made().reserve() for _ in range(5)]) for _ in range(8)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    with pytest.raises(http.BudgetSpent):
+        made().reserve()
+    day[0] = datetime(2025, 1, 2, tzinfo=UTC)
+    made().reserve()
+    made().hear("0")
+    with pytest.raises(http.BudgetSpent):
+        made().reserve()
+
+
+def test_searches_and_tokens():
+    assert http.with_parameters("u://s", {"q": "hard drive", "limit": "50", "filter": ""}) == "u://s?limit=50&q=hard+drive" and http.with_parameters("u://s?a=1", {"q": "x"}) == "u://s?a=1&q=x" and http.with_parameters("u", {}) == "u"
+    seen = []
+
+    def opener(request, timeout):
+        seen.append((request.headers["Authorization"], request.data))
+        return Answer(b'{"access_token":"t","expires_in":7200}')
+
+    assert http.client_token("u://t", "me", "pw", "s", opener) == ("t", 7200.0) and seen == [("Basic bWU6cHc=", b"grant_type=client_credentials&scope=s")]
+
+
+def test_profiles(spark):
+    from skeinworks.sources import profiles
+
+    now = datetime(2025, 6, 1, tzinfo=UTC)
+    good = {"Ack": "success", "User": {"RegistrationDate": "2025-05-02T00:00:00.000Z", "FeedbackHistory": {"PositiveFeedbackPeriodArray": {"FeedbackPeriod": [{"PeriodInDays": 7, "Count": 1}, {"PeriodInDays": 30, "Count": 12}]}}}}
+    assert profiles.figures(json.dumps(good), now) == (30, 12) and profiles.figures(b'{"Ack":"Failure"}', now) is None
+    assert profiles.figures('{"Ack":"Success","User":{"RegistrationDate":"2030-01-01T00:00:00Z"}}', now) == (None, None)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "username string, n int")
+    text = json.dumps(good)
+    got = profiles.profiles(rows, "username", lambda name: text if name == "a" else 1 / 0, now)
+    assert [tuple(r) for r in got.collect()] == [("a", 30, 12)]
+
+
+def test_points_addresses_and_parcels(spark):
+    from skeinworks.sources import places
+
+    match = '{"result":{"addressMatches":[{"coordinates":{"x":-97.5,"y":30.25}}]}}'
+    answers = spark.createDataFrame([("Austin, TX", match), ("Nowhere", '{"result":{"addressMatches":[]}}')], "location string, answer string")
+    data = [("own", {"lat": "1.5", "lon": "2.5", "location": "Austin, TX", "street_address": "1 Oak"}), ("place", {"location": " Austin, TX "}), ("zero", {"lat": "0", "lon": "0", "location": "Nowhere"}), ("none", {}), ("null", None)]
+    got = {r.id: (r.lat, r.lon, r.address) for r in places.with_points(spark.createDataFrame(data, "id string, attributes map<string,string>"), answers).collect()}
+    assert got == {"own": (1.5, 2.5, "1 Oak"), "place": (30.25, -97.5, "Austin, TX"), "zero": (None, None, "Nowhere"), "none": (None, None, None), "null": (None, None, None)}
+    parcels = spark.createDataFrame([("a", 150, 99, 1990, 1.5), ("b", 0, None, 2000, None), ("c", None, None, None, None)], "address string, improvement_cents bigint, land_cents bigint, year_built int, acres double")
+    facts = {r.address: r.facts for r in places.parcel_facts(parcels).collect()}
+    assert facts == {"a": {"assessed_improvement_usd": "1.50", "assessed_land_usd": "0.99", "year_built": "1990", "acreage": "1.5000", "structure_present": "true"}, "b": {"assessed_improvement_usd": "0.00", "year_built": "2000", "structure_present": "false"}, "c": {}}
+
+
 def test_config():
     good = {"categories": {"drive": {}}, "sources": [{"name": "a", "type": "shop", "category": "drive"}]}
     assert config.run_config(json.dumps(good), ("drive",), ("shop",)) == good

@@ -1,12 +1,13 @@
 import json
 import threading
+import urllib.request
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from skeinworks.operators.filters import HardFilter
-from skeinworks.service import api
+from skeinworks.service import api, cli
 from skeinworks.sources.http import BudgetSpent
 from skeinworks.sources.raw import RAW
 from skeinworks.streaming import ingest
@@ -110,23 +111,49 @@ def test_land_items(spark):
 
 def test_service(spark, tmp_path):
     g = tables(spark, tmp_path, "s")
-    g.ingest(raw(spark, [("a", "blue 8TB", 100, T0), ("b", "blue 4TB", 50, T0), ("c", "red 16TB", 70, T0)]), 1, F.lit(T0))
-    service = api.Service(g.items.read, {"drive": HardFilter(least={"capacity_tb": 6.0})}, watches=[{"name": "w", "category": "drive", "text": "blue"}], gauges=lambda: [("calls", {"source": "s"}, 3)])
+    g.ingest(raw(spark, [("a", "blue 8TB", 100, T0), ("b", "blue 4TB", 50, T0), ("c", "red 16TB", 70, T0), ("d", "blue 10TB", 0, T0), ("e", "blue 12TB", 30, T0)]), 1, F.lit(T0))
+    watches = [{"name": "w", "category": "drive", "text": "blue"}, {"name": "gone", "category": "drive", "text": "", "expires_at": "2020-01-01"}, {"name": "none", "category": "drive", "text": "zzz"}]
+    service = api.Service(g.items.read, {"drive": HardFilter(least={"capacity_tb": 6.0})}, watches=watches, gauges=lambda: [("calls", {"source": "s"}, 3)], strong={"drive": HardFilter(needs_price=True, max_price_cents=50)})
     get = lambda target, method="GET", body=b"": api.answer(service, method, target, body)
     found = json.loads(get("/search?text=BLUE&limit=5")[2])
-    assert (found["matched"], found["filtered"], found["items"][0]["title"]) == (2, 1, "blue 8TB")
-    assert get("/search?limit=x")[0] == 400 and get("/search?category=z")[0] == 400 and get("/search", "POST")[0] == 405 and get("/none")[0] == 404
+    assert (found["matched"], found["filtered"], [i["title"] for i in found["items"]]) == (4, 3, ["blue 12TB", "blue 8TB", "blue 10TB"])
+    assert json.loads(get("/search?limit=0")[2])["matched"] == json.loads(get("/search")[2])["matched"] == json.loads(get("/search?limit=9000")[2])["matched"] == 5
+    assert get("/search?limit=x")[0] == 400 and get("/search?limit=-1")[0] == 400 and get("/search?category=z")[0] == 400 and get("/search", "POST")[0] == 405 and get("/none")[0] == 404
     key = found["items"][0]["id"]
     assert json.loads(get(f"/item?id={key}")[2])["id"] == key and get("/item?id=zz")[0] == 404 and get("/item")[0] == 400
-    assert json.loads(get("/watches")[2])[0]["candidate_count"] == 2
+    w = json.loads(get("/watches")[2])["watches"]
+    assert [(x["name"], x["candidate_count"], x["strong_count"], [i["title"] for i in x["strong"]]) for x in w] == [("w", 3, 1, ["blue 12TB"]), ("none", 0, 0, [])]
+    service.watches = [{"name": "q", "category": "boat"}]
+    assert get("/watches")[0] == 400
     assert get("/metrics")[2] == 'calls{source="s"} 3\n' and get("/healthz")[0] == 200
     rpc = lambda m, **p: json.loads(get("/mcp", "POST", json.dumps({"jsonrpc": "2.0", "id": 1, "method": m, "params": p}).encode())[2])
     assert len(rpc("tools/list")["result"]["tools"]) == 2 and rpc("initialize")["result"]["serverInfo"]["name"] == "skeinworks" and rpc("nope")["error"]["code"] == -32601
     assert rpc("tools/call", name="get_item", arguments={"id": "zz"})["result"]["isError"] is True
     assert "blue 8TB" in rpc("tools/call", name="search_items", arguments={"text": "blue"})["result"]["content"][0]["text"]
     assert get("/mcp", "POST", b'{"jsonrpc":"2.0","method":"notifications/initialized"}')[0] == 202
-    assert "title" in api.as_table(g.items.read().select("id", "title"))
-    assert api.main(["list"]) == 0 and api.main(["version"]) == 0 and api.main(["run", "zz", "d"]) == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    item = lambda k, title, price: {"itemId": k, "title": title, "price": {"value": price, "currency": "USD"}, "conditionId": "3000"}
+    (tmp_path / "m.json").write_text(json.dumps({"itemSummaries": [item("1", "Disk 8TB used", "80.00"), item("2", "Disk 4TB used", "60.00"), item("3", "", "1")]}))
+    store = f"file://{tmp_path}/store"
+    assert cli.main(["ingest", str(tmp_path / "m.json"), "--store", store, "--source", "m"], spark) == 0
+    assert "fetched=3" in capsys.readouterr().out
+    assert cli.main(["search", "--store", store, "--category", "drive", "--text", "disk"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].split() == ["rank", "price", "$/TB", "TB", "condition", "title"] and out[1].split()[:4] == ["1", "$60.00", "$15.00", "4"] and out[-1] == "2 matched, 2 after the filter"
+    assert cli.main(["search", "--store", store, "--category", "drive", "--json"], spark) == 0 and json.loads(capsys.readouterr().out)["matched"] == 2
+    assert cli.main(["search", "--store", store, "--category", "boat"], spark) == 1
+    assert cli.main(["list"]) == 0 and "p6_found" in capsys.readouterr().out
+    assert cli.main(["version"]) == 0 and cli.main(["run", "zz", "d"]) == 2
+    service = cli._service(spark, cli.parser().parse_args(["serve", "--store", store, "--category", "drive"]))
+    server = api.serve(service, 0)
+    thread = threading.Thread(target=server.handle_request)
+    thread.start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/search", timeout=60) as answer:
+        assert json.loads(answer.read())["matched"] == 2
+    thread.join()
+    server.server_close()
 
 
 def test_derived_once_a_version(spark, tmp_path):
@@ -139,7 +166,10 @@ def test_derived_once_a_version(spark, tmp_path):
 
 
 def test_watches_count_all_candidates(spark):
-    items = spark.range(1700).selectExpr("cast(id as string) as id", "'drive' as category", "'blue disk' as title", "id * 100 as price_cents", "timestamp_seconds(id) as seen_at")
-    service = api.Service(lambda: items, {}, watches=[{"name": "all", "text": "blue"}, {"name": "some", "text": "blue", "limit": 1500}, {"name": "few", "text": "blue", "limit": 3}, {"name": "none", "text": "red"}])
-    got = {w["watch"]: (w["candidate_count"], w["cut"], len(w["candidates"])) for w in service.watched()}
+    items = spark.range(1700).selectExpr("cast(id as string) as id", "'drive' as category", "'blue disk' as title", "id * 100 as price_cents", "timestamp_seconds(id) as seen_at", "cast(map() as map<string,string>) as attributes", "'' as currency", "'' as condition", "'' as source_url")
+    watches = [{"name": n, "category": "drive", "text": t, "limit": k} for n, t, k in (("all", "blue", 0), ("some", "blue", 1500), ("few", "blue", 3), ("none", "red", 0))]
+    service = api.Service(lambda: items, {"drive": HardFilter()}, watches=watches)
+    got = {w["name"]: (w["candidate_count"], w["cut"], len(w["candidates"])) for w in service.watched()}
     assert got == {"all": (1700, True, 500), "some": (1500, True, 500), "few": (3, False, 3), "none": (0, False, 0)}
+    found = service.search("drive")
+    assert (found["matched"], found["filtered"], found["cut"], len(found["items"])) == (1700, 1700, True, 500)

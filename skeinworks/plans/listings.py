@@ -177,6 +177,13 @@ def reference_median(spark: SparkSession, d: str) -> DataFrame:
     return reference.grouped_median(_per_tb(_typed(spark, d)), ["bucket", "condition"], "cents_per_tb", least=3)
 
 
+def reference_recent(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the items seen in the 30 days before a moment."""
+    now = _ts("1998-06-01 00:00:00")
+    rows = _typed(spark, d).where((F.col("seen_at") >= now - F.expr("interval 30 days")) & (F.col("seen_at") <= now))
+    return reference.grouped_median(_per_tb(rows), ["bucket", "condition"], "cents_per_tb", least=3)
+
+
 def reference_median_brand(spark: SparkSession, d: str) -> DataFrame:
     """The same by brand too, where some groups are too small."""
     rows = _per_tb(_typed(spark, d)).withColumn("brand", F.regexp_extract("title", "(Brand#[0-9]+)", 1))
@@ -365,7 +372,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         item_latest, item_validation, search_text, search_tokens, search_price_bound, search_since_topk, search_source, deterministic_id, extract_capacity, extract_condition, extract_model,
-        tokenize, seller_tiers, hard_filter_reasons, reference_median, reference_median_brand, reference_ratio, surface_ranked, limit_before_rank, watch_candidates, watch_strong, watch_counts,
+        tokenize, seller_tiers, hard_filter_reasons, reference_median, reference_recent, reference_median_brand, reference_ratio, surface_ranked, limit_before_rank, watch_candidates, watch_strong, watch_counts,
         offer_fold, offer_expire, offer_expire_by_source, offer_retention, offer_revival, offer_latest, offer_query_default, offers_by_product, provisional_key,
         land_acreage, land_flags, land_rows, storefront_variants, html_strip, valuation_feed, seller_profile_join, event_offers,
     )

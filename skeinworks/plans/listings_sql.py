@@ -94,6 +94,9 @@ WITH {TYPED}
 SELECT id, CASE WHEN price_cents <= 0 THEN 'unpriced' WHEN price_cents > 6000000 THEN 'price' WHEN capacity_tb = '' THEN 'missing:capacity_tb'
   WHEN capacity_tb::double < 6 THEN 'below:capacity_tb' WHEN capacity_tb::double > 40 THEN 'above:capacity_tb' WHEN condition NOT IN ('new', 'refurb') THEN 'condition' ELSE '' END AS reason FROM typed""",
     "reference_median": f"WITH {PER_TB} SELECT bucket, condition, reference, n FROM medians WHERE n >= 3",
+    "reference_recent": f"""WITH {PER_TB}
+SELECT bucket, condition, floor(median(cents_per_tb) + 0.5)::bigint AS reference, count(*) AS n FROM per_tb
+WHERE seen_at >= TIMESTAMP '1998-06-01' - INTERVAL 30 DAY AND seen_at <= TIMESTAMP '1998-06-01' GROUP BY ALL HAVING count(*) >= 3""",
     "reference_median_brand": f"""WITH {PER_TB}
 SELECT bucket, regexp_extract(title, '(Brand#[0-9]+)', 1) AS brand, condition, floor(median(cents_per_tb) + 0.5)::bigint AS reference, count(*) AS n FROM per_tb GROUP BY ALL HAVING count(*) >= 3""",
     "reference_ratio": f"""WITH {PER_TB},

@@ -451,11 +451,12 @@ def parsed(offers: DataFrame) -> DataFrame:
 
     spelled = "id string, sure string, words array<string>, joined array<string>, capacity bigint, interface string, maker string"
     found = written(told.select(*columns).mapInArrow(read, spelled), "attributes")
-    known = found.select("id", "capacity", "interface", "maker")
-    sure = found.where("sure is not null").select("id", F.col("sure").alias("code"))
+    known = ["capacity", "interface", "maker"]
+    sure = found.where("sure is not null").select("id", F.col("sure").alias("code"), *known)
+    unsure = found.where("sure is null")
     # Other codes count by how many listings have them in one piece.
-    pieces = sure.select("code").unionByName(found.where("sure is null").select(F.explode("words").alias("code"))).groupBy("code").agg(F.count("*").alias("n"))
-    tried = found.where("sure is null").select("id", F.posexplode(F.concat(F.transform("words", lambda w: F.struct(w.alias("code"), F.lit(False).alias("split"))), F.transform("joined", lambda w: F.struct(w.alias("code"), F.lit(True).alias("split"))))).alias("at", "c"))
+    pieces = sure.select("code").unionByName(unsure.select(F.explode("words").alias("code"))).groupBy("code").agg(F.count("*").alias("n"))
+    tried = unsure.select("id", F.posexplode(F.concat(F.transform("words", lambda w: F.struct(w.alias("code"), F.lit(False).alias("split"))), F.transform("joined", lambda w: F.struct(w.alias("code"), F.lit(True).alias("split"))))).alias("at", "c"))
     rated = tried.select("id", "at", "c.code", "c.split").join(pieces, "code", "left")
     attested = F.coalesce(F.col("n"), F.lit(0)) >= F.when(F.col("split"), 1).otherwise(2)
     rated = written(rated.withColumn("attested", attested), "candidates")
@@ -465,7 +466,7 @@ def parsed(offers: DataFrame) -> DataFrame:
     often = loose.groupBy("letters", "code").agg(F.count("*").alias("n_code"))
     rare = often.withColumn("n_letters", F.sum("n_code").over(Window.partitionBy("letters"))).where(F.col("n_code") >= _RARE * F.col("n_letters"))
     spare = loose.join(rare.drop("letters"), "code").groupBy("id").agg(F.min_by("code", F.struct("n_letters", "at")).alias("code"))
-    return known.join(sure.unionByName(best).unionByName(spare), "id").select("id", "code", "capacity", "interface", "maker")
+    return sure.unionByName(unsure.select("id", *known).join(best.unionByName(spare), "id").select("id", "code", *known))
 
 
 def classes(listings: DataFrame) -> DataFrame:

@@ -326,15 +326,14 @@ def _books(sums: tuple[dict, dict, dict]) -> dict[str, Codebook]:
     return {f: Codebook({}, totals.get(f, {}).get(None, 0), inside.get(f, {}), between.get(f, {})) for f in {*totals, *inside, *between}}
 
 
-def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, frequent: DataFrame, sums: tuple[dict, dict, dict]) -> tuple[DataFrame, dict[str, Codebook], dict[str, dict[str, int]]]:
+def _weighed(texts: DataFrame, candidates: DataFrame, counts: DataFrame, frequent: DataFrame, sums: tuple[dict, dict, dict], final: bool = False) -> tuple[DataFrame, dict[str, Codebook], dict[str, dict[str, int]]]:
     """The texts with the counts of their rare values, the codebooks, and the counts of the frequent values by field."""
     often: dict[str, dict[str, int]] = {}
     for r in counts.join(frequent, ["field", "value"], "left_semi").collect():  # at most FREQUENT values
         often.setdefault(r["field"], {})[r["value"]] = r["n"]
     known = candidates.join(counts, ["field", "value"]).groupBy("id").agg(F.collect_list("value").alias("known"), F.collect_list("n").alias("n"))
-    # Only texts that have rare values take part in the join; the others stay where they are.
-    none = texts.where("not rare").select("field", "text", "kept", F.lit(None).cast("array<string>").alias("known"), F.lit(None).cast("array<bigint>").alias("n"))
-    return none.unionByName(texts.where("rare").join(known, "id", "left").select("field", "text", "kept", "known", "n")), _books(sums), often
+    text = F.when(F.col("kept").isNull(), F.col("text")).alias("text")
+    return texts.join(known, "id", "left").select("field", "text" if final else text, "kept", "known", "n"), _books(sums), often
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], books: dict[str, Codebook], often: dict[str, dict[str, int]]) -> Iterator[list[tuple[str, str, list[str], Parse]]]:
@@ -390,16 +389,14 @@ def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
     is_frequent = F.col("all") > every / FREQUENT
     frequent = shared.where(is_frequent).select("field", "value")
     candidates = written(named.join(shared.where(~is_frequent).select("field", "value"), ["field", "value"]).select("id", "field", "value"), "candidates")
-    texts_ = offered.join(candidates.select("id").distinct().withColumn("rare", F.lit(True)), "id", "left").select("id", "field", "text", "kept", F.coalesce("rare", F.lit(False)).alias("rare"))
-    texts_ = written(texts_, "parses", ["rare"])
     sums = _sums(offered.select("field", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("value"), F.col("most").alias("n")))
     counts = shared.select("field", "value", "n").where("n >= 2")
     done = []
     for _ in range(ROUNDS):
-        done.append(written(_round(texts_, candidates, counts, frequent, sums), "round"))
+        done.append(written(_round(offered, candidates, counts, frequent, sums), "round"))
         counts = done[-1].where("kind = 0").groupBy("field", "value").agg(F.sum("n").alias("n")).where("n >= 2")
         sums = _sums(done[-1].select("field", "kind", "value", F.when(F.col("kind") == 0, F.col("uses")).otherwise(F.col("n")).alias("n")))
-    last, books, often = _weighed(texts_, candidates, counts, frequent, sums)
+    last, books, often = _weighed(offered, candidates, counts, frequent, sums, final=True)
     out = pa.schema([("field", pa.string()), ("text", pa.string()), ("got", pa.list_(pa.string()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +404,7 @@ def parsed(rows: DataFrame, field: str, text: str) -> DataFrame:
             yield _batch([(f, t, [names[i] for i in parse[0]]) for f, t, names, parse in chosen], out)
 
     got = written(last.mapInArrow(read, "field string, text string, got array<string>"), "got")
-    discard(texts, offered, shared, candidates, texts_, *done)
+    discard(texts, offered, shared, candidates, *done)
     return got
 
 

@@ -95,20 +95,19 @@ LATIN_MANY_SMALL = 0.3
 _LATIN_ONLY = _STRONG | (_LATIN_LITTLE - frozenset("et in ad non ut qui ex de est per si at sed cum pro sic que".split()))
 
 # Phrases that stand in the place of a description, each with parts of which a text must hold one before the phrase is looked for.
-_KINDS = ("text", "copy", "description", "detail", "content", "paragraph", "heading", "title", "story", "body", "caption", "headline", "subtitle")
 _KIND = r"(?:text|copy|description|details?|content|paragraph|heading|title|story|body|caption|headline|subtitle)"
 _START = r"(?:^|(?<=[.!?\n]) ?)\W{0,12}"
 _MADE_UP = ("draft", "example", "sample", "dummy", "filler", "placeholder")
 _FILLERS = (
     ("goes here", rf"\b(?:your|the|some)? ?{_KIND} goes here\b"),
-    ("|".join(f"{k} here" for k in (*_KINDS, "details")), rf"\b(?:your|type|enter|write|insert|add|put) (?:(?:your|the|some|a) )?(?:\w+ )?{_KIND} here\b"),
+    (" here", rf"\b(?:your|type|enter|write|insert|add|put) (?:(?:your|the|some|a) )?(?:\w+ )?{_KIND} here\b"),
     ("story in this", r"\b(?:add|tell|write) your \w+ story in this (?:block|section)\b"),
     ("use this ", r"\buse this (?:section|area|block|space|text) to (?:tell|share|describe|explain|welcome|add)\b"),
-    ("heading one|heading two|heading three|heading 1|heading 2|heading 3|heading 4|heading 5|heading 6", rf"{_START}heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)"),
-    ("coming soon|to follow|to be added|to come|to be announced|follows soon|pending", rf"\b(?:full |more |product |item )?{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon|pending)\b"),
+    ("heading ", rf"{_START}heading (?:one|two|three|[1-6])\s*(?:[.!\n]|$)"),
+    ("coming soon|to follow|to be added|to come|to be announced|follows soon|pending", rf"\b{_KIND} (?:is |are )?(?:coming soon|to follow|to be added|to come|to be announced|follows soon|pending)\b"),
     ("shortly|soon|later|in due course|in a few days|asap", rf"\b{_KIND} (?:will|shall|is going to|to) (?:be |follow\b ?|come\b ?)?(?:added|updated|provided|supplied|written|completed|uploaded|inserted|posted|published|finished|filled in)?[ ,]*(?:here )?(?:very )?(?:shortly|soon|later|in due course|in a few days|asap)\b"),
     ("this is ", rf"\bthis is (?:a |an |some )?(?:filler|placeholder|dummy|sample|example|draft|blind) {_KIND}\b"),
-    ("|".join(f"{w} {k}" for w in _MADE_UP for k in _KINDS), rf"{_START}(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)"),
+    ("|".join(f"{w} " for w in _MADE_UP), rf"{_START}(?:draft|example|sample|dummy|filler|placeholder) {_KIND}\s*(?:[.!,;\n]|$)"),
     ("before publi|before going live|before launch|before release", r"\b(?:change|replace|edit|update|remove)(?: this| me)?(?: text| copy)? before (?:publishing|going live|launch|publication|release)\b"),
     ("dummy text", r"\b(?:dummy text)(?:[,. ]+dummy text)+"),
     ("todo|fixme|tbd", r"\b(?:TODO|FIXME|TBD)\s*[:-]\s*(?:write|add|fill|insert|replace|update|describe|text|copy|body|description)\b"),

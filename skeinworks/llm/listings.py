@@ -261,8 +261,8 @@ class Grammar:
 
         self._masks = {m: re.sub(r"(L+|D+)", lambda r: f"{'[A-Z]' if r[0][0] == 'L' else _D}{{{len(r[0])}}}", m) for m in self.shapes}
         any_code = "|".join(self._masks.values()) or "(?!)"
-        self._read = [([re.compile(pattern(t, m)) for m in self._masks.values()], n, i, by) for t, n, i, by in self.structures]
         each = [re.sub(r"\?P<\w>", "?:", pattern(t, any_code)) for t, *_ in self.structures]
+        self._read = [(re.compile(quick), [re.compile(pattern(t, m)) for m in self._masks.values()], n, i, by) for quick, (t, n, i, by) in zip(each, self.structures, strict=True)]
         self._any = re.compile("|".join(f"(?:{p})" for p in each) or "(?!)")
         self._by_length: dict[int, list[tuple[str, re.Pattern]]] = {}
         for m, p in self._masks.items():
@@ -315,8 +315,8 @@ class Grammar:
             marks |= set() if plain else {seen}
             seen += plain
         best: tuple[float, tuple[str, int, str | None]] | None = None
-        for patterns, n, interface, by_letter in self._read:
-            for pattern in patterns:
+        for quick, patterns, n, interface, by_letter in self._read:
+            for pattern in patterns if quick.match(word) else ():
                 m = pattern.match(word)
                 if not m or len(_DIGIT.findall(m["c"])) < 2:
                     continue
@@ -381,9 +381,9 @@ def attributes(grammar: Grammar, title: str | None, mpn: str | None, model: str
     title = title or ""
     if _ACCESSORY.search(title):
         return None
-    tokens = _tokens(title)
     size = next((s for s in stated_sizes(title) if s in grammar.sizes), None)
     part = grammar.part(mpn, size) if mpn else None
+    tokens = [] if part else _tokens(title)
     if not part:
         # A part number typed with blanks is looked for in neighbouring tokens; a size on its own belongs to no part number.
         digits = [-99 if _SIZE_TOKEN.fullmatch(t) else len(_DIGIT.findall(t)) for t in tokens]
